@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import line_dedup, packing, quality_rules, sharding
+from tallyforge.llm import line_dedup, minhash, packing, quality_classifier, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, quality_classifier.quality_labels(labels))
+    out = quality_classifier.score(docs.select("doc_id", "text"), model, "score")
+    return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
+
+
 def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,5 +64,5 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ws) END AS n_lines, CASE W
 FROM cleaned
 """
 
-QUERIES = {"op1_length_buckets": op1_length_buckets, "op6_balanced_shards": op6_balanced_shards, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_length_buckets": op1_length_buckets, "op2_quality_classifier": op2_quality_classifier, "op3_near_dedup": op3_near_dedup, "op6_balanced_shards": op6_balanced_shards, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 SQL = {"op8_line_dedup": OP8_SQL}
