@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import line_dedup, minhash, packing, quality_classifier, quality_rules, sharding
+import corpus_pipeline
+from tallyforge.llm import bpe, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
+from tallyforge.llm.common import scratch
+
+VOCABULARY = "byte_bpe_50k.json"
+#: The id behind each document in token files, and the tokens from which on a document is over the limit.
+END_ID, TOKEN_LIMIT = 2, 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,16 +34,42 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as room:
+        parts = token_files.write_tokens(_table(spark, sf_dir, "documents"), room.path, public_tokenizers.path(VOCABULARY), END_ID)
+        return token_files.read_tokens(spark, parts).checkpoint()
+
+
 def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as room:
+        stored = media.store(room, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
+        html = F.concat(F.lit("<article><p>Document "), name, F.lit("</p><figure><img src='media:"), F.col("digest"), F.lit("' alt='text'><figcaption>Text of document "), name, F.lit("</figcaption></figure></article>"))
+        refs = media.references(media.parse(stored.select("doc_id", "n_bytes", html.alias("html")), "html"))
+        found = room.keep(media.look_at(stored))
+        out = media.resolve(refs, found)
+        return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").checkpoint()
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.with_dedup(_table(spark, sf_dir, "documents"), "lines")
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.md5(F.col("lines.clean")).alias("clean_md5"), F.octet_length("lines.clean").cast("long").alias("clean_bytes"))
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.with_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality")
     return out.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")))
@@ -64,5 +97,17 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ws) END AS n_lines, CASE W
 FROM cleaned
 """
 
-QUERIES = {"op1_length_buckets": op1_length_buckets, "op2_quality_classifier": op2_quality_classifier, "op3_near_dedup": op3_near_dedup, "op6_balanced_shards": op6_balanced_shards, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_length_buckets": op1_length_buckets,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
+    "op6_balanced_shards": op6_balanced_shards,
+    "op7_media_columns": op7_media_columns,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
+}
 SQL = {"op8_line_dedup": OP8_SQL}
