@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes that a kernel takes at once; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2**64
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 

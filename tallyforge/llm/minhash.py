@@ -7,9 +7,9 @@
 3. Each class is first compared with one other, the hub it shares most buckets with. Signature batches are compared
    in turn, and a pair is pruned as soon as the posterior chance that its similarity reaches the threshold falls
    below MISS; survivors are verified on full sets. Components of these links settle nearly all buckets.
-4. In buckets that still hold several components, all pairs of different components are compared the same way. Large
-   buckets are dealt into blocks of BLOCK classes and each pair of blocks is a task's group, so no group is unbounded, and
-   only pairs that survive leave it; no partner or candidate is capped.
+4. In buckets that still hold several components, all pairs of different components are compared the same way. Buckets
+   of more than SMALL classes are dealt into blocks, each pair of blocks is a group of its own, so no group is unbounded,
+   and survivors are verified inside it: only links that join components leave. No partner or candidate is capped.
 
 A null or empty text, or one without words, has an empty set: it is linked with nothing and kept. A null id is never
 linked. Ids are expected to be unique; of rows that repeat an id each gets the result of its own text's class.
@@ -32,7 +32,10 @@ from tallyforge.llm.graph import components
 
 ROWS, BANDS, BATCH = 4, 32, 32
 MISS = 1e-6
-BLOCK = 512
+#: Classes, and shingles in all, of a block of a large bucket.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Classes of a bucket up to which its surviving pairs are verified by a join; in larger ones they are verified in place.
+SMALL = 32
 HASHES = ROWS * BANDS
 _random = np.random.Generator(np.random.PCG64(20240601))
 _MULTIPLY = (_random.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -117,39 +120,66 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _group_pairs(percent: int):
-    """Of rows sorted by group: the surviving pairs of different roots inside a group; in a group of two blocks, only
-    pairs across. A group is carried over until it is whole."""
+def _group_pairs(size: int, percent: int, full: bool):
+    """Of rows sorted by group: the pairs of different roots inside a group that outlast all batches of minima; in a
+    group of two blocks, only pairs across. Each pair is looked at in the first band only that both agree in. With
+    `full`, rows carry their texts: pairs are verified here, the likeliest first, and only links that join two
+    components leave the group. A group is carried over until it is whole."""
 
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        col = lambda c: t.column(c).to_numpy()
-        bucket, low, high, block, rep, root, n = (col(c) for c in ("bucket", "low", "high", "block", "rep", "root", "n"))
-        minima = _matrix(t.column("minima").combine_chunks())
-        found = []
+    def candidates(t: pa.Table, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket, band, low, high, block, root, n = (t.column(c).to_numpy() for c in ("bucket", "band", "low", "high", "block", "root", "n"))
         first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         last = np.repeat(np.r_[first[1:], len(bucket)], np.diff(np.r_[first, len(bucket)]))
-        rows = np.arange(len(bucket))
-        step = 1
+        rows, step, found = np.arange(len(bucket)), 1, []
         while len(rows):
             rows = rows[rows + step < last[rows]]
             i, j = rows, rows + step
             ok = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            for at in range(0, len(i), 20_000):
-                x, y = i[at : at + 20_000], j[at : at + 20_000]
-                stay = survivors(minima[x], minima[y], percent)
-                found.append(np.stack([np.minimum(rep[x], rep[y])[stay], np.maximum(rep[x], rep[y])[stay]]))
+            stay = survivors(minima[i], minima[j], percent)
+            i, j = i[stay], j[stay]
+            agree = (minima[i] == minima[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            found.append(np.stack([i, j])[:, agree == band[i]])
             step += 1
-        got = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], names=["a", "b"])
+        return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+
+    def links(t: pa.Table, minima: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+        need = np.unique(np.concatenate([i, j]))
+        sets = dict(zip(need.tolist(), shingle_sets(t.column("text").combine_chunks().take(pa.array(need)), size), strict=True))
+        above = {r: r for r in t.column("root").to_pylist()}
+        root = t.column("root").to_pylist()
+
+        def top(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        out = []
+        for k in np.argsort(-(minima[i] == minima[j]).sum(axis=1), kind="stable").tolist():
+            x, y = top(root[i[k]]), top(root[j[k]])
+            if x != y and linked(sets[int(i[k])], sets[int(j[k])], percent):
+                above[max(x, y)] = min(x, y)
+                out.append(k)
+        return out
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        minima, rep = _matrix(t.column("minima").combine_chunks()), t.column("rep").to_numpy()
+        i, j = candidates(t, minima)
+        if full and len(i):
+            some = links(t, minima, i, j)
+            i, j = i[some], j[some]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j]), pa.int64()), pa.array(np.maximum(rep[i], rep[j]), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            key = [t.column(c).to_numpy() for c in ("bucket", "low", "high")]
-            whole = int(np.flatnonzero(~np.logical_and.reduce([k == k[-1] for k in key]))[-1]) + 1 if t.num_rows and any((k != k[-1]).any() for k in key) else 0
+            if not t.num_rows:
+                continue
+            other = np.logical_or.reduce([(k := t.column(c).to_numpy()) != k[-1] for c in ("bucket", "low", "high")])
+            whole = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if whole:
                 yield pairs_of(t.slice(0, whole))
             rest = t.slice(whole)
@@ -167,8 +197,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         rows = room.keep(source.mapInArrow(_sketch(size), "id long, n long, print binary, minima binary"))
         member = F.struct(F.col("id").alias("rep"), "n", "minima")
         classes = room.keep(rows.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min_by(member, "id").alias("m")).select("print", "m.*"))
-        bands = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("minima"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket"))
-        buckets = room.keep(bands.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep")).alias("hub")).where("c > 1"))
+        bands = classes.select("rep", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("minima"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
+        buckets = room.keep(bands.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min_by("rep", F.xxhash64("rep")).alias("hub")).where("c > 1"))
         shared = room.keep(bands.join(buckets, "bucket"))
         best = shared.where("rep != hub").groupBy("rep", "hub").count().groupBy("rep").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
         tried = room.keep(best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
@@ -183,18 +213,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
             return room.keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
 
         roots = components(room, verified(likely))
-        marked = room.keep(shared.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("bucket", "c", "rep", F.coalesce("root", "rep").alias("root")))
+        marked = room.keep(shared.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("bucket", "band", "c", "total", "rep", "n", F.coalesce("root", "rep").alias("root")))
         open_ = room.keep(marked.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"))
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        dealt = (
-            marked.join(open_, "bucket").join(classes.select("rep", "n", "minima"), "rep")
-            .withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "root", "n", "minima")
-            .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+        unsettled = room.keep(
+            marked.join(open_, "bucket").withColumn("blocks", F.when(F.col("c") <= SMALL, 1).otherwise(blocks))
+            .withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "root", "n", "c")
         )
-        rest = dealt.mapInArrow(_group_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        more = verified(rest)
+
+        def searched(rows: DataFrame, full: bool) -> DataFrame:
+            rows = rows.drop("c").join(classes.select("rep", "minima"), "rep")
+            if full:
+                rows = rows.join(join_ids(source, unsettled.where(F.col("c") > SMALL).select(F.col("rep").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "rep"), "rep")
+            rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+            return rows.mapInArrow(_group_pairs(size, percent, full), "a long, b long")
+
+        few = searched(unsettled.where(F.col("c") <= SMALL), False).join(tried, ["a", "b"], "left_anti")
+        more = verified(few).unionByName(searched(unsettled.where(F.col("c") > SMALL), True))
         of_root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
         joined = more.join(of_root("a"), "a", "left").join(of_root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         tops = components(room, joined)
