@@ -14,6 +14,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,18 @@ def decode(ids: bytes, vocab: Vocabulary) -> str:
 @lru_cache(maxsize=2)
 def _table(path: str) -> Table:
     vocab = vocabulary(path)
-    return Table(vocab, lambda words: [encode_word(w.encode(), vocab) for w in words], lambda i: np.array([i], "<u4").tobytes())
+
+    def find(strings: list[str]) -> list[bytes]:
+        parts = [vocab.parts(x) for x in strings]
+        ids = {w: encode_word(w.encode(), vocab) if isinstance(w, str) else np.array([w], "<u4").tobytes() for w in set(chain.from_iterable(parts))}
+        return [b"".join(map(ids.__getitem__, p)) for p in parts]
+
+    return Table(vocab, find, b"".join)
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    return map(b"".join, _table(path).look_up(texts))
+    return _table(path).look_up(texts)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

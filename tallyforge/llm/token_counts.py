@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,15 @@ class Merger:
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> Table:
-    merger = Merger(path)
-    return Table(vocabulary(path), lambda words: merger.counts([w.encode() for w in words]).tolist(), lambda _: 1)
+    vocab, merger = vocabulary(path), Merger(path)
+
+    def find(strings: list[str]) -> list[int]:
+        parts = [vocab.parts(x) for x in strings]
+        words = [w for w in set(chain.from_iterable(parts)) if isinstance(w, str)]
+        n = dict(zip(words, merger.counts([w.encode() for w in words]).tolist(), strict=True))
+        return [sum(n.get(w, 1) for w in p) for p in parts]  # a special string is one token
+
+    return Table(vocab, find, sum)
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [sum(x) for x in _table(path).look_up(texts)]
+            n = list(_table(path).look_up(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key), F.col(text))

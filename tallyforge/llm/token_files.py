@@ -39,14 +39,31 @@ def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> Table:
-    """Ids by the tokenizers library, once per pre-token: each is a whole input, and its pieces are those it has in a text."""
+    """Ids by the tokenizers library, once for each word that a worker's table holds."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    own = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return Table(vocabulary(path), own, lambda i: np.array([i], "<u4").tobytes())
+    vocab = vocabulary(path)
+    size = np.array([len(t) for t in vocab.tokens])
+
+    def whole(strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def find(strings: list[str]) -> list[bytes]:
+        if any(x[:1] != " " for x in strings) or len(strings) < 2:
+            return [x.tobytes() for x in whole(strings)]
+        out = []
+        for at in range(0, len(strings), 500):  # words with their blanks are a text; its ids are cut at the words' ends
+            words = strings[at : at + 500]
+            ids = whole(["".join(words)])[0]
+            ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+            flat = ids.tobytes()
+            out += [flat[4 * i : 4 * j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        return out
+
+    return Table(vocab, find, b"".join)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> list[dict]:
@@ -66,7 +83,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str
             for batch in batches:
                 lengths = []
                 for found in table.look_up([t or "" for t in batch.column(1).to_pylist()]):
-                    flat = np.frombuffer(b"".join([*found, end]), "<u4")
+                    flat = np.frombuffer(found + end, "<u4")
                     ids.write(flat.astype(kind).tobytes())
                     lengths.append(len(flat))
                 off.write((total + np.cumsum(lengths)).astype("<i8").tobytes())

@@ -1,6 +1,6 @@
 """Byte-level BPE vocabularies read from tokenizer files, and the split of texts into pre-tokens.
 
-Files stay where they are: each Python worker reads the one it is given once. Pre-tokens repeat a lot, so workers keep what
+Files stay where they are: each Python worker reads the one it is given once. Words repeat a lot, so workers keep what
 they found for them in a table of bounded size, which is emptied when full.
 """
 
@@ -15,8 +15,8 @@ import regex
 
 #: Fixed value: the pattern of byte-level BPE pre-tokens, of which the files' libraries and their users share one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's table of pre-tokens.
-TABLE = 400_000
+#: Entries of a worker's table of words.
+TABLE = 600_000
 
 
 def byte_signs() -> dict[str, int]:
@@ -66,26 +66,41 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Table:
-    """What a function finds for pre-tokens, kept up to TABLE entries. `special` turns a special id into an entry."""
+    """What `find` gives for strings, kept for up to TABLE words, for texts cut at blanks.
 
-    def __init__(self, vocab: Vocabulary, find: Callable[[list[str]], list], special: Callable[[int], object]):
-        self.vocab, self.find, self.special, self.known = vocab, find, special, {}
+    A blank before another sign than white space always begins a pre-token, and what stands before it isn't looked at
+    again. So a text can be cut there and its words, each with the blank before it, be found by themselves. Texts where
+    white space or the end follows a blank, and those with special strings, are given to `find` whole.
+    """
 
-    def look_up(self, texts: list[str]) -> Iterator[list]:
-        """For each text the entries of its parts. Texts are taken some 256 KB at a time."""
+    def __init__(self, vocab: Vocabulary, find: Callable[[list[str]], list], join: Callable[[list], object]):
+        self.special, self.find, self.join, self.known, self.first = list(vocab.special), find, join, {}, {}
+
+    def _learn(self, table: dict, words: set[str], before: str) -> None:
+        new = [w for w in words if w not in table]
+        plain = [w for w in new if w and not w[0].isspace()]
+        table.update(dict.fromkeys(new))
+        table.update(zip(plain, self.find([before + w for w in plain]), strict=True))
+
+    def look_up(self, texts: list[str]) -> Iterator:
+        """For each text what `join` makes of its entries. Texts are taken some 256 KB at a time."""
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 18):
                 size += len(texts[end])
                 end += 1
-            parts = [self.vocab.parts(t) for t in texts[at:end]]
             if len(self.known) > TABLE:
                 self.known = {}
-            new = [w for w in set(chain.from_iterable(parts)) if w not in self.known]
-            words = [w for w in new if isinstance(w, str)]
-            self.known.update(zip(words, self.find(words), strict=True))
-            self.known.update((w, self.special(w)) for w in new if not isinstance(w, str))
-            for p in parts:
-                yield list(map(self.known.__getitem__, p))
+            if len(self.first) > TABLE // 8:
+                self.first = {}
+            whole = [t for t in texts[at:end] if any(s in t for s in self.special)]
+            cut = [None if t in whole else t.split(" ") for t in texts[at:end]] if whole else [t.split(" ") for t in texts[at:end]]
+            self._learn(self.known, set(chain.from_iterable(c[1:] for c in cut if c)), " ")
+            self._learn(self.first, {c[0] for c in cut if c}, "")
+            for t, c in zip(texts[at:end], cut, strict=True):
+                found = None
+                if c:
+                    found = [self.first[c[0]], *map(self.known.__getitem__, c[1:])]
+                yield self.join(found) if found is not None and None not in found else self.find([t])[0]
             at = end
