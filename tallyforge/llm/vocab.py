@@ -77,11 +77,37 @@ class Table:
         self.special, self.find, self.join, self.known, self.first = list(vocab.special), find, join, {}, {}
 
     def _learn(self, table: dict, words: set[str], before: str) -> None:
-        new = [w for w in words if w not in table]
-        plain = [w for w in new if w and not w[0].isspace()]
-        table.update(dict.fromkeys(new))
+        plain = [w for w in words if w and not w[0].isspace()]
         table.update(zip(plain, self.find([before + w for w in plain]), strict=True))
 
+    def _make_room(self, cut: list[list[str]]) -> None:
+        """Tables over their size keep what the texts at hand use."""
+        if len(self.known) > TABLE:
+            self.known = {w: self.known[w] for w in set(chain.from_iterable(cut)) if w in self.known}
+        if len(self.first) > TABLE // 8:
+            self.first = {}
+
+    def _some(self, texts: list[str]) -> Iterator:
+        cut = [t.split(" ") for t in texts]
+        self._make_room(cut)
+        entries, missing, new, new_first = [], [], set(), set()
+        for c in cut:
+            e = list(map(self.known.get, c))
+            e[0] = self.first.get(c[0])
+            m = [i for i, x in enumerate(e) if x is None]
+            if m and m[0] == 0:
+                new_first.add(c[0])
+            new.update(c[i] for i in m if i)
+            entries.append(e)
+            missing.append(m)
+        self._learn(self.known, new, " ")
+        self._learn(self.first, new_first, "")
+        for t, c, e, m in zip(texts, cut, entries, missing, strict=True):
+            for i in m:
+                e[i] = (self.known if i else self.first).get(c[i])
+            whole = any(e[i] is None for i in m) or any(s in t for s in self.special)
+            yield self.find([t])[0] if whole else self.join(e)
+
     def look_up(self, texts: list[str]) -> Iterator:
         """For each text what `join` makes of its entries. Texts are taken some 256 KB at a time."""
         at = 0
@@ -90,17 +116,5 @@ class Table:
             while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 18):
                 size += len(texts[end])
                 end += 1
-            if len(self.known) > TABLE:
-                self.known = {}
-            if len(self.first) > TABLE // 8:
-                self.first = {}
-            whole = [t for t in texts[at:end] if any(s in t for s in self.special)]
-            cut = [None if t in whole else t.split(" ") for t in texts[at:end]] if whole else [t.split(" ") for t in texts[at:end]]
-            self._learn(self.known, set(chain.from_iterable(c[1:] for c in cut if c)), " ")
-            self._learn(self.first, {c[0] for c in cut if c}, "")
-            for t, c in zip(texts[at:end], cut, strict=True):
-                found = None
-                if c:
-                    found = [self.first[c[0]], *map(self.known.__getitem__, c[1:])]
-                yield self.join(found) if found is not None and None not in found else self.find([t])[0]
+            yield from self._some(texts[at:end])
             at = end
