@@ -1 +1,4 @@
+"""All queries by name; importing this registers them."""
 
+from tallyforge.plans import core  # noqa: F401
+from tallyforge.plans.registry import QUERIES, SQL  # noqa: F401
