@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tallyforge.functions.columns import half_even, row_mean, row_std
 
 
-def consensus(df: DataFrame, sources: list[str], name: str) -> DataFrame:
-    """Fill missing sources by the row's mean; mean and deviation over the filled row. A deviation of 0 becomes
-    mean * (mean of deviation / mean over the rows that have one). The global ratio is one row, joined by broadcast."""
+def consensus(df: DataFrame, sources: list[str], name: str, digits: int = 2) -> DataFrame:
+    """Fill missing sources by the row's mean; mean and deviation over the filled row. A deviation of 0,
+    or under 1e-9 out of rounding, becomes mean * (mean of deviation / mean over the rows that have one)."""
     mean, filled = row_mean([F.col(c) for c in sources]), [F.coalesce(c, f"avg_{name}") for c in sources]
     df = df.withColumn(f"avg_{name}", mean).withColumns(dict(zip(sources, filled, strict=True)))
     df = df.withColumn(f"std_{name}", row_std([F.col(c) for c in sources]))
-    usable = F.when(F.col(f"std_{name}") != 0, F.try_divide(F.col(f"std_{name}"), F.col(f"avg_{name}")))
+    usable = F.when(F.col(f"std_{name}") > 1e-9, F.try_divide(F.col(f"std_{name}"), F.col(f"avg_{name}")))
     cv = df.agg(F.avg(usable)).first()[0]
-    std = F.when(F.col(f"std_{name}") == 0, F.col(f"avg_{name}") * F.lit(cv)).otherwise(F.col(f"std_{name}"))
-    return df.withColumn(f"std_{name}", half_even(std)).withColumn(f"avg_{name}", half_even(F.col(f"avg_{name}")))
+    std = F.when(F.col(f"std_{name}") <= 1e-9, F.col(f"avg_{name}") * F.lit(cv)).otherwise(F.col(f"std_{name}"))
+    return df.withColumn(f"std_{name}", half_even(std, digits)).withColumn(f"avg_{name}", half_even(F.col(f"avg_{name}"), digits))
 
 
 def slope_through_origin(df: DataFrame, x: str, y: str) -> float | None:
