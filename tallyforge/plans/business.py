@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import clean_name, clean_number, feet_inches, look_up, row_mean, scrub, weighted_sum
+from tallyforge.functions.text import similarity
 from tallyforge.operators import relational as rel
 from tallyforge.operators import simulate, stats
 from tallyforge.operators import windows as win
 from tallyforge.plans.registry import query, table
-from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, season, sources
+from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, best, season, sources
 from tallyforge.sources.files import records
 from tallyforge.streaming.rollup import rollup
 
 S = f"WITH {SEASON_SQL} "
 Q = f"WITH {SOURCES_SQL} "
-BEST = [F.desc("pts"), F.col("player")]
 SCORE_SQL = "coalesce(l_quantity, 0) * 0.1 + coalesce(l_discount, 0) * 6 - coalesce(l_tax, 0) * 2 + CASE WHEN l_extendedprice >= 50000 THEN 3 WHEN l_extendedprice >= 30000 THEN 1 ELSE 0 END"
 
 
@@ -49,9 +46,9 @@ def bz2(spark, d):
     )
 
 
-@query("bz3_team_totals", S + "SELECT team, yr, round(sum(pts), 2) AS team_sum_pts, round(avg(pts), 8) AS team_mean_pts, CAST(sum(games) AS BIGINT) AS team_sum_games FROM season GROUP BY team, yr")
+@query("bz3_team_totals", S + "SELECT team, yr, round(sum(pts), 2) AS team_sum_pts, round(avg(pts), 6) AS team_mean_pts, CAST(sum(games) AS BIGINT) AS team_sum_games FROM season GROUP BY team, yr")
 def bz3(spark, d):
-    return season(spark, d).groupBy("team", "yr").agg(F.round(F.sum("pts"), 2).alias("team_sum_pts"), F.round(F.avg("pts"), 8).alias("team_mean_pts"), F.sum("games").alias("team_sum_games"))
+    return season(spark, d).groupBy("team", "yr").agg(F.round(F.sum("pts"), 2).alias("team_sum_pts"), F.round(F.avg("pts"), 6).alias("team_mean_pts"), F.sum("games").alias("team_sum_games"))
 
 
 @query("bz4_consensus_fill", Q + """, m AS (SELECT part, s1, s2, s3, (coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0)) / nullif((s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT, 0) AS a FROM sources),
@@ -75,29 +72,29 @@ def bz5(spark, d):
 u AS (SELECT team, yr, pos AS grp, pts FROM y UNION ALL SELECT team, yr, 'BUILDING' AS grp, pts FROM y WHERE pos = 'FURNITURE')
 SELECT team, yr, grp, round(sum(pts), 2) AS pts, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY ALL""")
 def bz7(spark, d):
-    top = win.number(season(spark, d), ["team", "yr", "pos"], BEST, "rn").where("rn <= 3")
+    top = win.number(season(spark, d), ["team", "yr", "pos"], best(), "rn").where("rn <= 3")
     groups = F.when(F.col("pos") == "FURNITURE", F.array(F.lit("FURNITURE"), F.lit("BUILDING"))).otherwise(F.array("pos"))
     return top.withColumn("grp", F.explode(groups)).groupBy("team", "yr", "grp").agg(F.round(F.sum("pts"), 2).alias("pts"), F.count("*").alias("n"))
 
 
 @query("bz8_share_and_rolling", S + ", x AS (SELECT player, yr, pts / (sum(pts) OVER (PARTITION BY team, yr) + 3) AS share FROM season) SELECT player, yr, round(share, 8) AS share, round(avg(share) OVER (PARTITION BY player ORDER BY yr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS share3 FROM x")
 def bz8(spark, d):
-    df = win.rolling(win.share(season(spark, d), ["team", "yr"], "pts", 3, "share"), ["player"], [F.col("yr")], ["share"], 3, "mean")
+    df = win.rolling(win.share(season(spark, d), ["team", "yr"], "pts", 3, "share"), ["player"], ["yr"], ["share"], 3, "mean")
     return df.select("player", "yr", F.round("share", 8).alias("share"), F.round("share_r3_mean", 8).alias("share3"))
 
 
 @query("bz9_best_of_team", S + ", b AS (SELECT team, yr, player AS qb_player, pts AS qb_pts FROM (SELECT *, row_number() OVER (PARTITION BY team, yr ORDER BY pts DESC, player) AS rn FROM season WHERE pos = 'BUILDING') WHERE rn = 1) SELECT player, s.yr, qb_player, qb_pts FROM season s LEFT JOIN b ON s.team = b.team AND s.yr = b.yr")
 def bz9(spark, d):
     df = season(spark, d)
-    best = rel.prefixed(win.keep_first(df.where("pos = 'BUILDING'"), ["team", "yr"], BEST).select("team", "yr", "player", "pts"), "qb_", ["team", "yr"])
-    return df.join(best, ["team", "yr"], "left").select("player", "yr", "qb_player", "qb_pts")
+    leader = rel.prefixed(win.keep_first(df.where("pos = 'BUILDING'"), ["team", "yr"], best()).select("team", "yr", "player", "pts"), "qb_", ["team", "yr"])
+    return df.join(leader, ["team", "yr"], "left").select("player", "yr", "qb_player", "qb_pts")
 
 
 @query("bz10_year_over_year", S + ", t AS (SELECT team, yr, max(pts) AS best FROM season GROUP BY ALL), l AS (SELECT team, yr, best, coalesce(lag(best) OVER (PARTITION BY team ORDER BY yr), best) AS last_best FROM t) SELECT player, s.yr, round(best - last_best, 2) AS change FROM season s LEFT JOIN l ON s.team = l.team AND s.yr = l.yr")
 def bz10(spark, d):
     df = season(spark, d)
-    best = df.groupBy("team", "yr").agg(F.max("pts").alias("best"))
-    last = best.withColumn("last_best", F.coalesce(F.lag("best").over(Window.partitionBy("team").orderBy("yr")), "best"))
+    top = df.groupBy("team", "yr").agg(F.max("pts").alias("best"))
+    last = top.withColumn("last_best", F.coalesce(F.lag("best").over(Window.partitionBy("team").orderBy("yr")), "best"))
     return df.join(last, ["team", "yr"], "left").select("player", "yr", F.round(F.col("best") - F.col("last_best"), 2).alias("change"))
 
 
@@ -113,7 +110,7 @@ q AS (SELECT yr, quantile_cont(gap, 0.7) AS g, max(CASE WHEN rn = least(60, n) T
 SELECT player, t.yr, CAST(gap >= g AND pts >= line AND games > 3 AS INT) AS y_act_class FROM t JOIN q ON t.yr = q.yr""")
 def bz12(spark, d):
     df = season(spark, d).withColumn("proj", 150000 * F.col("games"))
-    return stats.over_performers(df, "yr", "pts", "proj", "games", BEST, 100, 60, 0.7, 3, "y_act_class").select("player", "yr", "y_act_class")
+    return stats.over_performers(df, "yr", "pts", "proj", "games", best(), 100, 60, 0.7, 3, "y_act_class").select("player", "yr", "y_act_class")
 
 
 @query("bz13_next_year_target", S + "SELECT b.player, b.yr, b.pts, a.pts AS y_next FROM season a RIGHT JOIN season b ON a.player = b.player AND a.yr - 1 = b.yr")
@@ -173,7 +170,7 @@ def bz17(spark, d):
 @query("bz18_pick_curve", S + ", x AS (SELECT yr, row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) AS slot, pts FROM season), m AS (SELECT slot, median(pts) AS med FROM x WHERE slot <= 300 GROUP BY slot) SELECT CAST(slot AS INT) AS slot, round(min(med) OVER (ORDER BY slot), 3) AS value FROM m")
 def bz18(spark, d):
     """At most 300 slots: the curve's running minimum is one small window."""
-    x = win.number(season(spark, d), ["yr"], BEST, "slot").where("slot <= 300")
+    x = win.number(season(spark, d), ["yr"], best(), "slot").where("slot <= 300")
     med = x.groupBy("slot").agg(F.median("pts").alias("med")).withColumn("curve", F.lit(1))
     return win.running(med, ["curve"], [F.col("slot")], "med", "min", "value").select("slot", F.round("value", 3).alias("value"))
 
@@ -185,7 +182,7 @@ def bz19(spark, d):
     df = season(spark, d)
     kinds = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
     for name, k in (("v1", 12), ("v2", 28), ("v3", 44)):
-        df = win.over_replacement(df, ["yr", "pos"], "pos", "pts", dict.fromkeys(kinds, k), BEST, name)
+        df = win.over_replacement(df, ["yr", "pos"], "pos", "pts", dict.fromkeys(kinds, k), best(), name)
     return df.select("player", "yr", F.round(row_mean([F.col("v1") * 5, F.col("v2"), F.col("v3")]), 3).alias("board"))
 
 
@@ -223,14 +220,14 @@ def bz26(spark, d):
 @query("bz27_missed_games", S + "SELECT player, yr, CAST(sum(6 - games) OVER (PARTITION BY player ORDER BY yr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS missed3, lead(6 - games) OVER (PARTITION BY player ORDER BY yr) AS missed_next FROM season")
 def bz27(spark, d):
     df = season(spark, d).withColumn("missed", 6 - F.col("games"))
-    df = win.rolling(df, ["player"], [F.col("yr")], ["missed"], 3, "sum")
+    df = win.rolling(df, ["player"], ["yr"], ["missed"], 3, "sum")
     return df.select("player", "yr", F.col("missed_r3_sum").alias("missed3"), F.lead("missed").over(Window.partitionBy("player").orderBy("yr")).alias("missed_next"))
 
 
 @query("bz30_budget_rescale", S + ", r AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) AS rn FROM season), o AS (SELECT yr, 3600 - sum(pts / 5000) AS off FROM r WHERE rn <= 156 GROUP BY yr) SELECT player, season.yr, CAST(trunc(pts / 5000 * (1 + off / 3600)) AS INT) AS salary FROM season JOIN o ON season.yr = o.yr")
 def bz30(spark, d):
     df = season(spark, d)
-    off = win.number(df, ["yr"], BEST, "rn").where("rn <= 156").groupBy("yr").agg((3600 - F.sum(F.col("pts") / 5000)).alias("off"))
+    off = win.number(df, ["yr"], best(), "rn").where("rn <= 156").groupBy("yr").agg((3600 - F.sum(F.col("pts") / 5000)).alias("off"))
     return df.join(F.broadcast(off), "yr").select("player", "yr", (F.col("pts") / 5000 * (1 + F.col("off") / 3600)).cast("int").alias("salary"))
 
 
@@ -443,21 +440,17 @@ def ml12(spark, d):
     return model.transform(rows).select("player", "yr", F.round("prediction", 5).alias("prediction"))
 
 
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").quick_ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-
 @query("jn11_fuzzy_join")
 def jn11(spark, d):
     """Equal size first, then similar text; the equality keeps the candidates few."""
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand")
     other = p.select(F.col("p_partkey").alias("match"), F.col("p_type").alias("m_type"), "p_size", "p_brand")
     pairs = p.join(other, ["p_size", "p_brand"]).where("p_partkey < match")
-    return pairs.withColumn("score", F.round(F.pandas_udf(_similarity, "double")("p_type", "m_type"), 6)).where("score > 0.5").select("p_partkey", "match", "score")
+    return pairs.withColumn("score", F.round(similarity("p_type", "m_type"), 6)).where("score > 0.5").select("p_partkey", "match", "score")
 
 
 def _candidates(spark, d, n: int = 60):
-    top = win.number(season(spark, d).where("yr = 2000"), ["pos"], BEST, "rn").where(F.col("rn") <= n // 5)
+    top = win.number(season(spark, d).where("yr = 2000"), ["pos"], best(), "rn").where(F.col("rn") <= n // 5)
     mean = F.col("pts") / 10000
     return top.select("player", F.col("pos").alias("kind"), F.greatest(F.round(mean / 2), F.lit(1)).cast("int").alias("price"), mean.alias("mean"), (mean / 5).alias("sd"), (mean / 2).alias("low"), (mean * 1.5).alias("high"))
 
@@ -472,7 +465,7 @@ NEED = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 2, "MACHINERY": 1}
 
 @query("sm7_lineup_trials")
 def sm7(spark, d):
-    return simulate.selection(simulate.trials(_candidates(spark, d), 40, NEED, 200), 40)
+    return simulate.selection(simulate.trials(_candidates(spark, d), 40, NEED, 400), 40)
 
 
 @query("sm10_pick_probability")

@@ -9,12 +9,10 @@ from tallyforge.functions.columns import half_even, look_up, ratio, row_mean, ro
 from tallyforge.operators import relational as rel
 from tallyforge.operators import windows as win
 from tallyforge.plans.registry import query, table
-from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, season, sources
+from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, best, season, sources
 
 S = f"WITH {SEASON_SQL} "
 Q = f"WITH {SOURCES_SQL} "
-BY_YEAR = [F.col("yr")]
-BEST = [F.desc("pts"), F.col("player")]
 RANKS = {"AUTOMOBILE": 12, "BUILDING": 28, "FURNITURE": 44, "MACHINERY": 12}
 
 
@@ -24,7 +22,7 @@ RANKS = {"AUTOMOBILE": 12, "BUILDING": 28, "FURNITURE": 44, "MACHINERY": 12}
   FROM season WINDOW w AS (PARTITION BY yr, pos ORDER BY pts DESC, player))
 SELECT player, yr, pos, pts, round(pts - CASE WHEN k IS NULL THEN NULL ELSE max(CASE WHEN rn = least(k, n) THEN pts END) OVER (PARTITION BY yr, pos) END, 2) AS vor FROM numbered""")
 def wn16(spark, d):
-    df = win.over_replacement(season(spark, d), ["yr", "pos"], "pos", "pts", RANKS, BEST, "vor")
+    df = win.over_replacement(season(spark, d), ["yr", "pos"], "pos", "pts", RANKS, best(), "vor")
     return df.select("player", "yr", "pos", "pts", F.round("vor", 2).alias("vor"))
 
 
@@ -305,7 +303,7 @@ def ag15(spark, d):
 
 @query("ag16_nth_row", S + ", x AS (SELECT *, row_number() OVER (PARTITION BY team, yr ORDER BY pts DESC, player) AS rn, count(*) OVER (PARTITION BY team, yr) AS n FROM season) SELECT team, yr, max(CASE WHEN rn = least(5, n) THEN pts END) AS fifth FROM x GROUP BY team, yr")
 def ag16(spark, d):
-    df = win.number(season(spark, d), ["team", "yr"], BEST, "rn").withColumn("n", F.count("*").over(Window.partitionBy("team", "yr")))
+    df = win.number(season(spark, d), ["team", "yr"], best(), "rn").withColumn("n", F.count("*").over(Window.partitionBy("team", "yr")))
     return df.groupBy("team", "yr").agg(F.max(F.when(F.col("rn") == F.least(F.lit(5), F.col("n")), F.col("pts"))).alias("fifth"))
 
 
@@ -344,7 +342,7 @@ def ag24(spark, d):
 def ag27(spark, d):
     df = season(spark, d)
     for agg, name in (("max", "best"), ("sum", "total"), ("mean", "mean")):
-        df = win.running(df, ["player"], BY_YEAR, "pts", agg, name)
+        df = win.running(df, ["player"], ["yr"], "pts", agg, name)
     return df.select("player", "yr", F.round("best", 2).alias("best"), F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"))
 
 
@@ -370,18 +368,18 @@ def ag30(spark, d):
 
 @query("wn1_rolling3", S + "SELECT player, yr, round(avg(pts) OVER w, 4) AS pts_r3_mean, round(max(pts) OVER w, 2) AS pts_r3_max FROM season WINDOW w AS (PARTITION BY player ORDER BY yr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def wn1(spark, d):
-    df = win.rolling(win.rolling(season(spark, d), ["player"], BY_YEAR, ["pts"], 3, "mean"), ["player"], BY_YEAR, ["pts"], 3, "max")
+    df = win.rolling(win.rolling(season(spark, d), ["player"], ["yr"], ["pts"], 3, "mean"), ["player"], ["yr"], ["pts"], 3, "max")
     return df.select("player", "yr", F.round("pts_r3_mean", 4).alias("pts_r3_mean"), F.round("pts_r3_max", 2).alias("pts_r3_max"))
 
 
 @query("wn2_rolling_full", S + "SELECT player, yr, round(CASE WHEN count(pts) OVER w < 3 THEN -1 ELSE avg(pts) OVER w END, 4) AS r FROM season WINDOW w AS (PARTITION BY player ORDER BY yr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def wn2(spark, d):
-    return win.rolling(season(spark, d), ["player"], BY_YEAR, ["pts"], 3, "mean", least=3, fill=-1.0).select("player", "yr", F.round("pts_r3_mean", 4).alias("r"))
+    return win.rolling(season(spark, d), ["player"], ["yr"], ["pts"], 3, "mean", least=3, fill=-1.0).select("player", "yr", F.round("pts_r3_mean", 4).alias("r"))
 
 
 @query("wn3_rolling_sum", S + "SELECT player, yr, CAST(sum(games) OVER w AS BIGINT) AS games3 FROM season WINDOW w AS (PARTITION BY player ORDER BY yr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def wn3(spark, d):
-    return win.rolling(season(spark, d), ["player"], BY_YEAR, ["games"], 3, "sum").select("player", "yr", F.col("games_r3_sum").alias("games3"))
+    return win.rolling(season(spark, d), ["player"], ["yr"], ["games"], 3, "sum").select("player", "yr", F.col("games_r3_sum").alias("games3"))
 
 
 @query("wn4_lead", S + "SELECT player, yr, lead(pts) OVER w AS pts_next, lead(games) OVER w AS games_next FROM season WINDOW w AS (PARTITION BY player ORDER BY yr)")
@@ -397,7 +395,7 @@ def wn5(spark, d):
 
 @query("wn6_neighbour_gaps", S + "SELECT player, yr, round(coalesce(pts - lead(pts) OVER w, 0), 2) AS to_next, round(coalesce(pts - lag(pts) OVER w, 0), 2) AS to_last FROM season WINDOW w AS (PARTITION BY team, yr ORDER BY pts DESC, player)")
 def wn6(spark, d):
-    w = Window.partitionBy("team", "yr").orderBy(*BEST)
+    w = Window.partitionBy("team", "yr").orderBy(*best())
     gap = lambda f: F.round(F.coalesce(F.col("pts") - f("pts").over(w), F.lit(0.0)), 2)
     return season(spark, d).select("player", "yr", gap(F.lead).alias("to_next"), gap(F.lag).alias("to_last"))
 
@@ -410,12 +408,12 @@ def wn7(spark, d):
 
 @query("wn8_unique_rank", S + "SELECT player, yr, CAST(row_number() OVER (PARTITION BY team, yr ORDER BY pts DESC, player) AS INT) AS r FROM season")
 def wn8(spark, d):
-    return win.number(season(spark, d), ["team", "yr"], BEST, "r").select("player", "yr", "r")
+    return win.number(season(spark, d), ["team", "yr"], best(), "r").select("player", "yr", "r")
 
 
 @query("wn10_depth_chart", S + ", x AS (SELECT *, concat(left(pos, 2), CAST(row_number() OVER (PARTITION BY team, yr, pos ORDER BY pts DESC, player) - 1 AS VARCHAR)) AS label FROM season) SELECT player, yr, label FROM x WHERE label IN ('AU0', 'BU0', 'BU1', 'FU0', 'FU1', 'FU2')")
 def wn10(spark, d):
-    df = win.number(season(spark, d), ["team", "yr", "pos"], BEST, "rn", start=0)
+    df = win.number(season(spark, d), ["team", "yr", "pos"], best(), "rn", start=0)
     label = F.concat(F.left("pos", F.lit(2)), F.col("rn").cast("string"))
     return df.select("player", "yr", label.alias("label")).where(F.col("label").isin("AU0", "BU0", "BU1", "FU0", "FU1", "FU2"))
 
@@ -423,12 +421,12 @@ def wn10(spark, d):
 @query("wn11_forward_fill", S + ", x AS (SELECT player, yr, CASE WHEN player % 3 = 0 AND yr % 2 = 0 THEN NULL ELSE pts END AS v FROM season) SELECT player, yr, last_value(v IGNORE NULLS) OVER (PARTITION BY player ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM x")
 def wn11(spark, d):
     v = F.when((F.col("player") % 3 == 0) & (F.col("yr") % 2 == 0), None).otherwise(F.col("pts"))
-    return win.forward_fill(season(spark, d).select("player", "yr", v.alias("v")), ["player"], BY_YEAR, ["v"])
+    return win.forward_fill(season(spark, d).select("player", "yr", v.alias("v")), ["player"], ["yr"], ["v"])
 
 
 @query("wn12_running_min", S + "SELECT player, yr, min(pts) OVER (PARTITION BY player ORDER BY yr) AS low FROM season")
 def wn12(spark, d):
-    return win.running(season(spark, d), ["player"], BY_YEAR, "pts", "min", "low").select("player", "yr", "low")
+    return win.running(season(spark, d), ["player"], ["yr"], "pts", "min", "low").select("player", "yr", "low")
 
 
 @query("wn13_share", S + "SELECT player, yr, round(pts / (sum(pts) OVER (PARTITION BY team, yr) + 0.5), 8) AS share FROM season")
@@ -444,7 +442,7 @@ def wn14(spark, d):
 
 @query("wn15_equal_buckets", S + "SELECT player, yr, CAST(floor((row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) - 1) / ceil(count(*) OVER (PARTITION BY yr) / 6)) AS INT) AS b FROM season")
 def wn15(spark, d):
-    return win.equal_buckets(season(spark, d), ["yr"], BEST, 6, "b").select("player", "yr", "b")
+    return win.equal_buckets(season(spark, d), ["yr"], best(), 6, "b").select("player", "yr", "b")
 
 
 @query("wn17_experience", S + ", x AS (SELECT player, yr, CASE WHEN player % 4 = 0 THEN NULL ELSE 1994 + player % 5 END AS drafted, min(yr) OVER (PARTITION BY player) AS first_yr FROM season), e AS (SELECT player, yr, greatest(yr - coalesce(drafted, first_yr), 0) AS exp FROM x) SELECT player, yr, round(least(exp, (SELECT quantile_cont(exp, 0.95) FROM e)), 4) AS exp FROM e")
@@ -459,12 +457,12 @@ def wn17(spark, d):
 @query("wn19_top_k_by_table", S + "SELECT player, yr, pos, r FROM (SELECT *, CAST(row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS INT) AS r FROM season) WHERE r <= CASE pos WHEN 'AUTOMOBILE' THEN 5 WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 3 ELSE 0 END")
 def wn19(spark, d):
     limits = spark.createDataFrame([("AUTOMOBILE", 5), ("BUILDING", 10), ("MACHINERY", 3)], "pos string, k int")
-    return win.number(season(spark, d), ["yr", "pos"], BEST, "r").join(F.broadcast(limits), "pos").where("r <= k").select("player", "yr", "pos", "r")
+    return win.number(season(spark, d), ["yr", "pos"], best(), "r").join(F.broadcast(limits), "pos").where("r <= k").select("player", "yr", "pos", "r")
 
 
 @query("wn20_replacement_median", S + "SELECT pos, round(median(pts), 3) AS level FROM (SELECT *, row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS rn FROM season) WHERE rn > 15 GROUP BY pos")
 def wn20(spark, d):
-    return win.number(season(spark, d), ["yr", "pos"], BEST, "rn").where("rn > 15").groupBy("pos").agg(F.round(F.median("pts"), 3).alias("level"))
+    return win.number(season(spark, d), ["yr", "pos"], best(), "rn").where("rn > 15").groupBy("pos").agg(F.round(F.median("pts"), 3).alias("level"))
 
 
 @query("wn21_snake_order", "SELECT CAST(team AS INT) AS team, CAST(rnd AS INT) AS rnd, CAST((rnd - 1) * 12 + CASE WHEN rnd IN (1) OR (rnd > 2 AND rnd % 2 = 0) THEN team ELSE 13 - team END AS INT) AS pick FROM range(1, 13) a(team), range(1, 26) b(rnd)")

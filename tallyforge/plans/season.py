@@ -36,3 +36,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 != 0, price).alias("s1"), F.when(key % 5 != 0, price * 1.1).alias("s2"),
         F.when(key % 35 == 0, None).when(key % 11 == 0, price).otherwise(price + F.col("p_size")).alias("s3"),
     )
+
+
+def best() -> list:
+    """The order of a ranking: most points first, ties by player."""
+    return [F.desc("pts"), F.col("player")]
