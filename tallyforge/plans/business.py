@@ -135,7 +135,7 @@ def bz15(spark, d):
     return season(spark, d).groupBy("pos").agg(F.round((p(few, 0.9) / p(many, 0.9) + p(few, 0.95) / p(many, 0.95)) / 2, 6).alias("ratio"))
 
 
-BZ16 = """, u AS (SELECT player, yr, pts AS pred, games - 3.0 AS sd, pts * 0.9 AS hi, pts * 1.1 AS lo FROM season UNION ALL SELECT player, yr, pts * 1.2, 2.0, pts * 1.5, pts * 0.5 FROM season WHERE games > 2),
+BZ16 = """, u AS (SELECT player, yr, pts AS pred, CAST(games - 3 AS DOUBLE) AS sd, pts * 0.9 AS hi, pts * 1.1 AS lo FROM season UNION ALL SELECT player, yr, pts * 1.2, CAST(2 AS DOUBLE), pts * 1.5, pts * 0.5 FROM season WHERE games > 2),
 a AS (SELECT player, yr, pred, CASE WHEN sd < 0 THEN 1 ELSE sd END AS sd, hi, lo FROM u),
 b AS (SELECT player, yr, pred, sd, CASE WHEN hi < pred THEN pred + 1.5 * sd ELSE hi END AS hi, CASE WHEN lo > pred THEN pred - 1.5 * sd ELSE lo END AS lo FROM a)
 """
