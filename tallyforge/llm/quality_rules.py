@@ -125,3 +125,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     name = fresh(docs, "tf_quality")
     return with_rules(docs, labels, name).where(F.col(name)["kept"]).drop(name)
+
+
+def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The base rules alone, which need no corpus counts."""
+    out = docs.select(F.col(key), rule_columns(F.col(text), [0] * BUCKETS).alias("tf_r"))
+    return out.select(key, *(f"tf_r.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
