@@ -70,3 +70,31 @@ def collinear(df: DataFrame, cols: list[str], target: str, least: float, most: f
         if of(c, target) >= least and all(of(c, o) <= most for o in out):
             out.append(c)
     return out
+
+
+def quantile(df: DataFrame, col: str, q: float, few: int = 100_000, accuracy: int = 10_000) -> float | None:
+    """The exact linearly interpolated quantile of a whole column, null values aside.
+
+    An exact percentile keeps every distinct value in one task. Here approximate percentiles give a bracket around the
+    wanted ranks, a scan counts what lies below it, and the bracket is narrowed the same way until at most `few` values are
+    left, which are sorted on the driver; a bracket of one value is the answer. So no task and no driver holds the column.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL")
+    n = x.count()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    low = int(rank)
+    high, below, rows = min(low + 1, n - 1), 0, n
+    while rows > few:
+        near = [max(0.0, (low - below) / rows - 2 / accuracy), min(1.0, (high - below + 1) / rows + 2 / accuracy)]
+        a, b = x.agg(F.percentile_approx("x", [float(v) for v in near], accuracy)).first()[0]
+        under, inside = x.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x").between(a, b))).first()
+        if a == b and below + under <= low and high < below + under + inside:
+            return a
+        if inside == rows or not (below + under <= low and high < below + under + inside):
+            return df.agg(F.percentile(col, F.lit(q))).first()[0]
+        x, below, rows = x.where(F.col("x").between(a, b)), below + under, inside
+    values = sorted(r["x"] for r in x.collect())
+    a, b = values[low - below], values[high - below]
+    return a + (b - a) * (rank - low)

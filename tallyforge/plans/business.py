@@ -298,7 +298,7 @@ def bz46(spark, d):
 @query("bz48_top_quartile", S + "SELECT player, yr, pts FROM season WHERE pts >= (SELECT quantile_cont(pts, 0.75) FROM season)")
 def bz48(spark, d):
     df = season(spark, d)
-    line = df.agg(F.percentile("pts", F.lit(0.75))).first()[0]
+    line = stats.quantile(df, "pts", 0.75)
     return df.where(F.col("pts") >= F.lit(line)).select("player", "yr", "pts")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import half_even, look_up, ratio, row_mean, row_std, row_sum
 from tallyforge.operators import relational as rel
+from tallyforge.operators import stats
 from tallyforge.operators import windows as win
 from tallyforge.plans.registry import query, table
 from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, best, season, sources
@@ -131,14 +132,14 @@ def upd2(spark, d):
 @query("upd3_median_fill", Q + "SELECT part, round(coalesce(s1, (SELECT quantile_cont(s1, 0.5) FROM sources)), 4) AS s1 FROM sources")
 def upd3(spark, d):
     df = sources(spark, d)
-    middle = df.agg(F.percentile("s1", F.lit(0.5))).first()[0]
+    middle = stats.quantile(df, "s1", 0.5)
     return df.select("part", F.round(F.coalesce("s1", F.lit(middle)), 4).alias("s1"))
 
 
 @query("upd6_cap_at_percentile", S + "SELECT player, yr, round(least(pts, (SELECT quantile_cont(pts, 0.95) FROM season)), 2) AS pts FROM season")
 def upd6(spark, d):
     df = season(spark, d)
-    high = df.agg(F.percentile("pts", F.lit(0.95))).first()[0]
+    high = stats.quantile(df, "pts", 0.95)
     return df.select("player", "yr", F.round(F.least("pts", F.lit(high)), 2).alias("pts"))
 
 
@@ -450,7 +451,7 @@ def wn17(spark, d):
     drafted = F.when(F.col("player") % 4 != 0, 1994 + F.col("player") % 5)
     first = F.min("yr").over(Window.partitionBy("player"))
     e = season(spark, d).select("player", "yr", F.greatest(F.col("yr") - F.coalesce(drafted, first), F.lit(0)).alias("exp"))
-    high = e.agg(F.percentile("exp", F.lit(0.95))).first()[0]
+    high = stats.quantile(e, "exp", 0.95)
     return e.select("player", "yr", F.round(F.least(F.col("exp").cast("double"), F.lit(high)), 4).alias("exp"))
 
 

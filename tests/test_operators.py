@@ -173,3 +173,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, rollup(events).collect()))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.951, 1.0])
+def test_quantile_is_exact_in_brackets(spark, q):
+    for expr in ("double((id * 7919) % 3001)", "double(id % 3)", "double(5)", "CASE WHEN id % 2 = 0 THEN double(id) END"):
+        df = spark.range(4000).selectExpr(f"{expr} AS x")
+        want = df.agg(F.percentile("x", F.lit(q))).first()[0]
+        assert stats.quantile(df, "x", q, few=50, accuracy=200) == pytest.approx(want)
+    assert stats.quantile(spark.range(0).selectExpr("double(id) AS x"), "x", q) is None
