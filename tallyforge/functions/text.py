@@ -7,6 +7,8 @@ import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallyforge.functions.ship import ship
+
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").quick_ratio() for x, y in zip(a, b, strict=True)], dtype=float)
@@ -14,4 +16,5 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity(a, b):
     """Twice the number of common signs, without regard to order, over the length of both."""
+    ship()
     return F.pandas_udf(_ratio, "double")(a, b)

@@ -9,6 +9,8 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.ship import ship
+
 
 def fill_by_regression(df: DataFrame, target: str, features: list[str], intercept: bool = True) -> DataFrame:
     """Missing values of target from a linear model over the rows that have it; rows without a feature stay missing."""
@@ -47,6 +49,7 @@ def quantile_lines(df: DataFrame, group: str, x: str, y: str, q: float, steps: i
         slope = b * sy / sx
         return pd.DataFrame({group: [t[group].iloc[0]], "slope": [slope], "intercept": [a * sy - slope * mx]})
 
+    ship(df.sparkSession)
     return cells.groupBy(group).applyInPandas(fit, f"{group} {df.schema[group].dataType.simpleString()}, slope double, intercept double")
 
 
