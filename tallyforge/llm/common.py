@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.ship import ship
+
 #: The white space that separates words in all of these operators: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of (id, flag) rows is sent to every executor: about 64 MB as a hash table.
@@ -68,7 +70,8 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that go to Python workers; smaller settings stay."""
+    """Before a step in Python workers: bound the Arrow batches (smaller settings stay) and give workers the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text is cut into runs of letters and digits and runs of other signs; single runs and neighbouring pairs are hashed into
-2**BITS features, a text's values being SCALE * count / all counts. Training takes at most about MAX_LABELLED labelled
+2**BITS features, a text's values being SCALE * count / all counts. A pair of the same run twice and a triple with the same
+run around another are one feature each, whatever the run. Training takes at most about MAX_LABELLED labelled
 texts, chosen by hash of their id (the documented bound); they are dealt into shards of about SHARD_ROWS, each shard runs
 FTRL-proximal in hash order for EPOCHS passes in a task of its own, and the shards' weights are averaged. The model is one
 array of 2**BITS numbers, whatever the data's size; scoring is a sparse dot product per text, over all texts.
@@ -33,6 +34,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
 MILLION = 1_000_000
 BIAS = 1 << BITS  # the bias is one more feature, always 1
 
+#: Stand for a run beside itself and for the same run around another.
+TWICE, AROUND = np.array([1], U64), np.array([2], U64)
 #: 0 white space, 1 letters, digits and all bytes of other scripts, 2 other signs.
 KIND = np.where(IS_SPACE, 0, np.where([chr(i).isalnum() or i >= 128 for i in range(256)], 1, 2)).astype(np.uint8)
 
@@ -45,8 +48,10 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         starts, ends, owner = pieces(part, offs, KIND)
         h = piece_hashes(part, starts, ends)
         same = owner[1:] == owner[:-1]
-        pairs = mix(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])[same]
-        yield (np.concatenate([h, pairs]) >> U64(64 - BITS)).astype(np.int32), np.concatenate([owner, owner[1:][same]]), j - i
+        pairs = mix(np.where(h[:-1] == h[1:], TWICE, h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:]))[same]
+        around = (owner[2:] == owner[:-2]) & (h[2:] == h[:-2])
+        found = np.concatenate([h, pairs, np.repeat(mix(AROUND), int(around.sum()))]) >> U64(64 - BITS)
+        yield found.astype(np.int32), np.concatenate([owner, owner[1:][same], owner[2:][around]]), j - i
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from tallyforge.llm.common import fresh, join_ids, let, words_of
 
 BUCKETS = 10_000
 #: Mean log-likelihood ratio per n-gram from which a text is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"

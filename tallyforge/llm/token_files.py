@@ -111,6 +111,8 @@ def _mapped(name: str, kind: str) -> np.ndarray:
 def read_tokens(spark: SparkSession, parts: list[dict], key: str = "doc_id") -> DataFrame:
     """key, start (ids of all documents before), n_tokens, ids_crc32 of every document in the files."""
 
+    small_batches(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (row for batch in batches for row in batch.to_pylist()):
             ids, off, keys = _mapped(f"{p['file']}.ids", "<u4" if p["wide"] else "<u2"), _mapped(f"{p['file']}.off", "<i8"), _mapped(f"{p['file']}.key", "<i8")
