@@ -233,10 +233,10 @@ def bz41(spark, d):
     return win.number(season(spark, d).where("yr = 2001"), ["yr"], best(), "adp_rank").select("player", "yr", "pts", "adp_rank").orderBy("adp_rank")
 
 
-@query("bz45_best_model_per_year", S + ", m AS (SELECT yr, pos, avg(abs(pts - 150000 * games)) AS err FROM season GROUP BY yr, pos) SELECT yr, arg_min(pos, err) AS model, round(min(err), 4) AS err FROM m GROUP BY yr")
+@query("bz45_best_model_per_year", S + ", m AS (SELECT yr, pos, avg(abs(pts - 150000 * games)) AS err FROM season GROUP BY yr, pos) SELECT yr, arg_min(pos, err) AS model, round(min(err), 7) AS err FROM m GROUP BY yr")
 def bz45(spark, d):
     m = season(spark, d).groupBy("yr", "pos").agg(F.avg(F.abs(F.col("pts") - 150000 * F.col("games"))).alias("err"))
-    return m.groupBy("yr").agg(F.min_by("pos", "err").alias("model"), F.round(F.min("err"), 4).alias("err"))
+    return m.groupBy("yr").agg(F.min_by("pos", "err").alias("model"), F.round(F.min("err"), 7).alias("err"))
 
 
 @query("bz47_auction_cohort", S + ", f AS (SELECT player, min(yr) AS first FROM season GROUP BY player) SELECT s.player, yr, pts, CAST(yr = first AS INT) AS is_rookie FROM season s JOIN f USING (player) WHERE NOT (s.player % 11 = 0 AND yr < 2001)")
