@@ -2,8 +2,9 @@
 
 Per host: the pages that have a line, divided by the host's pages. A line over RATIO that at least MIN_PAGES pages have
 is boilerplate there and is dropped from all of that host's pages. The counts are keyed by host and line hash and summed
-before the shuffle, so a hot host or a very common line is no hot key. A host can't have more than (lines a page) / RATIO
-such lines; their hashes go to each host as one array, and texts are rewritten in place without being exploded again.
+before the shuffle, so a hot host or a very common line is no hot key. Each count meets its host's total before anything is
+gathered, so only boilerplate is: a host can't have more than (lines a page) / RATIO such lines. Their hashes go to each
+host as one array, and texts are rewritten in place without being exploded again.
 
 Lines are split at newlines; lines without a word are layout and always stay. Null texts stay null, empty ones empty;
 a null host is a host of its own. Repeated rows count as pages of their own. Other columns pass through.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fresh, let, shared_root
+from tallyforge.llm.common import fresh, join_ids, let, shared_root
 
 RATIO = 0.03
 MIN_PAGES = 3
@@ -33,20 +34,18 @@ def _has_word(line):
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """For each host the hashes of its boilerplate lines: tf_host, tf_lines."""
-    pages = docs.select(F.col(host).alias("tf_host"), F.col(text).alias("tf_text"))
-    totals = pages.groupBy("tf_host").agg(F.count("*").alias("total")).select(F.col("tf_host").alias("total_host"), "total")
+    pages = docs.select(F.col(host).alias("tf_host"), F.xxhash64(F.col(host), F.col(host).isNull()).alias("tf_site"), F.col(text).alias("tf_text"))
+    totals = pages.groupBy("tf_site").agg(F.count("*").alias("total"))
     per_page = F.array_distinct(F.transform(F.filter(_lines(F.col("tf_text")), _has_word), lambda x: F.xxhash64(x)))
-    counts = pages.select("tf_host", F.explode(per_page).alias("line")).groupBy("tf_host", "line").agg(F.count("*").alias("n"))
-    frequent = counts.where(F.col("n") >= min_pages).groupBy("tf_host").agg(F.collect_list(F.struct("n", "line")).alias("found"))
-    return frequent.join(totals, F.col("tf_host").eqNullSafe(F.col("total_host"))).select(
-        "tf_host", F.transform(F.filter("found", lambda x: x["n"] > ratio * F.col("total")), lambda x: x["line"]).alias("tf_lines")
-    )
+    counts = pages.select("tf_host", "tf_site", F.explode(per_page).alias("line")).groupBy("tf_host", "tf_site", "line").agg(F.count("*").alias("n"))
+    frequent = join_ids(counts.where(F.col("n") >= min_pages), totals, "tf_site", "inner").where(F.col("n") > ratio * F.col("total"))
+    return frequent.groupBy("tf_host").agg(F.collect_list("line").alias("tf_lines"))
 
 
 def with_dedup(docs: DataFrame, name: str = "lines", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with one more column, a struct of: n_lines (with a word), n_dropped, clean (the text that stays)."""
     shared_root(docs.sparkSession)
-    found = boilerplate(docs, host, text, ratio, min_pages).where(F.size("tf_lines") > 0)
+    found = boilerplate(docs, host, text, ratio, min_pages)
     key, bad = fresh(docs, "tf_key"), fresh(docs, "tf_bad")
     side = found.select(F.xxhash64("tf_host", F.col("tf_host").isNull()).alias(key), F.col("tf_lines").alias(bad)).checkpoint()
     few = (side.agg(F.sum(F.size(bad))).first()[0] or 0) <= HASHES
