@@ -31,14 +31,18 @@ def fill_by_slope(df: DataFrame, x: str, y: str, use, factor: float = 2.0) -> Da
     return df.withColumn(y, F.coalesce(F.col(y), F.when(guess < 0, factor * F.col(x)).otherwise(guess)))
 
 
-def history_mean(df: DataFrame, level: str, period: str, col: str, name: str) -> DataFrame:
-    """For each level and period the mean over all rows of that level up to the period. The grid of levels and periods is
-    completed, so a level without a row in a period still has its history. Both sides of the grid are distinct values."""
+def history_mean(df: DataFrame, level: str, period: str, col: str, name: str, ahead: int = 0) -> DataFrame:
+    """For each level and period the mean over all rows of that level up to the period; the first `ahead` periods, which
+    have little history, look one period further. The grid of levels and periods is completed, so a level without a row in
+    a period still has its history. Both sides of the grid are distinct values."""
     sums = df.groupBy(level, period).agg(F.sum(col).alias("s"), F.count(col).alias("n"))
-    grid = sums.select(level).distinct().withColumn(period, F.explode(F.lit([r[0] for r in sums.select(period).distinct().orderBy(period).collect()])))
-    w = Window.partitionBy(level).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(sums, [level, period], "left")
-    return full.select(level, period, F.try_divide(F.sum("s").over(w), F.sum("n").over(w)).alias(name))
+    periods = [r[0] for r in sums.select(period).distinct().orderBy(period).collect()]
+    grid = sums.select(level).distinct().withColumn(period, F.explode(F.lit(periods)))
+    w = Window.partitionBy(level).orderBy(period)
+    so_far, further = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, 1)
+    mean = lambda over: F.try_divide(F.sum("s").over(over), F.sum("n").over(over))
+    value = F.when(F.col(period).isin(periods[:ahead]), mean(further)).otherwise(mean(so_far)) if ahead else mean(so_far)
+    return grid.join(sums, [level, period], "left").select(level, period, value.alias(name))
 
 
 def over_performers(df: DataFrame, period: str, actual: str, expected: str, games: str, order: list, top: int, place: int, quantile: float, least_games: int, name: str) -> DataFrame:

@@ -99,10 +99,10 @@ def bz10(spark, d):
 
 
 @query("ag26_history_by_experience", S + """, x AS (SELECT yr - min(yr) OVER (PARTITION BY player) AS tenure, yr, pts FROM season), t AS (SELECT DISTINCT tenure FROM x), y AS (SELECT DISTINCT yr FROM x)
-SELECT CAST(t.tenure AS INT) AS tenure, y.yr, round((SELECT avg(pts) FROM x WHERE x.tenure = t.tenure AND x.yr <= y.yr), 3) AS mean FROM t, y""")
+SELECT CAST(t.tenure AS INT) AS tenure, y.yr, round((SELECT avg(pts) FROM x WHERE x.tenure = t.tenure AND x.yr <= y.yr + CAST(y.yr <= (SELECT min(yr) FROM y WHERE yr > (SELECT min(yr) FROM y)) AS INT)), 3) AS mean FROM t, y""")
 def ag26(spark, d):
     df = season(spark, d).withColumn("tenure", F.col("yr") - F.min("yr").over(Window.partitionBy("player")))
-    return stats.history_mean(df, "tenure", "yr", "pts", "mean").withColumn("mean", F.round("mean", 3))
+    return stats.history_mean(df, "tenure", "yr", "pts", "mean", ahead=2).withColumn("mean", F.round("mean", 3))
 
 
 @query("bz12_class_label", S + """, x AS (SELECT *, pts - 150000 * games AS gap, row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) AS rn FROM season), t AS (SELECT * FROM x WHERE rn <= 100),

@@ -91,6 +91,12 @@ def test_history_covers_missing_cells(spark):
     assert out == {(0, 1): 3.0, (0, 2): 3.0, (0, 3): 5.0, (1, 1): None, (1, 2): 10.0, (1, 3): 10.0}
 
 
+def test_history_of_the_first_periods_looks_ahead(spark):
+    df = spark.createDataFrame([(0, 1, 10.0), (0, 2, 20.0), (0, 3, 60.0), (0, 4, 110.0), (1, 3, 7.0)], "t int, y int, x double")
+    out = {(r.t, r.y): r.m for r in stats.history_mean(df, "t", "y", "x", "m", ahead=2).collect()}
+    assert out == {(0, 1): 15.0, (0, 2): 30.0, (0, 3): 30.0, (0, 4): 50.0, (1, 1): None, (1, 2): 7.0, (1, 3): 7.0, (1, 4): 7.0}
+
+
 def test_labels_with_fewer_rows_than_the_top(spark):
     df = spark.createDataFrame([(1, 9.0, 5.0, 10, 1), (1, 7.0, 7.0, 10, 2), (1, 3.0, 0.0, 2, 3)], "y int, pts double, proj double, games int, id int")
     out = {r.id: r.c for r in stats.over_performers(df, "y", "pts", "proj", "games", [F.desc("pts"), "id"], 10, 5, 0.5, 6, "c").collect()}
