@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import line_dedup, minhash, packing, quality_classifier, quality_rules
-from tallyforge.llm.common import scratch
+from tallyforge.llm.common import has_path, scratch
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,11 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored under 0.5."""
-    return quality_classifier.keep_good(docs, _labels(spark, sf_dir))
+    """Rejects documents scored under 0.5 by a model of all labelled documents, not only of those that the rules left.
+    Where sf_dir has no documents table (the stage is used by itself), the model is of docs."""
+    path = f"{sf_dir}/documents.parquet"
+    known = spark.read.parquet(path) if has_path(spark, path) else docs
+    return quality_classifier.keep_good(docs, _labels(spark, sf_dir), known=known)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, whatever file system it is on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 class Scratch:
     """A folder in the shared storage for the tables between the steps of one operator."""
 

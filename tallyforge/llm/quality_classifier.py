@@ -5,7 +5,8 @@ A text is cut into runs of letters and digits and runs of other signs; single ru
 run around another are one feature each, whatever the run. Training takes at most about MAX_LABELLED labelled
 texts, chosen by hash of their id (the documented bound); they are dealt into shards of about SHARD_ROWS, each shard runs
 FTRL-proximal in hash order for EPOCHS passes in a task of its own, and the shards' weights are averaged. The model is one
-array of 2**BITS numbers, whatever the data's size; scoring is a sparse dot product per text, over all texts.
+array of 2**BITS numbers, whatever the data's size; scoring is a sparse dot product per text, over all texts. The bound is
+spent only on labels that have a document. What is scored may be fewer documents than those the model learns from.
 
 Ids, labels, language and source never enter a score. Null and empty texts get the score of the bias alone. Repeated rows
 get equal scores. Without labels the score is 0.5. Of contradicting labels of one id the lower counts.
@@ -94,7 +95,8 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """The model's weights from docs and `labelled`: tf_id (unique), tf_label 0 or 1."""
     small_batches(docs.sparkSession)
-    spark, n = docs.sparkSession, labelled.count()
+    labelled = labelled.join(docs.select(F.col(key).alias("tf_id")).distinct(), "tf_id", "left_semi")
+    n = labelled.count()
     chance = min(1.0, MAX_LABELLED / max(1, n))
     chosen = labelled.withColumn("tf_order", F.xxhash64("tf_id", F.lit("train"))).where((F.col("tf_order") / float(2**64) + 0.5) < chance)
     shards = max(1, -(-min(n, MAX_LABELLED) // SHARD_ROWS))
@@ -143,7 +145,8 @@ def quality_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("tf_id")).agg(F.min("quality").cast("int").alias("tf_label"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that the classifier takes for good, with their own columns."""
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, known: DataFrame | None = None) -> DataFrame:
+    """The documents that the classifier takes for good, with their own columns. The model learns from the labelled
+    documents of `known` (docs where it isn't given): what an earlier filter left has hardly any bad ones to learn from."""
     name = fresh(docs, "tf_score")
-    return score(docs, train(docs, quality_labels(labels)), name, least=least).drop(name)
+    return score(docs, train(docs if known is None else known, quality_labels(labels)), name, least=least).drop(name)
