@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import quality_classifier
+from tallyforge.llm import packing, quality_classifier
 
 
 def test_classifier_stage_learns_from_documents_that_are_gone(spark, tmp_path):
@@ -28,3 +29,15 @@ def test_training_bound_is_not_spent_on_labels_without_document(spark, monkeypat
     labels = spark.range(2_000_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
     out = quality_classifier.keep_good(docs, labels).toPandas()
     assert sorted(out.doc_id) == list(range(1, 200, 2))
+
+
+@pytest.mark.parametrize("longest", [1_000, 1_000_000])
+def test_one_long_text_does_not_coarsen_the_boundaries(spark, longest):
+    rng = random.Random(8)
+    lengths = [rng.randint(1, 400) for _ in range(500)] + [longest]
+    n, least = sorted(lengths), [0.0] + [float("inf")] * len(lengths)
+    for _ in range(4):  # the least padded total of the first j lengths, by trying every cut
+        least = [0.0] + [min(least[i] + (j - i) * n[j - 1] for i in range(j)) for j in range(1, len(n) + 1)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n int")
+    out = packing.pack(rows, "n", buckets=4).toPandas()
+    assert out.padding.sum() == least[-1] - sum(lengths) and (out.padding >= 0).all() and set(out.bucket_len) <= set(lengths)
