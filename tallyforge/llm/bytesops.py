@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes that a kernel takes at once; a longer text is taken alone.
 CHUNK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2**64
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_BASE = 0x9E3779B97F4A7C15  # an odd number with mixed bits
+#: Bytes up to which a piece is hashed together with others.
+LONG_PIECE = 64
 
 #: Blank and the controls 9 to 13 separate words.
 IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -44,15 +46,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int, way: str) -> np.ndarray:
-    if len(_powers[way]) < n:
-        base = _BASE if way == "up" else pow(_BASE, -1, 1 << 64)
-        factors = np.full(1 << (n - 1).bit_length(), base, U64)
-        factors[0] = 1
-        _powers[way] = np.cumprod(factors, dtype=U64)
-    return _powers[way][:n]
-
-
 def pieces(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the maximal runs of bytes of one non-zero kind."""
     n = len(data)
@@ -70,11 +63,23 @@ def pieces(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pieces, from one running sum of byte * base**place."""
-    n = len(data)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power(n, "up"), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(n, "down")[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of pieces: their blocks of eight bytes are mixed in one after another, in all pieces at once; pieces
+    of more than LONG_PIECE bytes are digested by themselves."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(_BASE))
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    short = np.flatnonzero(size <= LONG_PIECE)
+    at, rest = starts[short], size[short]
+    while len(short):
+        block = blocks[at]
+        tail = rest < 8
+        block[tail] &= (U64(1) << (U64(8) * rest[tail].astype(U64))) - U64(1)
+        out[short] = mix(out[short] ^ block)
+        on = rest > 8
+        short, at, rest = short[on], at[on] + 8, rest[on] - 8
+    for k in np.flatnonzero(size > LONG_PIECE).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def counts_by_text(owner: np.ndarray, texts: int) -> np.ndarray:

@@ -16,8 +16,8 @@ from tallyforge.functions.ship import ship
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of (id, flag) rows is sent to every executor: about 64 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch: with texts of some 100 KB still under 100 MB in a Python worker.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 25
 #: Rows in a run of a gapless rank.
 RUN_ROWS = 2_048
 
@@ -79,13 +79,15 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before a step in Python workers: bound the Arrow batches (smaller settings stay) and give workers the package."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df joined with a narrow table by id. The table is broadcast only when it has at most `limit` rows; a larger
+def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined with a narrow table by its key columns. The table is broadcast only when it has at most `limit` rows; a larger
     one is joined by shuffle, where adaptive execution splits skewed keys."""
     few = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)

@@ -229,10 +229,13 @@ def brute_components(texts, size, percent):
     return [len(s) for s in sets], [top(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "STREAM", 4)
+    monkeypatch.setattr(minhash, "AT_ONCE", 64)
+    monkeypatch.setattr(minhash, "MATCHES", 500)
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 300))
     texts = [None, "", " ", "one two", "ONE two", "one two three"]
