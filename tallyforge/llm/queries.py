@@ -51,14 +51,17 @@ def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of its lines with its own payload as a figure; position is the figure's place in the page's
+    sequence of texts and media."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     with scratch(spark) as room:
-        stored = media.store(room, _table(spark, sf_dir, "documents").select("doc_id", "text"))
-        name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
-        html = F.concat(F.lit("<article><p>Document "), name, F.lit("</p><figure><img src='media:"), F.col("digest"), F.lit("' alt='text'><figcaption>Text of document "), name, F.lit("</figcaption></figure></article>"))
-        refs = media.references(media.parse(stored.select("doc_id", "n_bytes", html.alias("html")), "html"))
+        stored = media.store(room, docs.select("text"))
         found = room.keep(media.look_at(stored))
-        out = media.resolve(refs, found)
-        return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").checkpoint()
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
+        caption = F.concat(F.lit("Document "), name, F.lit(" of "), F.coalesce(F.length("text"), F.lit(0)).cast("string"), F.lit(" signs"))
+        refs = media.references(media.parse(docs.select("doc_id", media.page_of(F.col("text"), caption).alias("html")), "html"))
+        columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        return media.resolve(refs, found).select("doc_id", *(F.col("payload")[c].alias(c) for c in columns), F.col("items.position").alias("position"), F.col("items.caption").alias("caption")).checkpoint()
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
