@@ -1,7 +1,8 @@
 """Quality rules: length and repetition rules, then an n-gram log-likelihood ratio, all in DataFrame functions.
 
 Words and word pairs are hashed into BUCKETS cells. Two multinomials are counted over those cells: one over the trusted
-texts (documents that `labels` marks with quality 1) and one over all documents. A text's score is the sum over its
+texts (documents that `labels` marks with quality 1; labels that are held out for tests aren't read) and one over all
+documents. A text's score is the sum over its
 n-grams of log(trusted share / raw share), divided by their number; it is kept from THRESHOLD on. Shares are smoothed by
 one and the logarithms are whole millionths, so that every sum is exact and the verdict the same in any order.
 
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fresh, join_ids, let, words_of
+from tallyforge.llm.common import fresh, held_out, join_ids, let, words_of
 
 BUCKETS = 10_000
 #: Mean log-likelihood ratio per n-gram from which a text is kept.
@@ -41,25 +42,21 @@ def _hashes(words: Column) -> Column:
 def _repeated(hashes: Column) -> Column:
     """How many words lie in a window of three words that the text has twice or more.
 
-    Each window's hash gives its high bits and its place the low bits, as many as the length needs, to one number. Once
-    sorted, equal windows are neighbours; the places found are sorted again and the windows' union is summed up.
+    Windows are sorted by their hash, all 64 bits of it, and then their place; equal ones are neighbours. The places found
+    are sorted again and the windows' union is summed up.
     """
 
     def windows(h):
         return let(
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(h)))) - 1,
-            lambda mask: let(
-                F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))),
-                lambda s: F.sort_array(
-                    F.transform(
-                        F.filter(
-                            s,
-                            lambda x, i: F.coalesce(x.bitwiseXOR(F.get(s, i + 1)).between(0, mask), F.lit(False))
-                            | F.when(i > 0, x.bitwiseXOR(F.get(s, i - 1)).between(0, mask)).otherwise(False),
-                        ),
-                        lambda x: x.bitwiseAND(mask),
-                    )
-                ),
+            F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("at")))),
+            lambda s: F.sort_array(
+                F.transform(
+                    F.filter(
+                        s,
+                        lambda x, i: F.coalesce(x["k"] == F.get(s, i + 1)["k"], F.lit(False)) | F.when(i > 0, x["k"] == F.get(s, i - 1)["k"]).otherwise(False),
+                    ),
+                    lambda x: x["at"].cast("long"),
+                )
             ),
         )
 
@@ -74,7 +71,7 @@ def _repeated(hashes: Column) -> Column:
 
 def ratio_table(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """For each cell the log ratio of the trusted and the raw share in millionths: BUCKETS numbers, however large docs is."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("tf_id")).distinct().withColumn("tf_trusted", F.lit(1))
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("tf_id")).distinct().withColumn("tf_trusted", F.lit(1))
     rows = join_ids(docs.select(F.col(doc_id).alias("tf_id"), F.col(text).alias("tf_text")), trusted, "tf_id", "left")
     cells = rows.select(F.explode(let(_hashes(words_of(F.col("tf_text"))), _cells)).alias("cell"), "tf_trusted")
     counts = {r["cell"]: (r["raw"], r["trusted"]) for r in cells.groupBy("cell").agg(F.count("*").alias("raw"), F.count("tf_trusted").alias("trusted")).collect()}
@@ -117,8 +114,9 @@ def rule_columns(text: Column, table: list[int], threshold: float = THRESHOLD) -
 
 
 def with_rules(docs: DataFrame, labels: DataFrame, name: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one more column, a struct of the rules' results."""
-    return docs.withColumn(name, rule_columns(F.col(text), ratio_table(docs, labels, doc_id, text), threshold))
+    """docs with one more column, a struct of the rules' results. If docs has a column of that name, the new one gets an
+    underscore more."""
+    return docs.withColumn(fresh(docs, name), rule_columns(F.col(text), ratio_table(docs, labels, doc_id, text), threshold))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
