@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text is cut into runs of letters and digits and runs of other signs; single runs and neighbouring pairs are hashed into
-2**BITS features, a text's values being SCALE * count / all counts. A pair of the same run twice and a triple with the same
-run around another are one feature each, whatever the run. Training takes at most about MAX_LABELLED labelled
+2**BITS features, a text's values being SCALE * count / all counts. A pair of equal runs and a triple of equal runs around
+another count once more each as an n-gram without its words: words that training never saw can't tell repetition otherwise
+(figures with and without are in the README). Training takes at most about MAX_LABELLED labelled
 texts, chosen by hash of their id (the documented bound); they are dealt into shards of about SHARD_ROWS, each shard runs
 FTRL-proximal in hash order for EPOCHS passes in a task of its own, and the shards' weights are averaged. The model is one
 array of 2**BITS numbers, whatever the data's size; scoring is a sparse dot product per text, over all texts. The bound is
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.bytesops import IS_SPACE, U64, chunks, counts_by_text, mix, piece_hashes, pieces, texts_of
-from tallyforge.llm.common import fresh, join_ids, small_batches
+from tallyforge.llm.common import fresh, held_out, join_ids, small_batches
 
 BITS = 18
 MAX_LABELLED = 20_000
@@ -34,9 +35,9 @@ SCALE = 20.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
 MILLION = 1_000_000
 BIAS = 1 << BITS  # the bias is one more feature, always 1
+#: N-grams without their words: a run beside itself, and a run around another.
+TWICE, AROUND = mix(np.array([1, 2], U64))
 
-#: Stand for a run beside itself and for the same run around another.
-TWICE, AROUND = np.array([1], U64), np.array([2], U64)
 #: 0 white space, 1 letters, digits and all bytes of other scripts, 2 other signs.
 KIND = np.where(IS_SPACE, 0, np.where([chr(i).isalnum() or i >= 128 for i in range(256)], 1, 2)).astype(np.uint8)
 
@@ -49,10 +50,11 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         starts, ends, owner = pieces(part, offs, KIND)
         h = piece_hashes(part, starts, ends)
         same = owner[1:] == owner[:-1]
-        pairs = mix(np.where(h[:-1] == h[1:], TWICE, h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:]))[same]
+        pairs = mix(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])[same]
+        twice = same & (h[1:] == h[:-1])
         around = (owner[2:] == owner[:-2]) & (h[2:] == h[:-2])
-        found = np.concatenate([h, pairs, np.repeat(mix(AROUND), int(around.sum()))]) >> U64(64 - BITS)
-        yield found.astype(np.int32), np.concatenate([owner, owner[1:][same], owner[2:][around]]), j - i
+        found = np.concatenate([h, pairs, np.repeat(TWICE, int(twice.sum())), np.repeat(AROUND, int(around.sum()))]) >> U64(64 - BITS)
+        yield found.astype(np.int32), np.concatenate([owner, owner[1:][same], owner[1:][twice], owner[2:][around]]), j - i
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +124,10 @@ def scores(column: pa.Array, model: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: np.ndarray, name: str = "score", text: str = "text", least: float | None = None) -> DataFrame:
-    """docs with a score column; with `least`, only the rows that reach it."""
+    """docs with a score column, the last; with `least`, only the rows that reach it. If docs has a column of that name,
+    the new one gets an underscore more."""
     small_batches(docs.sparkSession)
+    name = fresh(docs, name)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +139,6 @@ def score(docs: DataFrame, model: np.ndarray, name: str = "score", text: str = "
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def held_out(key: str = "doc_id"):
-    """Whether a row's label is held out: crc32 of its id as text leaves 1 modulo 3."""
-    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
-
-
 def quality_labels(labels: DataFrame) -> DataFrame:
     """tf_id and tf_label of the labels that training may see."""
     return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("tf_id")).agg(F.min("quality").cast("int").alias("tf_label"))
