@@ -7,7 +7,8 @@ own attempt and then renamed, so a repeated task replaces equal files. Prefix su
 base, so base + offset is a document's place among all ids. The reader maps files of a local or mounted folder into memory
 and reads others through their file system.
 
-Null texts are empty: such a document has its end id only. Rows that repeat an id are all written, in any order. A null id
+Null texts are empty: such a document has its end id only. Rows that repeat an id are all written, by hash of their text; many of them, and many
+null ids, are split over parts. A null id
 is written before all others as the least 64-bit number and read as null. An empty table gives no part.
 """
 
@@ -94,18 +95,25 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str
         if docs_:
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([os.path.basename(name)]), pa.array([docs_]), pa.array([total])], names=["part", "file", "docs", "tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    order = ("key", "code", "number")  # the last ones split rows that repeat an id over parts
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("code"), F.monotonically_increasing_id().alias("number"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     parts = sorted(rows.mapInArrow(run, "part long, file string, docs long, tokens long").collect())
     bases = accumulate((p["tokens"] for p in parts), initial=0)
     return [{"file": f"{folder}/{p['file']}", "docs": p["docs"], "tokens": p["tokens"], "base": base, "wide": wide} for p, base in zip(parts, bases, strict=False)]
 
 
-def _mapped(name: str, kind: str) -> np.ndarray:
+def _mapped(name: str, kind: str, start: int, stop: int) -> np.ndarray:
+    """Numbers start to stop of a file: memory-mapped, or only that range read where the storage can't be mapped."""
     fs, path = _place(name)
+    if stop <= start:
+        return np.zeros(0, kind)
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        return np.memmap(path, kind, "r")[start:stop]
+    width = np.dtype(kind).itemsize
     with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+        f.seek(start * width)
+        return np.frombuffer(f.read((stop - start) * width), kind)
 
 
 def read_tokens(spark: SparkSession, parts: list[dict], key: str = "doc_id") -> DataFrame:
@@ -115,10 +123,11 @@ def read_tokens(spark: SparkSession, parts: list[dict], key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (row for batch in batches for row in batch.to_pylist()):
-            ids, off, keys = _mapped(f"{p['file']}.ids", "<u4" if p["wide"] else "<u2"), _mapped(f"{p['file']}.off", "<i8"), _mapped(f"{p['file']}.key", "<i8")
-            for at in range(0, len(keys), 10_000):
-                k, o = np.asarray(keys[at : at + 10_000]), np.asarray(off[at : at + 10_001])
-                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(o, o[1:], strict=False)]
+            for at in range(0, p["docs"], 1_000):
+                end = min(at + 1_000, p["docs"])
+                k, o = np.array(_mapped(f"{p['file']}.key", "<i8", at, end)), np.array(_mapped(f"{p['file']}.off", "<i8", at, end + 1))
+                ids = _mapped(f"{p['file']}.ids", "<u4" if p["wide"] else "<u2", o[0], o[-1])
+                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(o - o[0], o[1:] - o[0], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == NULL_KEY), pa.array(o[:-1] + p["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
     schema = "file string, docs long, tokens long, base long, wide boolean"
