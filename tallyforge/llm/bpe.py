@@ -5,7 +5,8 @@ searched for, the boundary behind it is deleted and the two ranks beside it are
 of more than LONG bytes take the same steps from a heap over linked parts, whose time doesn't grow with the square.
 
 Null texts are empty. Special strings inside a text become their ids and come back as they were. Repeated rows get equal
-results.
+results, ties of rank go from the left, an empty table gives an empty result, and columns other than the id and the text
+aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def boundaries(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The starts of the word's tokens, and its end."""
     n = len(word)
     if n > LONG:
-        return _long_boundaries(word, ranks)
+        return long_boundaries(word, ranks)
     get = ranks.get
     starts = list(range(n + 1))
     near = [get(word[i : i + 2], NONE) for i in range(n - 1)]
@@ -49,7 +50,8 @@ def boundaries(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return starts
 
 
-def _long_boundaries(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def long_boundaries(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """boundaries() from a heap of pairs over linked parts."""
     n = len(word)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]

@@ -5,7 +5,9 @@ pair of every sequence and joins it in all sequences at once, at all its places
 the ranks beside a new symbol are looked up again. Sequences without a pair leave with their number of symbols.
 
 Null texts are empty and have no token. Special strings inside a text count one token each, as the tokenizer file's
-library does by default. Repeated rows get equal counts.
+library does by default. Repeated rows get equal counts. An empty table gives an empty result; columns other than the id
+and the text aren't read. A pre-token of more than LONG bytes would hold up its whole batch for as many steps as it has
+ranks; its pairs are merged in the same order from a heap instead, whose time grows with the length alone.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.bpe import long_boundaries
 from tallyforge.llm.common import small_batches
 from tallyforge.llm.vocab import Table, vocabulary
 
 NONE = np.int64(1) << 40
+LONG = 4_096
 
 
 class Merger:
@@ -87,7 +91,10 @@ def _table(path: str) -> Table:
     def find(strings: list[str]) -> list[int]:
         parts = [vocab.parts(x) for x in strings]
         words = [w for w in set(chain.from_iterable(parts)) if isinstance(w, str)]
-        n = dict(zip(words, merger.counts([w.encode() for w in words]).tolist(), strict=True))
+        raw = {w: w.encode() for w in words}
+        short = [w for w in words if len(raw[w]) <= LONG]
+        n = dict(zip(short, merger.counts([raw[w] for w in short]).tolist(), strict=True))
+        n.update((w, len(long_boundaries(raw[w], vocab.ranks)) - 1) for w in words if w not in n)
         return [sum(n.get(w, 1) for w in p) for p in parts]  # a special string is one token
 
     return Table(vocab, find, sum)
