@@ -19,8 +19,9 @@ from tallyforge.llm.common import fresh, join_ids, let, shared_root
 
 RATIO = 0.03
 MIN_PAGES = 3
-#: Line hashes, over all hosts, up to which the hosts' arrays are broadcast; beyond, they are joined by shuffle.
-HASHES = 1_000_000
+#: Line hashes, over all hosts, up to which the hosts' arrays are broadcast (8 bytes each); beyond, they are joined by
+#: shuffle, each array sent to PARTS parts of its host's pages, so that a hot host is no hot key.
+HASHES, PARTS = 1_000_000, 64
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -43,13 +44,21 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 
 def with_dedup(docs: DataFrame, name: str = "lines", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with one more column, a struct of: n_lines (with a word), n_dropped, clean (the text that stays)."""
+    """docs with one more column, a struct of: n_lines (with a word), n_dropped, clean (the text that stays). If docs has a
+    column of that name, the new one gets an underscore more."""
     shared_root(docs.sparkSession)
+    name = fresh(docs, name)
     found = boilerplate(docs, host, text, ratio, min_pages)
     key, bad = fresh(docs, "tf_key"), fresh(docs, "tf_bad")
     side = found.select(F.xxhash64("tf_host", F.col("tf_host").isNull()).alias(key), F.col("tf_lines").alias(bad)).checkpoint()
     few = (side.agg(F.sum(F.size(bad))).first()[0] or 0) <= HASHES
-    joined = docs.withColumn(key, F.xxhash64(F.col(host), F.col(host).isNull())).join(F.broadcast(side) if few else side.hint("merge"), key, "left")
+    joined = docs.withColumn(key, F.xxhash64(F.col(host), F.col(host).isNull()))
+    if few:
+        joined = joined.join(F.broadcast(side), key, "left")
+    else:
+        part = fresh(joined, "tf_part")
+        side = side.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = joined.withColumn(part, F.pmod(F.xxhash64(F.col(text)), F.lit(PARTS)).cast("int")).join(side.hint("merge"), [key, part], "left").drop(part)
 
     def split_up(lines):
         return let(
