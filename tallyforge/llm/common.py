@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.ship import ship
+from tallyforge.sources.shared import delete_path, has_path, shared_root  # noqa: F401
 
 #: The white space that separates words in all of these operators: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,31 +22,6 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 25
 RUN_ROWS = 2_048
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of
-    its own; on a cluster there is no safe choice, so it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tallyforge-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared storage, whatever file system it is on."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def has_path(spark: SparkSession, path: str) -> bool:
-    """Whether there is something at a path, whatever file system it is on."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 class Scratch:
     """A folder in the shared storage for the tables between the steps of one operator."""
 
@@ -93,6 +68,11 @@ def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Whether a row's label is held out: crc32 of its id as text leaves 1 modulo 3."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -112,19 +92,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def gapless(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """df with a number from 0 without gaps inside each group, by hash of `order` and then `order` itself.
+def gapless(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with a number from 0 without gaps inside each group, by hash of the columns of `order` and then themselves.
 
     A group is dealt into runs of about RUN_ROWS rows by hash; only the runs' sizes are summed up in order, so no task
-    holds a group, however large. Null groups count as a group; rows that agree in `order` are numbered in any order.
+    holds a group, however large. Rows that agree in all of `order` share a run, so the last of them should be a row's own
+    number. Null groups count as a group. df is read twice and must be a written table.
     """
     run, rank, base, size = (fresh(df, x) for x in ("tf_run", "tf_rank", "tf_base", "tf_size"))
     most = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     runs = max(1, -(-most // RUN_ROWS))
-    dealt = df.withColumn(run, F.pmod(F.xxhash64(F.col(order)), F.lit(runs)))
+    dealt = df.withColumn(run, F.pmod(F.xxhash64(*order), F.lit(runs)))
     sizes = dealt.groupBy(group, run).agg(F.count("*").alias(size))
     before = Window.partitionBy(group).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col(group).alias("g_"), F.col(run).alias("r_"), F.coalesce(F.sum(size).over(before), F.lit(0)).alias(base))
-    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(group, run).orderBy(order)) - 1)
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(group, run).orderBy(*order)) - 1)
     out = ranked.join(bases, F.col(group).eqNullSafe(F.col("g_")) & (F.col(run) == F.col("r_")))
     return out.withColumn(name, (F.col(base) + F.col(rank)).cast("long")).drop("g_", "r_", run, rank, base)

@@ -6,8 +6,10 @@ numbers, and a batch takes as many of them as fit the token budget at the bucket
 the budget is a batch of its own. Only the histogram reaches the driver: d distinct lengths add up to d * d / 2 words at
 least, so it grows at most with the square root of the corpus, and one long text adds one entry.
 
-Null and empty texts have length 0 and go to the first bucket. An empty table gives an empty result. Repeated rows each
-get a place of their own.
+The tokens of length and budget are words, cut at blanks and the controls 9 to 13; pack() takes any other length column.
+Null and empty texts have length 0 and go to the first bucket. An empty table gives an empty result. Repeated rows, null
+and repeated ids, each get a place of their own; no group of them is one task. Only the id and the length are read, so
+columns of any other name change nothing. A text of any length counts whole.
 """
 
 from __future__ import annotations
@@ -73,11 +75,12 @@ def _next_bucket(cost: np.ndarray, below: np.ndarray, lengths: np.ndarray) -> tu
 def pack(rows: DataFrame, length: str, key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """key, length, bucket, bucket_len, batch (in the bucket), slot (in the batch), padding for each row."""
     with scratch(rows.sparkSession) as room:
-        narrow = room.keep(rows.select(F.col(key), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")))
+        number = "tf_number" if key != "tf_number" else "tf_number_"
+        narrow = room.keep(rows.select(F.col(key), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length"), F.monotonically_increasing_id().alias(number)))
         top = F.greatest(F.col("length"), F.lit(1))
         bounds = boundaries({r["top"]: r["n"] for r in narrow.groupBy(top.alias("top")).agg(F.count("*").alias("n")).collect()}, buckets) or [1]
         bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("length")))
-        dealt = gapless(narrow.withColumn("bucket", bucket), "bucket", key, "place")
+        dealt = gapless(narrow.withColumn("bucket", bucket), "bucket", [key, number], "place")
         of = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("bucket"))
         fit = of([max(1, budget // b) for b in bounds])
         return dealt.select(

@@ -6,7 +6,8 @@ of items depends on the number of shards only. Differencing then starts from one
 repeatedly replaces the two of largest spread by their sum, the one's largest part on the other's smallest.
 
 A null text is equal to the empty one here. Every row gets a shard and a slot, repeated rows one each. A group larger than
-a shard's share can't be split and makes its shard larger. An empty table gives an empty result.
+a shard's share can't be split and makes its shard larger. An empty table gives an empty result. Only the id and the text
+are read, so columns of any other name change nothing.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", t
     """key, size, text_crc32, shard and slot of every document."""
     whole = F.coalesce(F.col(text), F.lit(""))
     with scratch(docs.sparkSession) as room:
-        rows = room.keep(docs.select(F.col(key), (F.octet_length(whole) + EXTRA).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.unhex(F.md5(whole)).alias("tf_group")))
+        rows = room.keep(docs.select(F.col(key), (F.octet_length(whole) + EXTRA).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.unhex(F.md5(whole)).alias("tf_group"), F.monotonically_increasing_id().alias("tf_number")))
         rows = rows.withColumn("tf_bundle", F.pmod(F.xxhash64("tf_group"), F.lit(shards * BUNDLES)).cast("int"))
         groups = room.keep(rows.groupBy("tf_group", "tf_bundle").agg(F.sum("size").alias("bytes")))
         total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -71,4 +72,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", t
         bundle_shard = F.split(F.lit(",".join(map(str, part[: shards * BUNDLES]))), ",").cast("array<int>")
         own = docs.sparkSession.createDataFrame([(bytearray(g), p) for (g, _), p in zip(heavy, part[shards * BUNDLES :], strict=True)], "tf_group binary, tf_shard int")
         placed = rows.join(F.broadcast(own), "tf_group", "left").withColumn("shard", F.coalesce("tf_shard", F.get(bundle_shard, F.col("tf_bundle"))))
-        return gapless(placed.select(key, "size", "text_crc32", "shard"), "shard", key, "slot").checkpoint()
+        placed = room.keep(placed.select(key, "size", "text_crc32", "shard", "tf_number"))
+        return gapless(placed, "shard", [key, "tf_number"], "slot").drop("tf_number").checkpoint()
