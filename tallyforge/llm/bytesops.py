@@ -15,6 +15,8 @@ CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # an odd number with mixed bits
 #: Bytes up to which a piece is hashed together with others.
 LONG_PIECE = 64
+#: Masks that keep the first n bytes of a block of eight.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 #: Blank and the controls 9 to 13 separate words.
 IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -66,17 +68,14 @@ def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """64-bit hashes of pieces: their blocks of eight bytes are mixed in one after another, in all pieces at once; pieces
     of more than LONG_PIECE bytes are digested by themselves."""
     size = ends - starts
-    out = mix(size.astype(U64) + U64(_BASE))
     blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    short = np.flatnonzero(size <= LONG_PIECE)
-    at, rest = starts[short], size[short]
-    while len(short):
-        block = blocks[at]
-        tail = rest < 8
-        block[tail] &= (U64(1) << (U64(8) * rest[tail].astype(U64))) - U64(1)
-        out[short] = mix(out[short] ^ block)
+    out = mix(mix(size.astype(U64) + U64(_BASE)) ^ (blocks[starts] & _FIRST_BYTES[np.minimum(size, 8)]))
+    some = np.flatnonzero((size > 8) & (size <= LONG_PIECE))
+    at, rest = starts[some] + 8, size[some] - 8
+    while len(some):
+        out[some] = mix(out[some] ^ (blocks[at] & _FIRST_BYTES[np.minimum(rest, 8)]))
         on = rest > 8
-        short, at, rest = short[on], at[on] + 8, rest[on] - 8
+        some, at, rest = some[on], at[on] + 8, rest[on] - 8
     for k in np.flatnonzero(size > LONG_PIECE).tolist():
         out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return out

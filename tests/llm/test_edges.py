@@ -17,14 +17,14 @@ from tallyforge.llm.common import scratch
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, bucket int, shard int, id long, n long, root string, tf_key int, tf_run int, lines string, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, bucket int, shard int, id long, n long, root string, tf_key int, tf_run int, lines string, digest string, quality int, media string, n_bytes int, items string, stored string, payload int, tf_number int, component int, block int, position int"
 random.seed(3)
 LONG = " ".join(random.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(random.randint(0, 9999)) for _ in range(60_000))
 TEXTS = [None, "", " \n\t", "one", "one two three", LONG, LONG + " end", "same words in this text here", "same words in this text here", "été <|endoftext|> 中文 🙂\nline  two \n x", "a b c d e f g h i j\n" * 30, "x" * 3000]
 
 
 def edge_rows():
-    rest = ("a", "b", 1, 2, 3, 4, "r", 5, 6, "l", "d")
+    rest = ("a", "b", 1, 2, 3, 4, "r", 5, 6, "l", "d", 7, "m", 8, "i", "s", 9, 10, 11, 12, 13)
     rows = [(k, t, "en", None if k == 3 else "src", 1, *rest) for k, t in enumerate(TEXTS)]
     return [*rows, rows[7], (None, "no id at all", None, "src", None, *rest)]
 
@@ -49,23 +49,38 @@ def folder(docs_, tmp_path):
     return token_files.read_tokens(docs_.sparkSession, parts)
 
 
+def pages(docs_):
+    with scratch(docs_.sparkSession) as room:
+        stored = media.store(room, docs_)
+        found = room.keep(media.look_at(stored))
+        rest = docs_.withColumn("html", media.page_of(F.col("text"), F.lit("a caption")))
+        return media.resolve(media.references(media.parse(rest, "html")), found).checkpoint()
+
+
 OPERATORS = {
     "pack": lambda d, lb, tmp: packing.pack_documents(d),
     "rules": lambda d, lb, tmp: quality_rules.with_rules(d, lb),
-    "score": lambda d, lb, tmp: quality_classifier.score(d.select("doc_id", "text"), quality_classifier.train(d, quality_classifier.quality_labels(lb))),
-    "lines": lambda d, lb, tmp: line_dedup.with_dedup(d, "found"),
+    "score": lambda d, lb, tmp: quality_classifier.score(d, quality_classifier.train(d, quality_classifier.quality_labels(lb))),
+    "lines": lambda d, lb, tmp: line_dedup.with_dedup(d),
     "near": lambda d, lb, tmp: minhash.near_duplicates(d),
     "counts": lambda d, lb, tmp: token_counts.count_tokens(d, VOCAB),
     "files": lambda d, lb, tmp: folder(d, tmp),
     "shards": lambda d, lb, tmp: sharding.shard_by_bytes(d),
     "bpe": lambda d, lb, tmp: bpe.round_trip_digests(d, VOCAB),
     "parse": lambda d, lb, tmp: media.parse(d, "text"),
+    "pages": lambda d, lb, tmp: pages(d),
 }
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_a_row_per_row(name, docs, empty, labels, tmp_path):
-    assert OPERATORS[name](docs, labels, tmp_path / "a").count() == docs.count()
+    out = OPERATORS[name](docs, labels, tmp_path / "a")
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    rows = [r.asDict() for r in out.collect()]
+    assert len(rows) == docs.count()
+    if set(docs.columns) <= set(out.columns):  # what docs has under the same names stays what it was
+        same = lambda r: str(sorted((c, str(r[c])) for c in docs.columns))
+        assert sorted(map(same, rows)) == sorted(same(r.asDict()) for r in docs.collect())
     assert OPERATORS[name](empty, labels, tmp_path / "b").count() == 0
 
 
@@ -82,7 +97,7 @@ def test_pipeline_stages_take_edges_and_empty_tables(spark, docs, empty, labels,
 def test_rules_count_as_plain_python(docs, labels):
     import re
 
-    for r in quality_rules.with_rules(docs, labels).select("text", "quality.*").collect():
+    for r in quality_rules.with_rules(docs, labels).select("text", "quality_.*").collect():
         words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         tri = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
         seen = {}
@@ -156,22 +171,63 @@ def test_media_round_trip_and_order(spark):
     for raw in (b"", b"x", b"ab" * 700, bytes(range(256)) * 9):
         payload = media.padded(raw)
         assert len(payload) % 576 == 0 and payload and media.from_png(media.to_png(payload)).tobytes() == payload
-    html = "<p>First</p><script>no</script><figure><img src='media:aa' alt='x'><figcaption>A  cap</figcaption></figure><p>Last <b>one</b><img src='media:bb' alt='y'></p>"
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page long, html string")
+    html = "<p>First</p><script>no</script><figure><img src='media:aa' alt='x'><figcaption>A  cap</figcaption></figure><p>Last <b>one</b><img src='media:bb' alt='y'><img data-src='http://h/i.png'><video srcset='/a.png 2x, /b.png' poster='p'></p>"
+    pages = spark.createDataFrame([(1, html, "k"), (2, None, "aa"), (3, "", "bb")], "page long, html string, digest string")
     items = {r.page: r["items"] for r in media.parse(pages, "html").collect()}
-    assert [(i.kind, i.text or i.digest, i.caption) for i in items[1]] == [("text", "First", None), ("media", "aa", "A cap"), ("text", "Last one", None), ("media", "bb", "y")]
-    assert items[2] == items[3] == []
+    assert [(i.kind, i.text or i.url, i.digest, i.caption) for i in items[1]] == [
+        ("text", "First", None, None), ("media", "media:aa", "aa", "A cap"), ("text", "Last one", None, None), ("media", "media:bb", "bb", "y"),
+        ("media", "http://h/i.png", None, None), ("media", "/a.png", None, None),
+    ]
+    assert items[2] == items[3] == [] and [i.position for i in items[1]] == list(range(6))
     found = spark.createDataFrame([("aa", 7)], "digest string, size int").checkpoint()
-    got = {(r.digest, r.position): r["size"] for r in media.resolve(media.references(media.parse(pages, "html")), found).collect()}
-    assert got == {("aa", 1): 7, ("bb", 3): None}
+    got = {(r["items"].url, r["items"].position, r.digest): r.payload and r.payload.size for r in media.resolve(media.references(media.parse(pages, "html")), found).collect()}
+    assert got == {("media:aa", 1, "k"): 7, ("media:bb", 3, "k"): None, ("http://h/i.png", 4, "k"): None, ("/a.png", 5, "k"): None}
+
+
+def test_sequences_of_real_pages(spark):
+    """The texts of a page come in its order, whatever the page, and a figure put into it keeps its place and caption."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.text, self.off = [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.off = tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.off = False
+
+        def handle_data(self, data):
+            self.text.append("" if self.off else data)
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    put = "<figure><img src='media:{0}' alt='no'><figcaption>Figure of {0}</figcaption></figure>"
+    cut = [(r.page_id, r.html.replace("</article>", put.format(r.page_id) + "</article>", 1), r.html.split("</article>", 1)[0], "</article>" in r.html) for r in rows.collect()]
+    made = spark.createDataFrame([c[:2] for c in cut], "page_id long, html string")
+    seen = {r.page_id: r["items"] for r in media.parse(made, "html").collect()}
+    squeeze = lambda t: "".join(t.split())
+    for page, html, before, has in cut:
+        plain = Plain()
+        plain.feed(html.replace(put.format(page), ""))
+        plain.close()
+        assert squeeze("".join(i.text for i in seen[page] if i.kind == "text")) == squeeze("".join(plain.text))
+        found = [i for i in seen[page] if i.kind == "media"]
+        assert [(i.digest, i.caption) for i in found] == [(str(page), f"Figure of {page}")] * has
+        if has:
+            plain = Plain()
+            plain.feed(before)
+            plain.close()
+            assert squeeze("".join(i.text for i in seen[page][: found[0].position])) == squeeze("".join(plain.text))
 
 
 def test_store_and_look_at(spark, docs):
     with scratch(spark) as room:
-        stored = media.store(room, docs.select("doc_id", "text"))
+        stored = media.store(room, docs.select("doc_id", "text", "digest"))
         found = {r.digest: r for r in media.look_at(stored).collect()}
         for r in stored.collect():
-            assert found[r.digest].payload_sha256 == r.digest and found[r.digest].media_bytes == len(r.media)
+            assert r.digest == "d" and found[r.stored.digest].payload_sha256 == r.stored.digest and found[r.stored.digest].media_bytes == len(r.stored.media)
 
 
 def test_boundaries_are_optimal():

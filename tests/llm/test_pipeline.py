@@ -24,18 +24,20 @@ def test_pipeline_against_brute_force(spark):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     good = {r.doc_id for r in quality_rules.with_rules(docs, labels).where("quality.kept").collect()}  # held against brute force in test_edges
     rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good)
-    left = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    model = quality_classifier.train(left, quality_classifier.quality_labels(labels))
+    model = quality_classifier.train(docs, quality_classifier.quality_labels(labels))
     score = quality_classifier.scores(pa.array([t for _, t, _ in rows]), model)
     rows = lines_out([r for r, s in zip(rows, score, strict=True) if s >= 0.5])
     _, root = brute_components([t for _, t, _ in rows], 5, 80)
     kept = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for k, r in enumerate(rows) if root[k] == k}
     out = corpus_pipeline.run(spark, DIR).toPandas()
     assert dict(zip(out.doc_id, out.length, strict=True)) == kept
-    width = max(1, -(-max(kept.values()) // packing.BINS))
-    tops = Counter(max(1, -(-n // width)) * width for n in kept.values())
-    bounds = packing.boundaries(dict(tops))
-    assert all(r.bucket_len == min(b for b in bounds if b >= r.length) and r.padding == r.bucket_len - r.length for r in out.itertuples())
+    tops = sorted(max(1, n) for n in kept.values())
+    least = [0.0] + [float("inf")] * len(tops)
+    for _ in range(packing.BUCKETS):  # the least padded total of the shortest j documents, by trying every cut
+        least = [0.0] + [min(least[i] + (j - i) * tops[j - 1] for i in range(j)) for j in range(1, len(tops) + 1)]
+    assert out.padding.sum() == least[-1] - sum(kept.values()) and (out.padding == out.bucket_len - out.length).all()
+    batches = out.groupby(["bucket", "batch"]).agg(n=("slot", "size"), top=("slot", "max"), wide=("bucket_len", "first"))
+    assert ((batches.n * batches.wide <= packing.BUDGET) | (batches.n == 1)).all() and (batches.top == batches.n - 1).all()
 
 
 def test_sql_of_the_operators(spark):
