@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept. All but the last return
 the columns of documents. run() writes every stage's result to the shared folder of the cluster and reads it again.
 
-Documents without words are rejected by the rules. Null ids have no label and are never linked; extra columns pass through
-all stages but the last.
+Documents without words are rejected by the rules. Null ids have no label; of rows with equal texts, one stays. Extra
+columns, whatever their names, pass through all stages but the last. An empty table gives an empty result; repeated rows
+are judged alike and one of them stays; very long texts are taken whole.
 """
 
 from __future__ import annotations
