@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.columns import row_mean
 from tallyforge.functions.ship import ship
+from tallyforge.operators.windows import ranked
 
 
 def fill_by_regression(df: DataFrame, target: str, features: list[str], intercept: bool = True) -> DataFrame:
@@ -31,21 +35,29 @@ def fill_chain(df: DataFrame, order: list[str], first: list[str]) -> DataFrame:
     return df
 
 
-def quantile_lines(df: DataFrame, group: str, x: str, y: str, q: float, steps: int = 400, bins: int = 64) -> DataFrame:
-    """Slope and intercept of the q-quantile line of each group. Groups are first summed up into bins of x with their
-    quantile and weight, so what one task fits is bounded, then fitted by subgradient steps on the pinball loss."""
+def quantile_lines(df: DataFrame, group: str, x: str, y: str, q: float, steps: int = 400, bins: int = 64, points: int = 100) -> DataFrame:
+    """Slope and intercept of the q-quantile line of each group. Each group is first summed up into bins of x, and a bin into
+    `points` evenly spaced quantiles of y that share its weight, so that what one task fits is bounded and stands for the
+    rows to within 1 / points of a bin; then the pinball loss is made least by subgradient steps."""
     edges = df.groupBy(group).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     cell = F.floor((F.col(x) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)) * bins)
-    cells = df.join(F.broadcast(edges), group).groupBy(group, cell.alias("cell")).agg(F.avg(x).alias("x"), F.percentile(y, F.lit(q)).alias("y"), F.count("*").alias("w"))
+    spread = F.percentile(y, F.array(*(F.lit((k + 0.5) / points) for k in range(points))))
+    cells = df.join(edges, group).groupBy(group, cell.alias("cell")).agg(F.avg(x).alias("x"), spread.alias("y"), F.count("*").alias("w"))
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("cell", kind="stable")
-        xs, ys, w = t["x"].to_numpy(float), t["y"].to_numpy(float), t["w"].to_numpy(float) / t["w"].sum()
+        ys = np.concatenate([np.asarray(v, float) for v in t["y"]])
+        xs, w = np.repeat(t["x"].to_numpy(float), points), np.repeat(t["w"].to_numpy(float) / t["w"].sum() / points, points)
         mx, sx, sy = (w * xs).sum(), max(xs.std(), 1e-9), max(ys.std(), 1e-9)
-        z, a, b = (xs - mx) / sx, float(np.median(ys)) / sy, 0.0
+        z, ys = (xs - mx) / sx, ys / sy
+        a, b, best = float(np.quantile(ys, q)), 0.0, (np.inf, 0.0, 0.0)
         for k in range(1, steps + 1):
-            g = np.where(ys / sy > a + b * z, -q, 1 - q) * w
+            gap = ys - a - b * z
+            loss = (w * np.maximum(q * gap, (q - 1) * gap)).sum()
+            best = min(best, (loss, a, b))
+            g = np.where(gap > 0, -q, 1 - q) * w
             a, b = a - g.sum() / k**0.5, b - (g * z).sum() / k**0.5
+        _, a, b = best
         slope = b * sy / sx
         return pd.DataFrame({group: [t[group].iloc[0]], "slope": [slope], "intercept": [a * sy - slope * mx]})
 
@@ -53,11 +65,106 @@ def quantile_lines(df: DataFrame, group: str, x: str, y: str, q: float, steps: i
     return cells.groupBy(group).applyInPandas(fit, f"{group} {df.schema[group].dataType.simpleString()}, slope double, intercept double")
 
 
-def spread_curve(df: DataFrame, predicted: str, bins: int = 20) -> DataFrame:
-    """Deviation by prediction as a monotone curve: bins of the prediction's range, then isotonic regression."""
-    lo, hi = df.agg(F.min(predicted), F.max(predicted)).first()
-    cell = F.least(F.floor((F.col(predicted) - F.lit(lo)) / F.lit(max(hi - lo, 1e-9)) * bins), F.lit(bins - 1))
-    cells = df.groupBy(cell.cast("int").alias("bin")).agg(F.avg(predicted).alias("x"), F.coalesce(F.stddev_samp("error"), F.lit(0.0)).alias("sd"), F.count("*").cast("double").alias("w"))
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(cells)
-    model = IsotonicRegression(labelCol="sd", weightCol="w").fit(rows)
-    return model.transform(rows).select("bin", F.col("prediction").alias("sd"))
+def monotone(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The rising sequence of least weighted squared distance to y, by pooling neighbours."""
+    blocks: list[list[float]] = []  # mean, weight, length
+    for value, weight in zip(y, w, strict=True):
+        blocks.append([float(value), float(weight), 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            m, n, k = blocks.pop()
+            b = blocks[-1]
+            b[0], b[1], b[2] = (b[0] * b[1] + m * n) / (b[1] + n), b[1] + n, b[2] + k
+    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+
+
+def spread_curves(df: DataFrame, predicted: str, actual: str, bins: list[int]) -> DataFrame:
+    """How the deviation, the 99th and the 1st percentile of the actual values go with the prediction: metric, bins, bin, x,
+    value. For every number of bins to choose from, rows go into bins of equal count by prediction, and a monotone curve is
+    fitted to the bins; per metric that number is taken whose curve is nearest to its bins. Rows are ranked once; what a
+    task fits are bins, whose number is a parameter."""
+    rows = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).select(F.lit(1).alias("tf_one"), F.col(predicted).alias("p"), F.col(actual).alias("a"))
+    total = rows.groupBy("tf_one").agg(F.count("*").alias("tf_all"))
+    rows = ranked(rows, ["tf_one"], "p", False, [F.col("a")], "tf_rank").join(F.broadcast(total), "tf_one")
+    rows = rows.withColumn("bins", F.explode(F.array(*map(F.lit, bins)))).withColumn("bin", F.floor((F.col("tf_rank") - 1) / F.ceil(F.col("tf_all") / F.col("bins"))).cast("int"))
+    cells = rows.groupBy("bins", "bin").agg(F.avg("p").alias("x"), F.stddev_samp("a").alias("sd"), F.percentile("a", F.lit(0.99)).alias("p99"), F.percentile("a", F.lit(0.01)).alias("p1")).dropna()
+
+    def fit(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("bin", kind="stable")
+        out = []
+        for metric in ("sd", "p99", "p1"):
+            value = monotone(t[metric].to_numpy(float), np.ones(len(t)))
+            out.append(pd.DataFrame({"metric": metric, "bins": t["bins"], "bin": t["bin"], "x": t["x"], "value": value, "mse": ((value - t[metric]) ** 2).mean()}))
+        return pd.concat(out)
+
+    ship(df.sparkSession)
+    curves = cells.groupBy("bins").applyInPandas(fit, "metric string, bins int, bin int, x double, value double, mse double").checkpoint()
+    best = curves.groupBy("metric").agg(F.min_by("bins", F.struct("mse", "bins")).alias("bins"))
+    return curves.join(F.broadcast(best), ["metric", "bins"]).drop("mse")  # three rows
+
+
+def stack(df: DataFrame, features: list[str], label: str, fold: str, models: dict, folds: int, best: int) -> DataFrame:
+    """df with each model's out-of-fold prediction (p_<name>), the mean of the best models' (best_mean) and a meta model's on
+    all of them (stacked). Of 1 to `best` models in the order of their out-of-fold error that many are averaged for which the
+    mean's error is least. Each model is a regressor that is fitted on the other folds; one row of errors reaches the driver.
+    """
+    rows = VectorAssembler(inputCols=features, outputCol="tf_x").transform(df)
+    parts = []
+    for k in range(folds):
+        train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+        for name, model in models.items():
+            test = model.copy().setFeaturesCol("tf_x").setLabelCol(label).setPredictionCol(f"p_{name}").fit(train).transform(test)
+        parts.append(test)
+    oof = reduce(lambda a, b: a.unionByName(b), parts).drop("tf_x").checkpoint()
+    names = [f"p_{n}" for n in models]
+    error = lambda p: F.avg((F.col(label) - p) * (F.col(label) - p))
+    errors = oof.agg(*(error(F.col(p)).alias(p) for p in names)).first().asDict()
+    order = sorted(names, key=lambda p: (errors[p], p))
+    means = [row_mean([F.col(p) for p in order[:k]]) for k in range(1, min(best, len(order)) + 1)]
+    found = oof.agg(*(error(m).alias(str(k)) for k, m in enumerate(means))).first()
+    meta = VectorAssembler(inputCols=names, outputCol="tf_p").transform(oof.withColumn("best_mean", means[int(np.argmin(found))]))
+    return LinearRegression(featuresCol="tf_p", labelCol=label, predictionCol="stacked", regParam=0.01).fit(meta).transform(meta).drop("tf_p")
+
+
+def scaled(df: DataFrame, col: str) -> DataFrame:
+    """df with standard, unit and robust: less mean over deviation, place between least and greatest, less median over the
+    range of the middle half. The quantiles come from the counts of distinct values; a constant column gives null."""
+    c = F.col(col)
+    one = df.agg(F.avg(c).alias("tf_m"), F.stddev_pop(c).alias("tf_sd"), F.min(c).alias("tf_lo"), F.max(c).alias("tf_hi"))
+    counts = df.groupBy(c.alias("tf_v")).agg(F.count("*").alias("tf_n"))
+    middle = counts.agg(*(F.percentile("tf_v", F.lit(q), F.col("tf_n")).alias(f"tf_q{k}") for k, q in enumerate((0.25, 0.5, 0.75))))
+    out = df.join(F.broadcast(one)).join(F.broadcast(middle))  # one row each
+    out = out.withColumns({"standard": F.try_divide(c - F.col("tf_m"), F.col("tf_sd")), "unit": F.try_divide(c - F.col("tf_lo"), F.col("tf_hi") - F.col("tf_lo")), "robust": F.try_divide(c - F.col("tf_q1"), F.col("tf_q2") - F.col("tf_q0"))})
+    return out.drop("tf_m", "tf_sd", "tf_lo", "tf_hi", "tf_q0", "tf_q1", "tf_q2")
+
+
+def moments(x: str, y: str) -> list:
+    """Aggregates that penalised_line() needs."""
+    return [F.covar_pop(y, x).alias("tf_c"), F.var_pop(x).alias("tf_v"), F.avg(x).alias("tf_mx"), F.avg(y).alias("tf_my")]
+
+
+def penalised_line(df: DataFrame, name: str, weight: float, l1: float) -> DataFrame:
+    """Slope `name` and its intercept that make half the mean squared error and weight * (l1 * |slope| + (1 - l1) / 2 *
+    slope ** 2) least; l1 is 0 for ridge, 1 for lasso, between for an elastic net."""
+    c, v = F.col("tf_c"), F.col("tf_v")
+    slope = F.try_divide(F.signum(c) * F.greatest(F.abs(c) - weight * l1, F.lit(0.0)), v + weight * (1 - l1))
+    return df.withColumn(name, slope).withColumn(f"{name}_start", F.col("tf_my") - F.col(name) * F.col("tf_mx"))
+
+
+def expanding_line(df: DataFrame, period: str, x: str, y: str, name: str) -> DataFrame:
+    """df with each row's value on the line fitted to all earlier periods; rows of the first period are left out. The fits
+    come from running sums over periods."""
+    sums = df.groupBy(period).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
+    w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, -1)  # a row per period
+    s = sums.select(period, *(F.sum(c).over(w).alias(c) for c in ("n", "sx", "sy", "xy", "xx"))).where("n IS NOT NULL")
+    slope = F.try_divide(F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("xx") - F.col("sx") * F.col("sx"))
+    fit = s.select(period, slope.alias("tf_b"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("tf_a"))
+    return df.join(fit, period).withColumn(name, F.col("tf_a") + F.col("tf_b") * F.col(x)).drop("tf_a", "tf_b")
+
+
+def smoothed(curve: DataFrame, place: str, value: str, width: int, name: str) -> DataFrame:
+    """A curve over whole places, each value the mean of its neighbours up to `width` places away, whose weight falls with
+    the cube of the distance. A curve is bounded by its places, so its pairs are too: 2 * width + 1 of a place."""
+    near = curve.select(F.explode(F.sequence(F.col(place) - width, F.col(place) + width)).alias("tf_at"), F.col(place).alias("tf_from"), F.col(value).alias("tf_y"))
+    w = 1 - F.pow(F.abs(F.col("tf_at") - F.col("tf_from")) / (width + 1.0), F.lit(3.0))
+    means = near.groupBy("tf_at").agg((F.sum(w * F.col("tf_y")) / F.sum(w)).alias(name))
+    return curve.join(means, F.col(place) == F.col("tf_at")).drop("tf_at")

@@ -59,3 +59,19 @@ def predicate(df: DataFrame, column: str, operator: str, value: float) -> DataFr
 def slice_upsert(spark, path: str, new: DataFrame, partitions: list[str]) -> None:
     """Replace exactly the partitions that new has rows in."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def first_of_names(df: DataFrame) -> DataFrame:
+    """Of columns that share a name, as after a join, the first one."""
+    names, seen, keep = [], set(), []
+    for k, c in enumerate(df.columns):
+        names.append(f"{c}__{k}")
+        if c.lower() not in seen:
+            seen.add(c.lower())
+            keep.append(F.col(names[-1]).alias(c))
+    return df.toDF(*names).select(*keep)
+
+
+def columns_to_fill(stat: str, sources: list[str], drop: list[str] = ()) -> list[str]:
+    """The columns of a statistic, one per source, without those of `drop`."""
+    return [f"{stat}{s}" for s in sources if s not in drop]

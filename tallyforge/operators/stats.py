@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import half_even, row_mean, row_std
+from tallyforge.operators.windows import ranked
 
 
 def consensus(df: DataFrame, sources: list[str], name: str, digits: int = 2) -> DataFrame:
@@ -15,20 +16,21 @@ def consensus(df: DataFrame, sources: list[str], name: str, digits: int = 2) ->
     df = df.withColumn(f"avg_{name}", mean).withColumns(dict(zip(sources, filled, strict=True)))
     df = df.withColumn(f"std_{name}", row_std([F.col(c) for c in sources]))
     usable = F.when(F.col(f"std_{name}") > 1e-9, F.try_divide(F.col(f"std_{name}"), F.col(f"avg_{name}")))
-    cv = df.agg(F.avg(usable)).first()[0]
-    std = F.when(F.col(f"std_{name}") <= 1e-9, F.col(f"avg_{name}") * F.lit(cv)).otherwise(F.col(f"std_{name}"))
-    return df.withColumn(f"std_{name}", half_even(std, digits)).withColumn(f"avg_{name}", half_even(F.col(f"avg_{name}"), digits))
+    df = df.join(F.broadcast(df.agg(F.avg(usable).alias("tf_cv"))))  # one row
+    std = F.when(F.col(f"std_{name}") <= 1e-9, F.col(f"avg_{name}") * F.col("tf_cv")).otherwise(F.col(f"std_{name}"))
+    return df.withColumn(f"std_{name}", half_even(std, digits)).withColumn(f"avg_{name}", half_even(F.col(f"avg_{name}"), digits)).drop("tf_cv")
 
 
-def slope_through_origin(df: DataFrame, x: str, y: str) -> float | None:
-    return df.agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x)))).first()[0]
+def slope_through_origin(df: DataFrame, x: str, y: str, name: str = "slope") -> DataFrame:
+    """One row with the slope."""
+    return df.agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias(name))
 
 
 def fill_by_slope(df: DataFrame, x: str, y: str, use, factor: float = 2.0) -> DataFrame:
     """Missing y become slope * x, the slope through the origin over the rows of `use`; below 0, factor * x."""
-    b = slope_through_origin(df.where(use), x, y)
-    guess = F.lit(b) * F.col(x)
-    return df.withColumn(y, F.coalesce(F.col(y), F.when(guess < 0, factor * F.col(x)).otherwise(guess)))
+    guess = F.col("tf_slope") * F.col(x)
+    df = df.join(F.broadcast(slope_through_origin(df.where(use), x, y, "tf_slope")))
+    return df.withColumn(y, F.coalesce(F.col(y), F.when(guess < 0, factor * F.col(x)).otherwise(guess))).drop("tf_slope")
 
 
 def history_mean(df: DataFrame, level: str, period: str, col: str, name: str, ahead: int = 0) -> DataFrame:
@@ -97,8 +99,37 @@ def quantile(df: DataFrame, col: str, q: float, few: int = 100_000, accuracy: in
         if a == b and below + under <= low and high < below + under + inside:
             return a
         if inside == rows or not (below + under <= low and high < below + under + inside):
-            return df.agg(F.percentile(col, F.lit(q))).first()[0]
+            return quantiles_by(df.select(F.lit(1).alias("tf_one"), col), ["tf_one"], col, {"q": q}).first()["q"]
         x, below, rows = x.where(F.col("x").between(a, b)), below + under, inside
     values = sorted(r["x"] for r in x.collect())
     a, b = values[low - below], values[high - below]
     return a + (b - a) * (rank - low)
+
+
+def class_metrics(df: DataFrame, chance: str, label: str, cut: float = 0.5) -> DataFrame:
+    """One row: the Brier score of a chance and the Matthews correlation of its verdict at `cut`; null if a margin is empty."""
+    p, y, said = F.col(chance), F.col(label), F.col(chance) >= cut
+    count = lambda c: F.count_if(c).cast("double")
+    cells = df.agg(F.avg((p - y) * (p - y)).alias("brier"), count(said & (y == 1)).alias("tp"), count(said & (y == 0)).alias("fp"), count(~said & (y == 1)).alias("fn"), count(~said & (y == 0)).alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return cells.select("brier", F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("matthews"))
+
+
+def best_features(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
+    """The k features of greatest F value of a linear fit, which is r2 * (n - 2) / (1 - r2) and so grows with the squared
+    correlation. One aggregation."""
+    r = df.agg(*(F.corr(c, target).alias(c) for c in features)).first().asDict()
+    return sorted(features, key=lambda c: (-abs(r[c] or 0.0), c))[:k]
+
+
+def quantiles_by(df: DataFrame, keys: list[str], col: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of each group by name, null values aside, without a task that holds a group:
+    the rows at the wanted places come from ranked(). Groups of a null key are left out."""
+    x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("tf_x"))
+    n = x.groupBy(*keys).agg(F.count("*").alias("tf_all"))
+    places = ranked(x, keys, "tf_x", False, [], "tf_rank").join(n, keys)
+    want = {name: q * (F.col("tf_all") - 1) for name, q in quantiles.items()}
+    at = lambda place: F.max(F.when(F.col("tf_rank") - 1 == place, F.col("tf_x")))
+    ends = [c for name, w in want.items() for c in (at(F.floor(w)).alias(f"tf_a_{name}"), at(F.ceil(w)).alias(f"tf_b_{name}"), F.max(w - F.floor(w)).alias(f"tf_f_{name}"))]
+    value = lambda name: F.col(f"tf_a_{name}") + (F.col(f"tf_b_{name}") - F.col(f"tf_a_{name}")) * F.col(f"tf_f_{name}")
+    return places.groupBy(*keys).agg(*ends).select(*keys, *(value(name).alias(name) for name in quantiles))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,64 @@ def share(df: DataFrame, keys: list[str], col: str, epsilon: float, name: str) -
 
 def over_replacement(df: DataFrame, keys: list[str], kind: str, points: str, ranks: dict[str, int], order: list, name: str) -> DataFrame:
     """Points less those of the k-th of the group, k by `kind` and at most the group's size; null for an unknown kind."""
-    group = Window.partitionBy(*keys)
-    k = F.least(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(kind)], F.count("*").over(group))
-    df = df.withColumns({"tf_rn": F.row_number().over(_over(keys, order)), "tf_k": F.when(F.col(kind).isin(*ranks), k)})
-    line = F.max(F.when(F.col("tf_rn") == F.col("tf_k"), F.col(points))).over(group)
-    return df.withColumn(name, F.col(points) - line).drop("tf_rn", "tf_k")
-
-
-def equal_buckets(df: DataFrame, keys: list[str], order: list, n: int, name: str) -> DataFrame:
-    """ceil(N / n) rows per bucket; the last ones come out short or empty."""
-    size = F.ceil(F.count("*").over(Window.partitionBy(*keys)) / n)
-    return df.withColumn(name, F.floor((F.row_number().over(_over(keys, order)) - 1) / size).cast("int"))
+    return over_replacements(df, keys, kind, points, {name: ranks}, order)
+
+
+def over_replacements(df: DataFrame, keys: list[str], kind: str, points: str, boards: dict[str, dict[str, int]], order: list) -> DataFrame:
+    """over_replacement() for several tables of ranks at once, by the names of their columns.
+
+    Only each group's first rows, as many as the greatest k, are ranked (a limit that works before the shuffle): the k-th, or
+    the last of a smaller group, is the last of the first k. These lines are joined back.
+    """
+    most = max(k for ranks in boards.values() for k in ranks.values())
+    top = df.withColumn("tf_rn", F.row_number().over(_over(keys, order))).where(F.col("tf_rn") <= most)
+    k = {name: F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(kind)] for name, ranks in boards.items()}
+    lines = top.groupBy(*keys).agg(*(F.max_by(points, F.when(F.col("tf_rn") <= k[name], F.col("tf_rn"))).alias(f"tf_{name}") for name in boards))
+    value = {name: F.when(F.col(kind).isin(*ranks), F.col(points) - F.col(f"tf_{name}")) for name, ranks in boards.items()}
+    return df.join(lines, keys, "left").withColumns(value).drop(*(f"tf_{name}" for name in boards))
+
+
+def after_top(df: DataFrame, keys: list[str], by: str, ties: str, n: int) -> DataFrame:
+    """The rows behind each group's first n by falling `by` and then rising `ties`; only the first n are ranked."""
+    order = [F.desc(by), F.col(ties)]
+    top = df.withColumn("tf_rn", F.row_number().over(_over(keys, order))).where(F.col("tf_rn") <= n)
+    last = top.groupBy(*keys).agg(F.max_by(F.struct(F.col(by).alias("by"), F.col(ties).alias("tie")), "tf_rn").alias("tf_last"))
+    behind = (F.col(by) < F.col("tf_last.by")) | ((F.col(by) == F.col("tf_last.by")) & (F.col(ties) > F.col("tf_last.tie")))
+    return df.join(last, keys).where(behind).drop("tf_last")
+
+
+def ranked(df: DataFrame, keys: list[str], by: str, descending: bool, ties: list, name: str, runs: int = 64) -> DataFrame:
+    """row_number of each group by a number and then by `ties`, without a task that holds a group.
+
+    Approximate percentiles cut each group into runs of its range; a row's place is the number of rows in the runs before
+    and its place in its own. The result is exact wherever the cuts lie. Nulls come last. df is computed twice.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(by, [k / runs for k in range(1, runs)], 10_000).alias("tf_cuts"))
+    run = F.size(F.filter("tf_cuts", lambda x: x < F.col(by)))
+    run = F.when(F.col(by).isNull(), F.lit(runs)).otherwise(F.lit(runs - 1) - run if descending else run)
+    same = [F.col(f"tf_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    cuts = cuts.withColumnsRenamed({k: f"tf_k{i}" for i, k in enumerate(keys)})
+    drop = [f"tf_k{i}" for i in range(len(keys))]
+    dealt = df.join(cuts, _all(same), "left").withColumn("tf_run", run).drop("tf_cuts", *drop)
+    sizes = dealt.groupBy(*keys, "tf_run").agg(F.count("*").alias("tf_n"))
+    before = Window.partitionBy(*keys).orderBy("tf_run").rowsBetween(Window.unboundedPreceding, -1)  # at most runs + 1 rows
+    sizes = sizes.withColumn("tf_base", F.coalesce(F.sum("tf_n").over(before), F.lit(0))).drop("tf_n")
+    sizes = sizes.withColumnsRenamed({k: f"tf_k{i}" for i, k in enumerate(keys)} | {"tf_run": "tf_of"})
+    first = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    placed = dealt.withColumn("tf_place", F.row_number().over(_over([*keys, "tf_run"], [first, *ties])))
+    out = placed.join(sizes, _all([*same, F.col("tf_of") == F.col("tf_run")]))
+    return out.withColumn(name, F.col("tf_base") + F.col("tf_place")).drop("tf_base", "tf_place", "tf_run", "tf_of", *drop)
+
+
+def _all(conditions: list):
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def equal_buckets(df: DataFrame, keys: list[str], by: str, descending: bool, ties: list, n: int, name: str) -> DataFrame:
+    """ceil(N / n) rows per bucket in the order of a number and then of `ties`; the last ones come out short or empty."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / n).alias("tf_size"))
+    out = ranked(df, keys, by, descending, ties, "tf_rank").join(sizes, keys)
+    return out.withColumn(name, F.floor((F.col("tf_rank") - 1) / F.col("tf_size")).cast("int")).drop("tf_rank", "tf_size")
 
 
 def running(df: DataFrame, keys: list[str], order: list, col: str, agg: str, name: str) -> DataFrame:

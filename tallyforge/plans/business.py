@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import clean_name, clean_number, feet_inches, look_up, row_mean, scrub, weighted_sum
 from tallyforge.functions.text import similarity
+from tallyforge.operators import models, simulate, stats
 from tallyforge.operators import relational as rel
-from tallyforge.operators import simulate, stats
 from tallyforge.operators import windows as win
 from tallyforge.plans.registry import query, table
 from tallyforge.plans.season import SEASON_SQL, SOURCES_SQL, best, season, sources
@@ -130,9 +130,10 @@ def bz14(spark, d):
 
 @query("bz15_tail_ratio", S + "SELECT pos, round((quantile_cont(CASE WHEN games <= 2 THEN pts END, 0.9) / quantile_cont(CASE WHEN games > 2 THEN pts END, 0.9) + quantile_cont(CASE WHEN games <= 2 THEN pts END, 0.95) / quantile_cont(CASE WHEN games > 2 THEN pts END, 0.95)) / 2, 6) AS ratio FROM season GROUP BY pos")
 def bz15(spark, d):
-    p = lambda cond, q: F.percentile(F.when(cond, F.col("pts")), F.lit(q))
-    few, many = F.col("games") <= 2, F.col("games") > 2
-    return season(spark, d).groupBy("pos").agg(F.round((p(few, 0.9) / p(many, 0.9) + p(few, 0.95) / p(many, 0.95)) / 2, 6).alias("ratio"))
+    df = season(spark, d).select("pos", F.when(F.col("games") <= 2, F.col("pts")).alias("few"), F.when(F.col("games") > 2, F.col("pts")).alias("many"))
+    few = stats.quantiles_by(df, ["pos"], "few", {"f90": 0.9, "f95": 0.95})
+    many = stats.quantiles_by(df, ["pos"], "many", {"m90": 0.9, "m95": 0.95})
+    return few.join(many, "pos").select("pos", F.round((F.col("f90") / F.col("m90") + F.col("f95") / F.col("m95")) / 2, 6).alias("ratio"))
 
 
 BZ16 = """, u AS (SELECT player, yr, pts AS pred, CAST(games - 3 AS DOUBLE) AS sd, pts * 0.9 AS hi, pts * 1.1 AS lo FROM season UNION ALL SELECT player, yr, pts * 1.2, CAST(2 AS DOUBLE), pts * 1.5, pts * 0.5 FROM season WHERE games > 2),
@@ -154,9 +155,10 @@ def bz16(spark, d):
 @query("upd5_clamp_chain", S + BZ16 + "SELECT player, yr, round(pred, 3) AS pred, sd, round(hi, 3) AS hi, round(lo, 3) AS lo FROM b WHERE sd <> 2 OR hi < pred * 1.2")
 def upd5(spark, d):
     c = F.col("pts")
-    one = season(spark, d).select("player", "yr", c.alias("pred"), (F.col("games") - 3.0).alias("sd"), (c * 0.9).alias("hi"), (c * 1.1).alias("lo"))
-    two = season(spark, d).where("games > 2").select("player", "yr", (c * 1.2).alias("pred"), F.lit(2.0).alias("sd"), (c * 1.5).alias("hi"), (c * 0.5).alias("lo"))
-    out = stats.clamp_interval(one.unionByName(two), "pred", "sd", "lo", "hi").where((F.col("sd") != 2) | (F.col("hi") < F.col("pred") * 1.2))
+    kind = lambda pred, sd, hi, lo: F.struct(pred.alias("pred"), sd.alias("sd"), hi.alias("hi"), lo.alias("lo"))
+    both = F.array(kind(c, F.col("games") - 3.0, c * 0.9, c * 1.1), F.when(F.col("games") > 2, kind(c * 1.2, F.lit(2.0), c * 1.5, c * 0.5)))
+    one = season(spark, d).select("player", "yr", F.inline(F.filter(both, lambda x: x.isNotNull())))
+    out = stats.clamp_interval(one, "pred", "sd", "lo", "hi").where((F.col("sd") != 2) | (F.col("hi") < F.col("pred") * 1.2))
     return out.select("player", "yr", F.round("pred", 3).alias("pred"), "sd", F.round("hi", 3).alias("hi"), F.round("lo", 3).alias("lo"))
 
 
@@ -179,10 +181,9 @@ def bz18(spark, d):
 v AS (SELECT player, yr, pts - max(CASE WHEN rn = least(12, n) THEN pts END) OVER p AS v1, pts - max(CASE WHEN rn = least(28, n) THEN pts END) OVER p AS v2, pts - max(CASE WHEN rn = least(44, n) THEN pts END) OVER p AS v3 FROM n WINDOW p AS (PARTITION BY yr, pos))
 SELECT player, yr, round((v1 * 5 + v2 + v3) / 3, 3) AS board FROM v""")
 def bz19(spark, d):
-    df = season(spark, d)
     kinds = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
-    for name, k in (("v1", 12), ("v2", 28), ("v3", 44)):
-        df = win.over_replacement(df, ["yr", "pos"], "pos", "pts", dict.fromkeys(kinds, k), best(), name)
+    boards = {name: dict.fromkeys(kinds, k) for name, k in (("v1", 12), ("v2", 28), ("v3", 44))}
+    df = win.over_replacements(season(spark, d), ["yr", "pos"], "pos", "pts", boards, best())
     return df.select("player", "yr", F.round(row_mean([F.col("v1") * 5, F.col("v2"), F.col("v3")]), 3).alias("board"))
 
 
@@ -235,7 +236,7 @@ def bz30(spark, d):
 def bz32(spark, d):
     c = table(spark, d, "customer")
     codes = c.select("c_mktsegment").distinct().withColumn("code", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("int"))  # a few values
-    return c.join(F.broadcast(codes), "c_mktsegment").select("c_custkey", "code")
+    return c.join(codes, "c_mktsegment").select("c_custkey", "code")
 
 
 @query("bz36_missing_pick", S + "SELECT player, yr, round(least(coalesce(CASE WHEN player % 3 = 0 THEN NULL ELSE pts / 1000 END, 250), 250), 5) AS pick, round(ln(least(coalesce(CASE WHEN player % 3 = 0 THEN NULL ELSE pts / 1000 END, 250), 250)), 6) AS log_pick FROM season")
@@ -248,7 +249,7 @@ def bz36(spark, d):
 def bz37(spark, d):
     df = season(spark, d)
     start = df.groupBy("team", "pos").agg(F.min("yr").alias("start"))
-    return df.join(F.broadcast(start), ["team", "pos"]).select("player", "yr", F.round(F.col("pts") * F.exp(-(F.col("yr") - F.col("start"))), 4).alias("value"))
+    return df.join(start, ["team", "pos"]).select("player", "yr", F.round(F.col("pts") * F.exp(-(F.col("yr") - F.col("start"))), 4).alias("value"))
 
 
 @query("bz39_synthetic_player", S + "SELECT player, yr, pts FROM season WHERE player <> 1 UNION ALL SELECT CAST(1 AS BIGINT), CAST(2001 AS INT), round(avg(pts) * 0.8, 4) FROM season WHERE pos = 'BUILDING' AND yr = 2000")
@@ -278,7 +279,7 @@ def bz43(spark, d):
     df = season(spark, d)
     q = df.where("yr < 2000").groupBy("team").agg(F.percentile("pts", F.lit(0.2)).alias("lo"), F.percentile("pts", F.lit(0.8)).alias("hi"))
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return df.where("yr >= 2000").join(F.broadcast(q), "team").groupBy("team").agg(rate(F.col("pts") < F.col("lo")).alias("below"), rate(F.col("pts") > F.col("hi")).alias("above"))
+    return df.where("yr >= 2000").join(q, "team").groupBy("team").agg(rate(F.col("pts") < F.col("lo")).alias("below"), rate(F.col("pts") > F.col("hi")).alias("above"))
 
 
 @query("bz44_z_composite", S + "SELECT player, yr, round(((pts - avg(pts) OVER w) / stddev_pop(pts) OVER w * 2 + (games - avg(games) OVER w) / stddev_pop(games) OVER w) / 2, 6) AS z FROM season WINDOW w AS (PARTITION BY team, yr)")
@@ -291,8 +292,9 @@ def bz44(spark, d):
 @query("bz46_curve_slice", S + ", m AS (SELECT pos, median(pts) AS v FROM season WHERE yr = 2001 GROUP BY pos) SELECT team, pos, coalesce(max(CASE WHEN yr = 2001 THEN pts END), (SELECT min(v) FROM m)) AS value FROM season GROUP BY team, pos")
 def bz46(spark, d):
     df = season(spark, d)
-    least = df.where("yr = 2001").groupBy("pos").agg(F.median("pts").alias("v")).agg(F.min("v")).first()[0]
-    return df.groupBy("team", "pos").agg(F.coalesce(F.max(F.when(F.col("yr") == 2001, F.col("pts"))), F.lit(least)).alias("value"))
+    least = df.where("yr = 2001").groupBy("pos").agg(F.median("pts").alias("v")).agg(F.min("v").alias("least"))  # one row
+    best = df.groupBy("team", "pos").agg(F.max(F.when(F.col("yr") == 2001, F.col("pts"))).alias("best"))
+    return best.join(F.broadcast(least)).select("team", "pos", F.coalesce("best", "least").alias("value"))
 
 
 @query("bz48_top_quartile", S + "SELECT player, yr, pts FROM season WHERE pts >= (SELECT quantile_cont(pts, 0.75) FROM season)")
@@ -400,23 +402,16 @@ def ml19_calibration(spark, d):
     return x.groupBy(F.least(F.floor(F.least(F.col("p"), F.lit(0.999)) * 5).cast("int"), F.lit(4)).alias("bin")).agg(F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"), F.count("*").alias("n"))
 
 
-@query("ml17_normal_posterior", S + "SELECT team, round((2 * 500000 + sum(pts)) / (2 + count(*)), 3) AS m_n, CAST(2 + count(*) AS BIGINT) AS k_n, round(1000000 + 0.5 * (var_pop(pts) * count(*)) + 2 * count(*) * pow(avg(pts) - 500000, 2) / (2 * (2 + count(*))), -3) AS b_n FROM season GROUP BY team")
+@query("ml17_normal_posterior", S + "SELECT team, (100000000 + CAST(sum(CAST(round(pts * 100) AS BIGINT)) AS DOUBLE)) / (100 * (2 + count(*))) AS m_n, CAST(2 + count(*) AS BIGINT) AS k_n, round(1000000 + 0.5 * (var_pop(pts) * count(*)) + 2 * count(*) * pow(avg(pts) - 500000, 2) / (2 * (2 + count(*))), -3) AS b_n FROM season GROUP BY team")
 def ml17(spark, d):
     n = F.count("*")
     gap = F.avg("pts") - 500000
     return season(spark, d).groupBy("team").agg(
-        F.round((2 * 500000 + F.sum("pts")) / (2 + n), 3).alias("m_n"), (2 + n).alias("k_n"),
+        ((100000000 + F.sum(F.round(F.col("pts") * 100).cast("long")).cast("double")) / (100 * (2 + n))).alias("m_n"), (2 + n).alias("k_n"),
         F.round(1000000 + 0.5 * (F.var_pop("pts") * n) + 2 * n * gap * gap / (2 * (2 + n)), -3).alias("b_n"),
     )
 
 
-@query("ml8_collinear_pruning")
-def ml8(spark, d):
-    df = table(spark, d, "lineitem").withColumn("copy", F.col("l_quantity") * 2 + F.col("l_tax"))
-    cols = stats.collinear(df, ["l_quantity", "copy", "l_discount", "l_tax"], "l_extendedprice", 0.0, 0.9)
-    return spark.createDataFrame(list(enumerate(cols)), "place int, column string")
-
-
 @query("ml1_ridge_prediction")
 def ml1_ridge(spark, d):
     df = season(spark, d).withColumn("pts_m", F.col("pts") / 1e5)
@@ -428,25 +423,40 @@ def ml1_ridge(spark, d):
 
 @query("ml12_stacked_models")
 def ml12(spark, d):
-    """Two models' out-of-fold predictions, folds by hash of the player, and their best mix by a second model."""
-    df = season(spark, d).select("player", "yr", (F.col("pts") / 1e5).alias("y"), F.col("games").cast("double").alias("x"), F.pmod(F.xxhash64("player"), F.lit(3)).cast("int").alias("fold"))
-    fits = df.groupBy("fold").agg(*(F.sum(v).alias(k) for k, v in (("n", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")))))
-    total = fits.agg(*(F.sum(k).alias(f"t_{k}") for k in ("n", "sx", "sy", "sxy", "sxx"))).first().asDict()
-    out = lambda k: F.lit(total[f"t_{k}"]) - F.col(k)  # noqa: E731  all folds but this one
-    slope = (out("n") * out("sxy") - out("sx") * out("sy")) / (out("n") * out("sxx") - out("sx") * out("sx"))
-    oof = df.join(F.broadcast(fits.select("fold", slope.alias("b"), (out("sy") / out("n")).alias("m"), (out("sx") / out("n")).alias("mx"))), "fold")
-    rows = VectorAssembler(inputCols=["p1", "p2"], outputCol="features").transform(oof.select("player", "yr", "y", (F.col("m") + F.col("b") * (F.col("x") - F.col("mx"))).alias("p1"), (F.col("m") * F.col("x") / F.col("mx")).alias("p2")))
-    model = LinearRegression(labelCol="y", regParam=0.01).fit(rows)
-    return model.transform(rows).select("player", "yr", F.round("prediction", 5).alias("prediction"))
-
-
-@query("jn11_fuzzy_join")
+    """Three models out of fold, folds by hash of the player, the mean of the best and a meta model on all."""
+    fold = F.conv(F.substring(F.md5(F.col("player").cast("string")), 1, 7), 16, 10).cast("long") % 3
+    df = season(spark, d).select("player", "yr", (F.col("pts") / 1e5).alias("y"), F.col("games").cast("double").alias("x"), F.col("team").cast("double").alias("t"), fold.alias("fold"))
+    some = {"line": LinearRegression(), "ridge": LinearRegression(regParam=0.3, elasticNetParam=0.0), "tree": DecisionTreeRegressor(maxDepth=4)}
+    out = models.stack(df, ["x", "t"], "y", "fold", some, 3, 3)
+    return out.select("player", "yr", *(F.round(c, 5).alias(c) for c in ("p_line", "p_ridge", "p_tree", "best_mean", "stacked")))
+
+
+JN11_SQL = """WITH t AS (SELECT p_size, p_brand, p_type, min(p_partkey) AS rep, count(*) AS n FROM part GROUP BY ALL),
+p AS (SELECT a.rep, b.rep AS match, a.n, b.n AS match_n, a.p_type AS x, b.p_type AS y FROM t a JOIN t b USING (p_size, p_brand) WHERE a.rep < b.rep),
+s AS (SELECT rep, match, n, match_n, 2 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, ''))))) / (length(x) + length(y)) AS score FROM p)
+SELECT rep, match, n, match_n, round(score, 6) AS score FROM s WHERE score > 0.5"""
+
+
+@query("jn11_fuzzy_join", JN11_SQL)
 def jn11(spark, d):
-    """Equal size first, then similar text; the equality keeps the candidates few."""
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand")
-    other = p.select(F.col("p_partkey").alias("match"), F.col("p_type").alias("m_type"), "p_size", "p_brand")
-    pairs = p.join(other, ["p_size", "p_brand"]).where("p_partkey < match")
-    return pairs.withColumn("score", F.round(similarity("p_type", "m_type"), 6)).where("score > 0.5").select("p_partkey", "match", "score")
+    """Equal size and brand first, then similar text. Equal texts of a key are one class: pairs are of class representatives
+    (rep, match), n and match_n are the classes' sizes, so that copies never multiply pairs; jn11_fuzzy_classes has the
+    membership."""
+    classes = _text_classes(table(spark, d, "part"))
+    other = classes.select(F.col("rep").alias("match"), F.col("p_type").alias("m_type"), "p_size", "p_brand", F.col("n").alias("match_n"))
+    pairs = classes.join(other, ["p_size", "p_brand"]).where("rep < match").withColumn("score", similarity(F.col("p_type"), F.col("m_type")))
+    return pairs.where("score > 0.5").select("rep", "match", "n", "match_n", F.round("score", 6).alias("score"))
+
+
+def _text_classes(part):
+    return part.groupBy("p_size", "p_brand", "p_type").agg(F.min("p_partkey").alias("rep"), F.count("*").alias("n"))
+
+
+@query("jn11_fuzzy_classes", "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_size, p_brand, p_type) AS rep FROM part")
+def jn11_classes(spark, d):
+    keys = ["p_size", "p_brand", "p_type"]
+    part = table(spark, d, "part")
+    return part.select("p_partkey", *keys).join(_text_classes(part).select(*keys, "rep"), keys).select("p_partkey", "rep")
 
 
 def _candidates(spark, d, n: int = 60):

@@ -107,9 +107,8 @@ def flt10(spark, d):
 
 @query("flt11_train_predict_split", S + "SELECT player, yr, CASE WHEN yr < 2001 THEN 'train' ELSE 'predict' END AS part, CASE WHEN yr < 2001 THEN pts END AS y_act FROM season WHERE yr >= 1997")
 def flt11(spark, d):
-    df = season(spark, d).where("yr >= 1997")
-    train = df.where("yr < 2001").select("player", "yr", F.lit("train").alias("part"), F.col("pts").alias("y_act"))
-    return rel.union_all([train, df.where("yr = 2001").select("player", "yr", F.lit("predict").alias("part"))])
+    early = F.col("yr") < 2001
+    return season(spark, d).where("yr >= 1997").select("player", "yr", F.when(early, "train").otherwise("predict").alias("part"), F.when(early, F.col("pts")).alias("y_act"))
 
 
 @query("flt12_outlier_anti_join", S + ", out AS (SELECT player, yr FROM season WHERE pts > 900000) SELECT player, yr, pts FROM season WHERE (player, yr) NOT IN (SELECT player, yr FROM out)")
@@ -268,18 +267,19 @@ def ag9(spark, d):
 
 @query("ag10_group_quantile", S + "SELECT yr, round(quantile_cont(pts, 0.8), 3) AS p80, round(quantile_cont(pts, 0.5), 3) AS p50 FROM season GROUP BY yr")
 def ag10(spark, d):
-    return season(spark, d).groupBy("yr").agg(F.round(F.percentile("pts", F.lit(0.8)), 3).alias("p80"), F.round(F.percentile("pts", F.lit(0.5)), 3).alias("p50"))
+    out = stats.quantiles_by(season(spark, d), ["yr"], "pts", {"p80": 0.8, "p50": 0.5})
+    return out.select("yr", F.round("p80", 3).alias("p80"), F.round("p50", 3).alias("p50"))
 
 
 @query("ag11_tail_mean", S + "SELECT pos, round((quantile_cont(pts, 0.94) + quantile_cont(pts, 0.95) + quantile_cont(pts, 0.96) + quantile_cont(pts, 0.97)) / 4, 3) AS tail FROM season GROUP BY pos")
 def ag11(spark, d):
-    tail = F.percentile("pts", F.array(*map(F.lit, (0.94, 0.95, 0.96, 0.97))))
-    return season(spark, d).groupBy("pos").agg(F.round(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / 4, 3).alias("tail"))
+    out = stats.quantiles_by(season(spark, d), ["pos"], "pts", {"a": 0.94, "b": 0.95, "c": 0.96, "d": 0.97})
+    return out.select("pos", F.round((F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4, 3).alias("tail"))
 
 
 @query("ag12_bin_summary", S + ", b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY yr ORDER BY pts, player) - 1) / ceil(count(*) OVER (PARTITION BY yr) / 10)) AS INT) AS bin FROM season) SELECT yr, bin, CAST(count(*) AS BIGINT) AS n, round(avg(pts), 3) AS mean, round(stddev_samp(pts), 3) AS sd, round(quantile_cont(pts, 0.99), 3) AS p99, round(quantile_cont(pts, 0.01), 3) AS p1 FROM b GROUP BY yr, bin")
 def ag12(spark, d):
-    b = win.equal_buckets(season(spark, d), ["yr"], [F.col("pts"), F.col("player")], 10, "bin")
+    b = win.equal_buckets(season(spark, d), ["yr"], "pts", False, [F.col("player")], 10, "bin")
     p = lambda q: F.round(F.percentile("pts", F.lit(q)), 3)
     return b.groupBy("yr", "bin").agg(F.count("*").alias("n"), F.round(F.avg("pts"), 3).alias("mean"), F.round(F.stddev_samp("pts"), 3).alias("sd"), p(0.99).alias("p99"), p(0.01).alias("p1"))
 
@@ -293,7 +293,7 @@ def ag13(spark, d):
 
 @query("ag14_median", S + "SELECT pos, yr, round(median(pts), 3) AS med FROM season GROUP BY ALL")
 def ag14(spark, d):
-    return season(spark, d).groupBy("pos", "yr").agg(F.round(F.median("pts"), 3).alias("med"))
+    return stats.quantiles_by(season(spark, d), ["pos", "yr"], "pts", {"med": 0.5}).withColumn("med", F.round("med", 3))
 
 
 @query("ag15_min_max_joined", S + "SELECT player, yr, min(yr) OVER (PARTITION BY player) AS first_yr, max(pts) OVER (PARTITION BY player) AS best FROM season")
@@ -357,9 +357,11 @@ def ag28(spark, d):
 @query("ag29_class_separation", S + ", m AS (SELECT pts > 500000 AS cls, median(pts) AS p, median(games) AS g FROM season GROUP BY 1) SELECT round(abs(max(CASE WHEN cls THEN p END) - max(CASE WHEN NOT cls THEN p END)) / (SELECT avg(abs(pts)) FROM season), 6) AS pts, round(abs(max(CASE WHEN cls THEN g END) - max(CASE WHEN NOT cls THEN g END)) / (SELECT avg(abs(games)) FROM season), 6) AS games FROM m")
 def ag29(spark, d):
     df = season(spark, d).withColumn("cls", F.col("pts") > 500000)
-    aggs = [F.median(F.when(F.col("cls") == v, F.col(c))).alias(f"{c}_{v}") for c in ("pts", "games") for v in (True, False)]
-    m = df.agg(*aggs, *(F.avg(F.abs(c)).alias(f"{c}_m") for c in ("pts", "games")))
-    return m.select(*(F.round(F.abs(F.col(f"{c}_True") - F.col(f"{c}_False")) / F.col(f"{c}_m"), 6).alias(c) for c in ("pts", "games")))
+    median = {c: stats.quantiles_by(df, ["cls"], c, {c: 0.5}) for c in ("pts", "games")}
+    m = median["pts"].join(median["games"], "cls").agg(*(F.max(F.when(F.col("cls") == v, F.col(c))).alias(f"{c}_{v}") for c in ("pts", "games") for v in (True, False)))
+    means = df.agg(*(F.avg(F.abs(c)).alias(f"{c}_m") for c in ("pts", "games")))
+    both = m.join(F.broadcast(means))  # one row each
+    return both.select(*(F.round(F.abs(F.col(f"{c}_True") - F.col(f"{c}_False")) / F.col(f"{c}_m"), 6).alias(c) for c in ("pts", "games")))
 
 
 @query("ag30_histogram", "SELECT o_orderpriority, CAST(floor(o_totalprice / 50000) AS INT) AS slot, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL")
@@ -443,7 +445,7 @@ def wn14(spark, d):
 
 @query("wn15_equal_buckets", S + "SELECT player, yr, CAST(floor((row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) - 1) / ceil(count(*) OVER (PARTITION BY yr) / 6)) AS INT) AS b FROM season")
 def wn15(spark, d):
-    return win.equal_buckets(season(spark, d), ["yr"], best(), 6, "b").select("player", "yr", "b")
+    return win.equal_buckets(season(spark, d), ["yr"], "pts", True, [F.col("player")], 6, "b").select("player", "yr", "b")
 
 
 @query("wn17_experience", S + ", x AS (SELECT player, yr, CASE WHEN player % 4 = 0 THEN NULL ELSE 1994 + player % 5 END AS drafted, min(yr) OVER (PARTITION BY player) AS first_yr FROM season), e AS (SELECT player, yr, greatest(yr - coalesce(drafted, first_yr), 0) AS exp FROM x) SELECT player, yr, round(least(exp, (SELECT quantile_cont(exp, 0.95) FROM e)), 4) AS exp FROM e")
@@ -458,12 +460,14 @@ def wn17(spark, d):
 @query("wn19_top_k_by_table", S + "SELECT player, yr, pos, r FROM (SELECT *, CAST(row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS INT) AS r FROM season) WHERE r <= CASE pos WHEN 'AUTOMOBILE' THEN 5 WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 3 ELSE 0 END")
 def wn19(spark, d):
     limits = spark.createDataFrame([("AUTOMOBILE", 5), ("BUILDING", 10), ("MACHINERY", 3)], "pos string, k int")
-    return win.number(season(spark, d), ["yr", "pos"], best(), "r").join(F.broadcast(limits), "pos").where("r <= k").select("player", "yr", "pos", "r")
+    top = win.number(season(spark, d), ["yr", "pos"], best(), "r").where("r <= 10")  # the greatest k, so that groups are cut before the shuffle
+    return top.join(F.broadcast(limits), "pos").where("r <= k").select("player", "yr", "pos", "r")
 
 
 @query("wn20_replacement_median", S + "SELECT pos, round(median(pts), 3) AS level FROM (SELECT *, row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS rn FROM season) WHERE rn > 15 GROUP BY pos")
 def wn20(spark, d):
-    return win.number(season(spark, d), ["yr", "pos"], best(), "rn").where("rn > 15").groupBy("pos").agg(F.round(F.median("pts"), 3).alias("level"))
+    rest = win.after_top(season(spark, d), ["yr", "pos"], "pts", "player", 15)
+    return stats.quantiles_by(rest, ["pos"], "pts", {"level": 0.5}).withColumn("level", F.round("level", 3))
 
 
 @query("wn21_snake_order", "SELECT CAST(team AS INT) AS team, CAST(rnd AS INT) AS rnd, CAST((rnd - 1) * 12 + CASE WHEN rnd IN (1) OR (rnd > 2 AND rnd % 2 = 0) THEN team ELSE 13 - team END AS INT) AS pick FROM range(1, 13) a(team), range(1, 26) b(rnd)")

@@ -1,5 +1,6 @@
 """The inputs that the queries share, in both dialects: a player is a customer, a season a year of orders, a team a nation,
-a position a market segment; several price estimates of a part stand for projection sources."""
+a position a market segment; several price estimates of a part stand for projection sources. Points are sums of whole cents,
+so that they are the same in any order."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from tallyforge.plans.registry import table
 
 SEASON_SQL = """season AS (
   SELECT o_custkey AS player, CAST(year(o_orderdate) AS INT) AS yr, c_nationkey AS team, c_mktsegment AS pos,
-    CAST(count(*) AS BIGINT) AS games, round(sum(o_totalprice), 2) AS pts
+    CAST(count(*) AS BIGINT) AS games, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS pts
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 SOURCES_SQL = """sources AS (
@@ -24,7 +25,7 @@ SOURCES_SQL = """sources AS (
 def season(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("yr"), "o_totalprice")
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("team"), F.col("c_mktsegment").alias("pos"))
-    sums = orders.groupBy("o_custkey", "yr").agg(F.count("*").alias("games"), F.round(F.sum("o_totalprice"), 2).alias("pts"))
+    sums = orders.groupBy("o_custkey", "yr").agg(F.count("*").alias("games"), (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100).alias("pts"))
     return sums.join(people, "o_custkey").select(F.col("o_custkey").alias("player"), "yr", "team", "pos", "games", "pts")
 
 

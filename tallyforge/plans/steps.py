@@ -162,8 +162,8 @@ def ml10(spark, d):
 def ml15(spark, d):
     """Weights for which all classes count alike, for a model's weight column."""
     n = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("rows"), F.count("*").alias("classes")).first()
-    return n.withColumn("weight", F.lit(total["rows"]) / (F.lit(total["classes"]) * F.col("n")))
+    whole = Window.partitionBy()  # over a row per class
+    return n.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n")))
 
 
 @query("sm8_selection_summary", """SELECT l_suppkey, count(*) AS picks, count(*) / (SELECT count(*) FROM lineitem) AS share, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) AS mean_cents,
@@ -172,7 +172,9 @@ def sm8(spark, d):
     """How often each is selected, and at which price; the top 30."""
     items = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
     found = items.groupBy("l_suppkey").agg(F.count("*").alias("picks"), (F.sum(cents("l_extendedprice")) / F.count("*")).alias("mean_cents"), F.round(F.percentile("l_extendedprice", F.lit(0.8)), 3).alias("p80"))
-    return found.withColumn("share", F.col("picks") / F.lit(items.count())).orderBy(F.desc("picks"), "l_suppkey").limit(30)
+    total = items.agg(F.count("*").alias("total"))  # one row
+    top = found.orderBy(F.desc("picks"), "l_suppkey").limit(30)
+    return top.join(F.broadcast(total)).select("l_suppkey", "picks", "mean_cents", "p80", (F.col("picks") / F.col("total")).alias("share")).orderBy(F.desc("picks"), "l_suppkey")
 
 
 @query("sm9_forced_and_remaining", """WITH need(pos, need) AS (VALUES ('BUILDING', 2), ('FURNITURE', 3), ('MACHINERY', 1)), f AS (SELECT c_mktsegment AS pos, count(*) AS forced FROM customer WHERE c_custkey < 6 GROUP BY 1),

@@ -48,10 +48,10 @@ def line_is_text(line: str):
     return F.col(line).try_cast("double").isNull()
 
 
-def read_years(spark: SparkSession, path: str, schema: str, pattern: str = r"(\d{4})") -> DataFrame:
-    """All files of a folder with the year that is in their name."""
-    rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.withColumn("year", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("int"))
+def read_years(spark: SparkSession, path: str, schema: str, pattern: str = r"(\d{4})", header: bool = True, where: str = "file_name") -> DataFrame:
+    """All files of a folder with the year that is in their name, or in their path (where="file_path")."""
+    rows = spark.read.schema(schema).option("header", header).option("recursiveFileLookup", True).csv(path)
+    return rows.withColumn("year", F.regexp_extract(F.col("_metadata")[where], pattern, 1).try_cast("int"))
 
 
 def records(df: DataFrame, text: str, schema: str) -> DataFrame:
