@@ -55,11 +55,20 @@ def no_nan(c: Column) -> Column:
 NAME_MARKS = ["*", "'", "+", "%", ",", "III", "II", ".", "Jr"]
 
 
+def title(c: Column) -> Column:
+    """Every letter that doesn't follow a letter large, all others small. Where only blanks stand before words, that is
+    initcap; other texts are gone through sign by sign."""
+    signs = F.split(c, "")
+    after_letter = lambda i: F.coalesce(F.get(signs, i - 1).rlike(r"\p{L}"), F.lit(False))
+    slow = F.array_join(F.transform(signs, lambda x, i: F.when((i > 0) & after_letter(i), F.lower(x)).otherwise(F.upper(x))), "")
+    return F.when(c.rlike(r"[^\p{L} ]\p{L}"), slow).otherwise(F.initcap(c))
+
+
 def clean_name(c: Column, renames: dict[str, str] | None = None) -> Column:
-    """Delete marks and suffixes, hyphens to blanks, each word capital, trimmed; then known renames."""
+    """Delete marks and suffixes, hyphens to blanks, letters that follow none large, trimmed; then known renames."""
     for mark in NAME_MARKS:
         c = F.replace(c, F.lit(mark), F.lit(""))
-    c = F.trim(F.initcap(F.replace(c, F.lit("-"), F.lit(" "))))
+    c = F.trim(title(F.replace(c, F.lit("-"), F.lit(" "))))
     for old, new in (renames or {}).items():
         c = F.when(c == old, F.lit(new)).otherwise(c)
     return c

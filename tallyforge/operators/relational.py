@@ -56,11 +56,6 @@ def predicate(df: DataFrame, column: str, operator: str, value: float) -> DataFr
     return df.where({"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v, "==": c == v, "!=": c.isNull() | (c != v)}[operator])
 
 
-def slice_upsert(spark, path: str, new: DataFrame, partitions: list[str]) -> None:
-    """Replace exactly the partitions that new has rows in."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
-
-
 def first_of_names(df: DataFrame) -> DataFrame:
     """Of columns that share a name, as after a join, the first one."""
     names, seen, keep = [], set(), []

@@ -4,12 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import clean_name, clean_number, half_even, look_up, no_nan, ratio, row_mean, row_std, row_sum, scrub
+from tallyforge.functions.columns import clean_name, clean_number, half_even, look_up, no_nan, ratio, row_mean, row_std, row_sum, scrub, title
 from tallyforge.functions.text import similarity
 from tallyforge.operators import relational as rel
-from tallyforge.operators import simulate, stats
+from tallyforge.operators import models, simulate, stats
 from tallyforge.operators import windows as win
-from tallyforge.sources import files
+from tallyforge.sources import files, tables
 
 
 def col(df, name):
@@ -34,7 +34,7 @@ def test_rank_of_null_is_null_and_ties_share_the_least(spark):
 
 @pytest.mark.parametrize(("n", "k", "sizes"), [(14, 4, [4, 4, 4, 2]), (9, 6, [2, 2, 2, 2, 1])])
 def test_buckets_are_not_ntile(spark, n, k, sizes):
-    df = win.equal_buckets(spark.range(n).withColumn("g", F.lit(1)), ["g"], ["id"], k, "b")
+    df = win.equal_buckets(spark.range(n).withColumn("g", F.lit(1)), ["g"], "id", False, [], k, "b")
     assert [r["count"] for r in df.groupBy("b").count().orderBy("b").collect()] == sizes
 
 
@@ -81,7 +81,7 @@ def test_text_cleaning(spark):
     out = spark.createDataFrame([(x,) for x in money], "v string").select(scrub(F.col("v")).alias("v"), clean_number(F.col("v")).alias("w"))
     assert col(out, "v") == [68.0, 35.0, None, 55.7, -5.0, None, None, None]
     assert col(spark.range(3).select(look_up(F.col("id").cast("int"), {0: "a", 1: "b"}, "z").alias("v")), "v") == ["a", "b", "z"]
-    same = spark.createDataFrame([("abcd", "abcd"), ("abcd", "wxyz"), (None, "a")], "a string, b string").select(similarity("a", "b").alias("s"))
+    same = spark.createDataFrame([("abcd", "abcd"), ("abcd", "wxyz"), (None, "a")], "a string, b string").select(similarity(F.col("a"), F.col("b")).alias("s"))
     assert col(same, "s") == [1.0, 0.0, 0.0]
 
 
@@ -124,8 +124,8 @@ def test_replace_keys_and_slice_upsert(spark, tmp_path):
     new = spark.createDataFrame([(9, "b", 1), (8, "c", 2)], "v int, k string, y int")
     assert sorted(col(rel.replace_keys(old, new, ["k"]), "v")) == [1, 8, 9]
     path = str(tmp_path / "t")
-    rel.slice_upsert(spark, path, old, ["k"])
-    rel.slice_upsert(spark, path, new, ["k"])
+    tables.replace_slices(old, path, ["k"])
+    tables.replace_slices(new, path, ["k"])
     assert sorted(col(spark.read.parquet(path), "v")) == [1, 8, 9]
 
 
@@ -188,3 +188,114 @@ def test_quantile_is_exact_in_brackets(spark, q):
         want = df.agg(F.percentile("x", F.lit(q))).first()[0]
         assert stats.quantile(df, "x", q, few=50, accuracy=200) == pytest.approx(want)
     assert stats.quantile(spark.range(0).selectExpr("double(id) AS x"), "x", q) is None
+
+
+def test_ranks_and_quantiles_by_runs(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS g", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN 1.0 ELSE double((id * 7919) % 501) END AS x", "id")
+    for descending in (False, True):
+        got = {r.id: r.n for r in win.ranked(df, ["g"], "x", descending, [F.col("id")], "n", runs=8).collect()}
+        order = [F.desc_nulls_last("x") if descending else F.asc_nulls_last("x"), F.col("id")]
+        assert got == {r.id: r.n for r in win.number(df, ["g"], order, "n").collect()}
+    want = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.percentile("x", F.lit(0.8)).alias("a"), F.percentile("x", F.lit(0.5)).alias("b")).collect()}
+    assert {r.g: (pytest.approx(r.a), pytest.approx(r.b)) for r in stats.quantiles_by(df, ["g"], "x", {"a": 0.8, "b": 0.5}).collect()} == want
+
+
+def test_lines_of_replacement_against_whole_windows(spark):
+    df = spark.range(400).selectExpr("id % 4 AS g", "CASE WHEN id % 4 < 3 THEN 'a' ELSE 'b' END AS pos", "double((id * 31) % 97) AS pts", "id").where("g > 0 OR id < 12")
+    rows = df.toPandas().sort_values(["pts", "id"], ascending=[False, True])
+    out = win.over_replacements(df, ["g", "pos"], "pos", "pts", {"one": {"a": 5, "b": 90}, "two": {"a": 200}}, [F.desc("pts"), "id"]).toPandas().set_index("id")
+    for (_, pos), t in rows.groupby(["g", "pos"]):
+        for name, k in (("one", {"a": 5, "b": 90}[pos]), ("two", 200 if pos == "a" else None)):
+            line = t.pts.iloc[min(k, len(t)) - 1] if k else None
+            assert all(out.loc[r.id, name] == r.pts - line if k else np.isnan(out.loc[r.id, name]) for r in t.itertuples())
+    left = win.after_top(df, ["g"], "pts", "id", 7).toPandas()
+    assert set(left.id) == {i for _, t in rows.groupby("g") for i in t.id.iloc[7:]}
+
+
+def test_titles_as_in_python(spark):
+    raw = ["old 3rd mcx", "a.b c", "UPPER case", "", "x", "été (école) d9z", None]
+    assert col(spark.createDataFrame([(x,) for x in raw], "n string").select(title(F.col("n")).alias("n")), "n") == [x and x.title() if x is not None else None for x in raw]
+
+
+def test_similarity_as_a_multiset_of_signs(spark):
+    from difflib import SequenceMatcher
+
+    pairs = [("abcd", "bcde"), ("aab", "abb"), ("", ""), ("", "x"), ("night", "thing"), ("a.b*c", "c*b.a"), ("été", "ete")]
+    got = col(spark.createDataFrame(pairs, "a string, b string").select(similarity(F.col("a"), F.col("b")).alias("s")), "s")
+    assert got == pytest.approx([SequenceMatcher(None, a, b).quick_ratio() for a, b in pairs])
+
+
+def test_delete_append_and_run_log(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    tables.append(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "b")], "v int, k string"), path, ["k"])
+    tables.append(spark.createDataFrame([(4, "c")], "v int, k string"), path, ["k"])
+    tables.delete_where(spark, path, "v = 2 OR v = 4", ["k"])
+    assert sorted(((r.v, r.k) for r in spark.read.parquet(path).collect()), key=str) == sorted([(1, "a"), (3, "b"), (None, "b")], key=str)
+    tables.delete_where(spark, path, "v > 90", ["k"])
+    assert spark.read.parquet(path).count() == 3
+    log = f"file://{tmp_path}/log"
+    assert [tables.log_run(spark, log, spark.createDataFrame([(x,)], "score double")) for x in (0.5, 0.7, 0.6)] == [1, 2, 3]
+    assert sorted(col(tables.runs_between(spark, log, 2, 3), "score")) == [0.6, 0.7]
+    with pytest.raises(Exception, match="CAST"):
+        tables.replace(tables.typed(spark.createDataFrame([("x",)], "v string"), {"v": "int"}), path)
+
+
+def test_names_after_a_join_and_lists_of_columns(spark):
+    df = spark.createDataFrame([(1, "x", 2, "y")], "a int, b string, c int, d string").toDF("a", "b", "A", "b")
+    assert rel.first_of_names(df).columns == ["a", "b"] and tuple(rel.first_of_names(df).first()) == (1, "x")
+    assert rel.columns_to_fill("s_", ["x", "y", "z"], ["y"]) == ["s_x", "s_z"]
+
+
+def test_monotone_and_smoothed_curves(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(9)
+    fit = models.monotone(y, np.ones(9))
+    assert (np.diff(fit) >= 0).all()
+    best = min((np.square(np.repeat([np.mean(b) for b in np.split(y, cut)], [len(b) for b in np.split(y, cut)]) - y).sum() for cut in _cuts(9) if all(np.diff([np.mean(b) for b in np.split(y, cut)]) >= 0)))
+    assert np.square(fit - y).sum() == pytest.approx(best)
+    curve = spark.createDataFrame([(k, float(k * k)) for k in (1, 2, 3, 7)], "k int, v double")
+    got = {r.k: r.s for r in models.smoothed(curve, "k", "v", 2, "s").collect()}
+    w = lambda d: 1 - (d / 3) ** 3
+    assert got[7] == 49 and got[1] == pytest.approx((1 + 4 * w(1) + 9 * w(2)) / (1 + w(1) + w(2)))
+
+
+def _cuts(n):
+    from itertools import combinations
+
+    return (list(c) for k in range(n) for c in combinations(range(1, n), k))
+
+
+def test_quantile_lines_leave_the_share_below(spark):
+    df = spark.range(6000).selectExpr("id % 2 AS g", "double(id % 40) AS x", "double(id % 40) * 2 + pow((id * 7919) % 1000 / 1000D, 3) * 50 AS y")
+    lines = models.quantile_lines(df, "g", "x", "y", 0.8, steps=800)
+    share = df.join(lines, "g").groupBy("g").agg(F.avg((F.col("y") < F.col("slope") * F.col("x") + F.col("intercept")).cast("int")).alias("s"))
+    assert all(abs(r.s - 0.8) < 0.015 for r in share.collect())
+
+
+def test_spread_curves_take_the_bins_nearest_to_a_curve(spark):
+    df = spark.range(1200).selectExpr("double(id) AS p", "(id * 7919 % 1000 - 500) * id / 1000D AS a")
+    got = models.spread_curves(df, "p", "a", [4, 6]).toPandas()
+    rows = df.toPandas().sort_values(["p", "a"]).reset_index(drop=True)
+    for metric, f in (("sd", lambda v: v.std()), ("p99", lambda v: v.quantile(0.99)), ("p1", lambda v: v.quantile(0.01))):
+        fits = {}
+        for n in (4, 6):
+            cells = rows.groupby(rows.index // -(-len(rows) // n)).a.apply(f).to_numpy()
+            curve = models.monotone(cells, np.ones(len(cells)))
+            fits[n] = (((curve - cells) ** 2).mean(), curve)
+        n = min(fits, key=lambda n: (fits[n][0], n))
+        mine = got[got.metric == metric].sort_values("bin")
+        assert set(mine.bins) == {n} and mine.value.to_numpy() == pytest.approx(fits[n][1])
+
+
+def test_stacked_models_are_out_of_fold(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    df = spark.range(300).selectExpr("id", "double(id % 17) AS x", "double(id % 17) * 3 + (id * 7919 % 100) / 100D AS y", "CAST(id % 3 AS INT) AS fold")
+    out = models.stack(df, ["x"], "y", "fold", {"line": LinearRegression(), "tree": DecisionTreeRegressor(maxDepth=2)}, 3, 2).toPandas()
+    pdf = df.toPandas()
+    for k in range(3):
+        train, test = pdf[pdf.fold != k], out[out.fold == k]
+        slope, start = np.polyfit(train.x, train.y, 1)
+        assert test.p_line.to_numpy() == pytest.approx(start + slope * test.x.to_numpy(), abs=1e-6)
+    error = lambda c: ((out[c] - out.y) ** 2).mean()
+    assert error("best_mean") <= min(error("p_line"), error("p_tree")) + 1e-9 and error("stacked") <= 1.05 * error("p_line")
