@@ -194,7 +194,21 @@ def bz6(spark, d):
     return models.fill_by_regression(df, "targets", ["l_quantity", "l_extendedprice", "l_tax"]).select("l_orderkey", "l_linenumber", F.round("targets", 4).alias("targets"))
 
 
-@query("bz24_chained_imputation")
+BZ24_SQL = Q + """,
+a AS (SELECT part, CAST(size AS DOUBLE) AS z, s1, s2, s3 FROM sources),
+f1 AS (SELECT regr_slope(s1, z) AS b, regr_intercept(s1, z) AS k FROM a),
+c1 AS (SELECT part, z, coalesce(s1, k + b * z) AS s1, s2, s3 FROM a, f1),
+m2 AS (SELECT avg(z) AS mz, avg(s1) AS m1, avg(s2) AS my, var_pop(z) AS vz, var_pop(s1) AS v1, covar_pop(z, s1) AS z1, covar_pop(z, s2) AS zy, covar_pop(s1, s2) AS y1 FROM c1 WHERE s2 IS NOT NULL),
+f2 AS (SELECT *, (zy * v1 - y1 * z1) / (vz * v1 - z1 * z1) AS bz, (y1 * vz - zy * z1) / (vz * v1 - z1 * z1) AS b1 FROM m2),
+c2 AS (SELECT part, z, s1, coalesce(s2, my + bz * (z - mz) + b1 * (s1 - m1)) AS s2, s3 FROM c1, f2),
+m3 AS (SELECT avg(z) AS mz, avg(s1) AS m1, avg(s2) AS m2, avg(s3) AS my, var_pop(z) AS a, covar_pop(z, s1) AS b, covar_pop(z, s2) AS c, var_pop(s1) AS d, covar_pop(s1, s2) AS e, var_pop(s2) AS f, covar_pop(z, s3) AS p, covar_pop(s1, s3) AS q, covar_pop(s2, s3) AS r FROM c2 WHERE s3 IS NOT NULL),
+f3 AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM m3),
+g3 AS (SELECT mz, m1, m2, my, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS bz,
+  (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det AS b1, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS b2 FROM f3)
+SELECT part, round(s1, 4) AS s1, round(s2, 4) AS s2, round(coalesce(s3, my + bz * (z - mz) + b1 * (s1 - g3.m1) + b2 * (s2 - g3.m2)), 4) AS s3 FROM c2, g3"""
+
+
+@query("bz24_chained_imputation", BZ24_SQL)
 def bz24(spark, d):
     return models.fill_chain(sources(spark, d), ["s1", "s2", "s3"], ["size"]).select("part", *(F.round(c, 4).alias(c) for c in ("s1", "s2", "s3")))
 
