@@ -168,3 +168,14 @@ def smoothed(curve: DataFrame, place: str, value: str, width: int, name: str) ->
     w = 1 - F.pow(F.abs(F.col("tf_at") - F.col("tf_from")) / (width + 1.0), F.lit(3.0))
     means = near.groupBy("tf_at").agg((F.sum(w * F.col("tf_y")) / F.sum(w)).alias(name))
     return curve.join(means, F.col(place) == F.col("tf_at")).drop("tf_at")
+
+
+def lines_by_group(df: DataFrame, group: str, x: str, targets: dict[str, str]) -> DataFrame:
+    """df with the value of a linear model for each target: one slope over all groups, an intercept for each group. The slope
+    is the sum of the groups' co-moments over the sum of their variances."""
+    n = F.count("*").cast("double")
+    sums = df.groupBy(group).agg(F.avg(x).alias("tf_mx"), (F.var_pop(x) * n).alias("tf_v"), *(F.avg(y).alias(f"tf_m_{y}") for y in targets), *((F.covar_pop(y, x) * n).alias(f"tf_c_{y}") for y in targets))
+    slope = sums.agg(*(F.try_divide(F.sum(f"tf_c_{y}"), F.sum("tf_v")).alias(f"tf_b_{y}") for y in targets))  # one row
+    out = df.join(sums.drop("tf_v"), group).join(F.broadcast(slope))
+    out = out.withColumns({name: F.col(f"tf_m_{y}") + F.col(f"tf_b_{y}") * (F.col(x) - F.col("tf_mx")) for y, name in targets.items()})
+    return out.drop("tf_mx", *(f"tf_{k}_{y}" for k in "mcb" for y in targets))

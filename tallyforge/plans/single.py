@@ -198,3 +198,43 @@ def bz18_curve(spark, d):
     curve = models.smoothed(slots, "slot", "med", 12, "smooth")
     value = F.min("smooth").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     return curve.select("slot", F.round("smooth", 3).alias("smooth"), F.round(value, 3).alias("value"))
+
+
+SM11_SQL = S + """, a AS (SELECT player, avg(pts) AS m, count(*) AS n FROM season GROUP BY player), r AS (SELECT player, row_number() OVER (ORDER BY m DESC, player) AS adp FROM a WHERE n >= 6)
+SELECT player, CAST(adp >= 1 AS INT) AS pick_1, CAST(adp >= 24 AS INT) AS pick_24, CAST(adp >= 25 AS INT) AS pick_25, CAST(adp >= 48 AS INT) AS pick_48 FROM r WHERE adp <= 60"""
+
+
+@query("sm11_pick_matrix", SM11_SQL)
+def sm11_matrix(spark, d):
+    """A row per player of a draft's list, a column per pick: 1 where the player should still be there."""
+    a = season(spark, d).groupBy("player").agg(F.avg("pts").alias("m"), F.count("*").alias("n")).where("n >= 6")
+    top = a.orderBy(F.desc("m"), "player").limit(60)  # the list's length is the feature
+    r = win.number(top.withColumn("all", F.lit(1)), ["all"], [F.desc("m"), F.col("player")], "adp")
+    long = r.select("player", "adp", F.explode(F.array(*map(F.lit, (1, 24, 25, 48)))).alias("pick"))
+    flags = long.groupBy("player").pivot("pick", [1, 24, 25, 48]).agg(F.max((F.col("adp") >= F.col("pick")).cast("int")))
+    return flags.withColumnsRenamed({str(k): f"pick_{k}" for k in (1, 24, 25, 48)})
+
+
+SM13_SQL = S + """, p AS (SELECT player, pos, ln(1 + sum(games)) AS x, avg(pts) / 1e5 AS m, stddev_samp(pts) / 1e5 AS sd FROM season GROUP BY player, pos),
+g AS (SELECT *, x - avg(x) OVER w AS dx, m - avg(m) OVER w AS dm, sd - avg(sd) OVER w AS ds, avg(m) OVER w AS mm, avg(sd) OVER w AS ms FROM p WHERE sd IS NOT NULL WINDOW w AS (PARTITION BY pos)),
+b AS (SELECT sum(dx * dm) / sum(dx * dx) AS bm, sum(dx * ds) / sum(dx * dx) AS bs FROM g)
+SELECT player, round(mm + bm * dx, 6) AS expected, round(ms + bs * dx, 6) AS deviation, round(m - mm - bm * dx, 6) AS marginal FROM g, b"""
+
+
+@query("sm13_expected_points", SM13_SQL)
+def sm13_expected(spark, d):
+    """Mean and deviation of points by position and logarithm of the price, each one linear model with an intercept per
+    position, and what a player brings beyond them. Positions come from sums by position, which are joined back."""
+    p = season(spark, d).groupBy("player", "pos").agg(F.log(F.sum("games") + 1.0).alias("x"), (F.avg("pts") / 1e5).alias("m"), (F.stddev_samp("pts") / 1e5).alias("sd")).where("sd IS NOT NULL")
+    out = models.lines_by_group(p, "pos", "x", {"m": "expected", "sd": "deviation"})
+    return out.select("player", F.round("expected", 6).alias("expected"), F.round("deviation", 6).alias("deviation"), F.round(F.col("m") - F.col("expected"), 6).alias("marginal"))
+
+
+SM13B_SQL = S + """, a AS (SELECT pos, avg(pts) AS w FROM season WHERE pos NOT IN ('AUTOMOBILE', 'MACHINERY') GROUP BY pos) SELECT pos, round(w / sum(w) OVER () * 120, 6) AS money FROM a"""
+
+
+@query("sm13_remaining_money", SM13B_SQL)
+def sm13_money(spark, d):
+    """The money that is left, over the places that are still open, by their weights."""
+    a = season(spark, d).where(~F.col("pos").isin("AUTOMOBILE", "MACHINERY")).groupBy("pos").agg(F.avg("pts").alias("w"))
+    return a.select("pos", F.round(F.col("w") / F.sum("w").over(Window.partitionBy()) * 120, 6).alias("money"))  # a row per position
