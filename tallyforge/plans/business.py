@@ -467,7 +467,11 @@ def _candidates(spark, d, n: int = 60):
 
 @query("sm1_truncated_normal_draws")
 def sm1(spark, d):
-    return simulate.draws(_candidates(spark, d), "player", 100).withColumn("points", F.round("points", 6))
+    """Draws for every player of every season, each a row."""
+    rows = season(spark, d).select(F.concat_ws(":", "player", "yr").alias("player"), (F.col("pts") / 10000).alias("mean"))
+    m = F.col("mean")
+    rows = rows.withColumns({"sd": m / 5, "low": m / 2, "high": m * 1.5})
+    return simulate.draws(rows, "player", 10).withColumn("points", F.round("points", 6))
 
 
 NEED = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 2, "MACHINERY": 1}
@@ -480,7 +484,10 @@ def sm7(spark, d):
 
 @query("sm10_pick_probability")
 def sm10(spark, d):
-    drawn = simulate.draws(_candidates(spark, d), "player", 200, seed=7)
+    """How often each player of all seasons is drawn at a pick."""
+    m = F.col("mean")
+    rows = season(spark, d).groupBy("player").agg((F.avg("pts") / 10000).alias("mean")).withColumns({"sd": m / 5, "low": m / 2, "high": m * 1.5})
+    drawn = simulate.draws(rows, "player", 50, seed=7)
     return drawn.groupBy("player", F.round("points").cast("int").alias("pick")).agg(F.count("*").alias("n"))
 
 
