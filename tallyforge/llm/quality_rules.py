@@ -24,8 +24,7 @@ BUCKETS = 10_000
 THRESHOLD = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOL, NOT_BLANK = r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 MICRO = 1_000_000
 
 
@@ -42,13 +41,17 @@ def _hashes(words: Column) -> Column:
 def _repeated(hashes: Column) -> Column:
     """How many words lie in a window of three words that the text has twice or more.
 
-    Windows are sorted by their hash, all 64 bits of it, and then their place; equal ones are neighbours. The places found
-    are sorted again and the windows' union is summed up.
+    Most texts have no such window, which their distinct hashes tell. Otherwise windows are sorted by their hash, all 64 bits
+    of it, and then their place; equal ones are neighbours. The places found are sorted again and the windows' union is
+    summed up.
     """
 
     def windows(h):
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+
+    def places(w):
         return let(
-            F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("at")))),
+            F.sort_array(F.transform(w, lambda k, i: F.struct(k.alias("k"), i.alias("at")))),
             lambda s: F.sort_array(
                 F.transform(
                     F.filter(
@@ -60,13 +63,16 @@ def _repeated(hashes: Column) -> Column:
             ),
         )
 
-    union = F.aggregate(
-        windows(hashes),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
-        lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"), x.alias("last")),
-        lambda acc: acc["n"],
-    )
-    return F.when(F.size(hashes) < 4, F.lit(0).cast("long")).otherwise(union)
+    def union(w):
+        return F.aggregate(
+            places(w),
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
+            lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"), x.alias("last")),
+            lambda acc: acc["n"],
+        )
+
+    none = F.lit(0).cast("long")
+    return F.when(F.size(hashes) < 4, none).otherwise(let(windows(hashes), lambda w: F.when(F.size(w) == F.size(F.array_distinct(w)), none).otherwise(union(w))))
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
@@ -92,20 +98,20 @@ def rule_columns(text: Column, table: list[int], threshold: float = THRESHOLD) -
             _hashes(w),
             lambda h: F.struct(
                 F.size(h).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 _repeated(h).alias("n_repeat_words"),
                 F.aggregate(_cells(h), F.lit(0).cast("long"), lambda acc, c: acc + F.coalesce(F.get(ratios, c.cast("int")), F.lit(0).cast("long"))).alias("ratio_sum"),
                 F.greatest(2 * F.size(h).cast("long") - 1, F.lit(1).cast("long")).alias("n_grams"),
             ),
         ),
     )
-    symbols = F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))
-    blanks = F.length(F.translate(whole, BLANKS, ""))
-    dup_lines = let(F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0), lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
+    symbols = F.size(F.split(whole, SYMBOL)) - 1
+    dup_lines = let(F.filter(F.split(whole, "\n"), lambda x: x.rlike(NOT_BLANK)), lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
 
     def verdict(x):
         failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
         return F.struct(
-            x["n_words"].alias("n_words"), blanks.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines.cast("long").alias("n_dup_lines"),
+            x["n_words"].alias("n_words"), x["word_chars"].alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines.cast("long").alias("n_dup_lines"),
             x["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), (x["ratio_sum"] / (x["n_grams"] * MICRO)).alias("score"),
             (~failed & (x["ratio_sum"] >= F.lit(int(threshold * MICRO)).cast("long") * x["n_grams"])).alias("kept"),
         )
