@@ -22,7 +22,7 @@ MIN_PAGES = 3
 #: Line hashes, over all hosts, up to which the hosts' arrays are broadcast (8 bytes each); beyond, they are joined by
 #: shuffle, each array sent to PARTS parts of its host's pages, so that a hot host is no hot key.
 HASHES, PARTS = 1_000_000, 64
-BLANKS = " \t\n\x0b\x0c\r"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text):
@@ -30,7 +30,7 @@ def _lines(text):
 
 
 def _has_word(line):
-    return F.length(F.translate(line, BLANKS, "")) > 0
+    return line.rlike(NOT_BLANK)
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
