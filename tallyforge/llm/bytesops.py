@@ -20,6 +20,7 @@ _FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 #: Blank and the controls 9 to 13 separate words.
 IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+IS_WORD = (~IS_SPACE).astype(np.uint8)
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
@@ -81,6 +82,25 @@ def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def hashed_pieces(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and text numbers of the pieces of texts. A single long text goes in parts of about CHUNK bytes that end where
+    a separator is, so that only its hashes are held whole."""
+    if len(offsets) != 2 or len(data) <= 2 * CHUNK:
+        starts, ends, owner = pieces(data, offsets, kind)
+        return piece_hashes(data, starts, ends), owner
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and kind[data[end]]:
+            gap = np.flatnonzero(kind[data[end : end + CHUNK]] == 0)
+            end += int(gap[0]) if len(gap) else min(CHUNK, len(data) - end)
+        starts, ends, _ = pieces(data[at:end], np.array([0, end - at]), kind)
+        found.append(piece_hashes(data[at:end], starts, ends))
+        at = end
+    out = np.concatenate(found)
+    return out, np.zeros(len(out), np.int64)
+
+
 def counts_by_text(owner: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(owner, minlength=texts)
 
@@ -118,8 +138,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     data, offsets = texts_of(column)
     for i, j in chunks(offsets):
         part, offs = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-        starts, ends, owner = pieces(part, offs, (~IS_SPACE).astype(np.uint8))
-        got, who = windows(piece_hashes(part, starts, ends), owner, j - i, size)
+        got, who = windows(*hashed_pieces(part, offs, IS_WORD), j - i, size)
         ends_of = np.searchsorted(who, np.arange(j - i + 1))
         for k in range(j - i):
             yield np.unique(got[ends_of[k] : ends_of[k + 1]])

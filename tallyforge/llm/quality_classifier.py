@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.bytesops import IS_SPACE, U64, chunks, counts_by_text, mix, piece_hashes, pieces, texts_of
+from tallyforge.llm.bytesops import IS_SPACE, U64, chunks, counts_by_text, hashed_pieces, mix, texts_of
 from tallyforge.llm.common import fresh, held_out, join_ids, small_batches
 
 BITS = 18
@@ -47,8 +47,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     data, offsets = texts_of(column)
     for i, j in chunks(offsets):
         part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        starts, ends, owner = pieces(part, offs, KIND)
-        h = piece_hashes(part, starts, ends)
+        h, owner = hashed_pieces(part, offs, KIND)
         same = owner[1:] == owner[:-1]
         pairs = mix(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])[same]
         twice = same & (h[1:] == h[:-1])

@@ -17,6 +17,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's table of words.
 TABLE = 600_000
+#: Signs from which on a text is looked up in segments of about that many.
+SEGMENT = 1 << 19
 
 
 def byte_signs() -> dict[str, int]:
@@ -87,31 +89,49 @@ class Table:
         if len(self.first) > TABLE // 8:
             self.first = {}
 
-    def _some(self, texts: list[str]) -> Iterator:
+    def _some(self, texts: list[str], after_blank: bool = False) -> Iterator:
+        """Entries of texts; with after_blank, of texts that each go on behind a blank, which belongs to them."""
         cut = [t.split(" ") for t in texts]
         self._make_room(cut)
         entries, missing, new, new_first = [], [], set(), set()
         for c in cut:
             e = list(map(self.known.get, c))
-            e[0] = self.first.get(c[0])
+            if not after_blank:
+                e[0] = self.first.get(c[0])
             m = [i for i, x in enumerate(e) if x is None]
-            if m and m[0] == 0:
+            if m and m[0] == 0 and not after_blank:
                 new_first.add(c[0])
-            new.update(c[i] for i in m if i)
+            new.update(c[i] for i in m if i or after_blank)
             entries.append(e)
             missing.append(m)
         self._learn(self.known, new, " ")
         self._learn(self.first, new_first, "")
         for t, c, e, m in zip(texts, cut, entries, missing, strict=True):
             for i in m:
-                e[i] = (self.known if i else self.first).get(c[i])
+                e[i] = (self.known if i or after_blank else self.first).get(c[i])
             whole = any(e[i] is None for i in m) or any(s in t for s in self.special)
-            yield self.find([t])[0] if whole else self.join(e)
+            yield self.find([" " * after_blank + t])[0] if whole else self.join(e)
+
+    def _long(self, text: str):
+        """The entries of a long text, found segment by segment and joined; segments end before a blank that begins a word."""
+        found, at, blank = [], 0, False
+        while True:
+            end = text.find(" ", at + SEGMENT)
+            while 0 <= end and (end + 1 == len(text) or text[end + 1].isspace()):
+                end = text.find(" ", end + 1)
+            found += self._some([text[at : end if end >= 0 else None]], blank)
+            if end < 0:
+                return self.join(found)
+            at, blank = end + 1, True
 
     def look_up(self, texts: list[str]) -> Iterator:
-        """For each text what `join` makes of its entries. Texts are taken some 256 KB at a time."""
+        """For each text what `join` makes of its entries. Texts are taken some 256 KB at a time, long ones in segments."""
         at = 0
         while at < len(texts):
+            if len(texts[at]) > 2 * SEGMENT and not any(" " in s for s in self.special):
+                yield self._long(texts[at])
+                at += 1
+                continue
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 18):
                 size += len(texts[end])

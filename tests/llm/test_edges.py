@@ -156,11 +156,15 @@ def test_tokens_equal_the_library(docs, tmp_path):
         start += r.n_tokens
 
 
-def test_tokens_of_random_strings():
+@pytest.mark.parametrize("segment", [1 << 19, 2])
+def test_tokens_of_random_strings(monkeypatch, segment):
+    from tallyforge.llm import vocab
+
+    monkeypatch.setattr(vocab, "SEGMENT", segment)  # texts of more than two segments are looked up in parts
     t = Tokenizer.from_file(VOCAB)
     signs = ["a", "b", "the", " ", "  ", "\n", "\t", " ", "é", "1", "22", "²", "Ⅷ", "'s", "'", "!", "<|endoftext|>", "\x1c", "\x85", "中文", "🙂", " x"]
     rng = random.Random(5)
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 24))) for _ in range(5000)]
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts, VOCAB)] == want
     assert [np.frombuffer(x, "<u4").tolist() for x in token_files._table(VOCAB).look_up(texts)] == want

@@ -69,3 +69,17 @@ def test_lines_joined_by_parts_of_a_host(spark, monkeypatch):
     want = sorted((tuple(r) for r in line_dedup.drop_lines(docs).collect()), key=str)
     monkeypatch.setattr(line_dedup, "HASHES", 0)
     assert sorted((tuple(r) for r in line_dedup.drop_lines(docs).collect()), key=str) == want
+
+
+def test_hashes_of_a_long_text_in_parts(monkeypatch):
+    import numpy as np
+
+    from tallyforge.llm import bytesops
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", "x" * 90, " ", "\n\n", "é", "a" * 300]) for _ in range(3000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = bytesops.hashed_pieces(data, offsets, bytesops.IS_WORD)
+    monkeypatch.setattr(bytesops, "CHUNK", 64)
+    parts = bytesops.hashed_pieces(data, offsets, bytesops.IS_WORD)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == len(text.split())
