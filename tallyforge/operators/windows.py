@@ -56,7 +56,14 @@ def over_replacements(df: DataFrame, keys: list[str], kind: str, points: str, bo
     k = {name: F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(kind)] for name, ranks in boards.items()}
     lines = top.groupBy(*keys).agg(*(F.max_by(points, F.when(F.col("tf_rn") <= k[name], F.col("tf_rn"))).alias(f"tf_{name}") for name in boards))
     value = {name: F.when(F.col(kind).isin(*ranks), F.col(points) - F.col(f"tf_{name}")) for name, ranks in boards.items()}
-    return df.join(lines, keys, "left").withColumns(value).drop(*(f"tf_{name}" for name in boards))
+    return _by_keys(df, lines, keys, "left").withColumns(value).drop(*(f"tf_{name}" for name in boards))
+
+
+def _by_keys(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined with an aggregate of its own, by keys that may be null. As nothing is filtered by the join, both sides read
+    the same and what they compute in common is computed once."""
+    names = {k: f"tf_k{i}" for i, k in enumerate(keys)}
+    return df.join(groups.withColumnsRenamed(names), _all([F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]), how).drop(*names.values())
 
 
 def after_top(df: DataFrame, keys: list[str], by: str, ties: str, n: int) -> DataFrame:
@@ -65,7 +72,7 @@ def after_top(df: DataFrame, keys: list[str], by: str, ties: str, n: int) -> Dat
     top = df.withColumn("tf_rn", F.row_number().over(_over(keys, order))).where(F.col("tf_rn") <= n)
     last = top.groupBy(*keys).agg(F.max_by(F.struct(F.col(by).alias("by"), F.col(ties).alias("tie")), "tf_rn").alias("tf_last"))
     behind = (F.col(by) < F.col("tf_last.by")) | ((F.col(by) == F.col("tf_last.by")) & (F.col(ties) > F.col("tf_last.tie")))
-    return df.join(last, keys).where(behind).drop("tf_last")
+    return _by_keys(df, last, keys).where(behind).drop("tf_last")
 
 
 def ranked(df: DataFrame, keys: list[str], by: str, descending: bool, ties: list, name: str, runs: int = 64) -> DataFrame:
@@ -77,18 +84,14 @@ def ranked(df: DataFrame, keys: list[str], by: str, descending: bool, ties: list
     cuts = df.groupBy(*keys).agg(F.percentile_approx(by, [k / runs for k in range(1, runs)], 10_000).alias("tf_cuts"))
     run = F.size(F.filter("tf_cuts", lambda x: x < F.col(by)))
     run = F.when(F.col(by).isNull(), F.lit(runs)).otherwise(F.lit(runs - 1) - run if descending else run)
-    same = [F.col(f"tf_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
-    cuts = cuts.withColumnsRenamed({k: f"tf_k{i}" for i, k in enumerate(keys)})
-    drop = [f"tf_k{i}" for i in range(len(keys))]
-    dealt = df.join(cuts, _all(same), "left").withColumn("tf_run", run).drop("tf_cuts", *drop)
+    dealt = _by_keys(df, cuts, keys).withColumn("tf_run", run).drop("tf_cuts")
     sizes = dealt.groupBy(*keys, "tf_run").agg(F.count("*").alias("tf_n"))
     before = Window.partitionBy(*keys).orderBy("tf_run").rowsBetween(Window.unboundedPreceding, -1)  # at most runs + 1 rows
     sizes = sizes.withColumn("tf_base", F.coalesce(F.sum("tf_n").over(before), F.lit(0))).drop("tf_n")
-    sizes = sizes.withColumnsRenamed({k: f"tf_k{i}" for i, k in enumerate(keys)} | {"tf_run": "tf_of"})
     first = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
     placed = dealt.withColumn("tf_place", F.row_number().over(_over([*keys, "tf_run"], [first, *ties])))
-    out = placed.join(sizes, _all([*same, F.col("tf_of") == F.col("tf_run")]))
-    return out.withColumn(name, F.col("tf_base") + F.col("tf_place")).drop("tf_base", "tf_place", "tf_run", "tf_of", *drop)
+    out = _by_keys(placed, sizes, [*keys, "tf_run"])
+    return out.withColumn(name, F.col("tf_base") + F.col("tf_place")).drop("tf_base", "tf_place", "tf_run")
 
 
 def _all(conditions: list):
@@ -98,7 +101,7 @@ def _all(conditions: list):
 def equal_buckets(df: DataFrame, keys: list[str], by: str, descending: bool, ties: list, n: int, name: str) -> DataFrame:
     """ceil(N / n) rows per bucket in the order of a number and then of `ties`; the last ones come out short or empty."""
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / n).alias("tf_size"))
-    out = ranked(df, keys, by, descending, ties, "tf_rank").join(sizes, keys)
+    out = _by_keys(ranked(df, keys, by, descending, ties, "tf_rank"), sizes, keys)
     return out.withColumn(name, F.floor((F.col("tf_rank") - 1) / F.col("tf_size")).cast("int")).drop("tf_rank", "tf_size")
 
 
