@@ -34,8 +34,10 @@ def trunc_normal(u, mean, sd, low, high):
 
 
 def uniform(seed: int, *cols):
-    """A number in (0, 1) that depends on the seed and the columns only, so a repeated task draws the same."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**53)) + 0.5) / float(2**53)
+    """A number in (0, 1) that depends on the seed and the columns only, so a repeated task draws the same: the first 52 bits
+    of their MD5, which every engine has."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 13), 16, 10).cast("long")
+    return (bits + 0.5) / float(2**52)
 
 
 def draws(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:

@@ -337,7 +337,12 @@ def ml16(spark, d):
     return out.groupBy("leaf").agg(F.round(F.avg("label"), 6).alias("mean"), F.round(F.stddev_samp("label"), 6).alias("sd"), F.count("*").alias("n"))
 
 
-@query("sm2_games_missed")
+SM2_SQL = """WITH RECURSIVE p(k, p, cdf) AS (SELECT 0, exp(-2.0::DOUBLE), exp(-2.0::DOUBLE) UNION ALL SELECT k + 1, p * 2.0 / (k + 1), cdf + p * 2.0 / (k + 1) FROM p WHERE k < 15),
+u AS (SELECT c_custkey, (CAST('0x' || substr(md5('3:' || c_custkey), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM customer)
+SELECT c_custkey, CAST((SELECT count(*) FROM p WHERE u > cdf) AS INT) AS missed FROM u"""
+
+
+@query("sm2_games_missed", SM2_SQL)
 def sm2(spark, d):
     """Poisson counts by inversion of a hashed uniform number, at most 16."""
     rate = F.lit(2.0)
