@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.columns import row_mean
 from tallyforge.functions.ship import ship
 from tallyforge.operators.windows import ranked
+from tallyforge.sources.shared import shared_root
 
 
 def fill_by_regression(df: DataFrame, target: str, features: list[str], intercept: bool = True) -> DataFrame:
@@ -82,6 +83,7 @@ def spread_curves(df: DataFrame, predicted: str, actual: str, bins: list[int]) -
     value. For every number of bins to choose from, rows go into bins of equal count by prediction, and a monotone curve is
     fitted to the bins; per metric that number is taken whose curve is nearest to its bins. Rows are ranked once; what a
     task fits are bins, whose number is a parameter."""
+    shared_root(df.sparkSession)  # for the checkpoint
     rows = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).select(F.lit(1).alias("tf_one"), F.col(predicted).alias("p"), F.col(actual).alias("a"))
     total = rows.groupBy("tf_one").agg(F.count("*").alias("tf_all"))
     rows = ranked(rows, ["tf_one"], "p", False, [F.col("a")], "tf_rank").join(F.broadcast(total), "tf_one")
@@ -107,6 +109,7 @@ def stack(df: DataFrame, features: list[str], label: str, fold: str, models: dic
     all of them (stacked). Of 1 to `best` models in the order of their out-of-fold error that many are averaged for which the
     mean's error is least. Each model is a regressor that is fitted on the other folds; one row of errors reaches the driver.
     """
+    shared_root(df.sparkSession)  # for the checkpoint
     rows = VectorAssembler(inputCols=features, outputCol="tf_x").transform(df)
     parts = []
     for k in range(folds):
