@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import bpe, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
+from tallyforge.llm import bpe, line_dedup, media, merkle, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
 from tallyforge.llm.common import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -78,6 +78,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against the manifest; of every fifth one by the checksum of its id, a copy with small letters is held against it."""
+    docs = _table(spark, sf_dir, "documents")
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    shown = merkle.leaf(**{c: F.when(tampered, small).otherwise(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS})
+    with scratch(spark) as room:
+        out = merkle.manifest(room, docs, carry={"shown": shown})
+        out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("shown"), F.col("path")).alias("folded_root"))
+        return out.withColumn("verified", F.col("folded_root") == F.col("root")).checkpoint()
+
+
 def rules_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10_quality_rules that SQL can express."""
     return quality_rules.base_counts(_table(spark, sf_dir, "documents"))
@@ -143,6 +155,49 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ws) END AS n_lines, CASE W
 FROM cleaned
 """
 
+#: The checksum of an id goes bit by bit: the polynomial is that of crc32. Levels go on until each group has one node.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, n_chars, lang, source, text, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 5 END AS fifth FROM documents
+), mixed AS (
+  SELECT *, CASE WHEN fifth = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown_text FROM crc
+), heads AS (
+  SELECT doc_id, source, text, shown_text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM mixed
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown_text) || ':' || shown_text, '-')) AS shown FROM heads
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), lower_ AS (
+  SELECT 0 AS level, source, i, n, leaf AS digest FROM placed
+  UNION ALL SELECT level + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM lower_ WHERE n > 1 GROUP BY level, source, i // 16, n
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM lower_ WHERE n = 1
+), upper_ AS (
+  SELECT 0 AS level, j, m, subroot AS digest FROM subroots
+  UNION ALL SELECT level + 1, j // 16, (m + 15) // 16, sha256(string_agg(digest, '' ORDER BY j)) FROM upper_ WHERE m > 1 GROUP BY level, j // 16, m
+), low_runs AS (
+  SELECT level, source, i // 16 AS up, list(digest ORDER BY i) AS ds FROM lower_ WHERE n > 1 GROUP BY ALL
+), up_runs AS (
+  SELECT level, j // 16 AS up, list(digest ORDER BY j) AS ds FROM upper_ WHERE m > 1 GROUP BY ALL
+), up_paths AS (
+  SELECT s.j, u.level, s.j // (16 ** u.level)::BIGINT % 16 AS pos, ds FROM subroots s JOIN up_runs u ON s.j // (16 ** (u.level + 1))::BIGINT = u.up
+), steps AS (
+  SELECT p.doc_id, p.leaf, p.i, p.source, l.level, array_to_string(ds[1 : (p.i // (16 ** l.level)::BIGINT % 16)], '') AS lt, array_to_string(ds[(p.i // (16 ** l.level)::BIGINT % 16) + 2 :], '') AS rt
+  FROM placed p JOIN low_runs l ON p.source IS NOT DISTINCT FROM l.source AND p.i // (16 ** (l.level + 1))::BIGINT = l.up
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.i, p.source, 100 + u.level, array_to_string(ds[1 : pos], ''), array_to_string(ds[pos + 2 :], '')
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source JOIN up_paths u ON s.j = u.j
+), whole AS (
+  SELECT p.doc_id, p.leaf, p.shown, s.subroot, coalesce(list({'lt': lt, 'rt': rt} ORDER BY level) FILTER (WHERE level IS NOT NULL), []) AS path
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN steps t ON p.source IS NOT DISTINCT FROM t.source AND p.i = t.i GROUP BY p.doc_id, p.leaf, p.shown, s.subroot, p.source, p.i
+), done AS (
+  SELECT *, (SELECT digest FROM upper_ WHERE m = 1) AS root, sha256(array_to_string(list_transform(path, lambda x: x.lt || x.rt), '')) AS proof_sha256,
+    list_reduce(list_transform(path, lambda x: {'a': '', 'lt': x.lt, 'rt': x.rt}), lambda c, x: {'a': sha256(x.lt || c.a || x.rt), 'lt': '', 'rt': ''}, {'a': shown, 'lt': '', 'rt': ''}).a AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_quality_classifier": op2_quality_classifier,
@@ -154,7 +209,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
     "rules_base_counts": rules_base_counts,
 }
-SQL = {"op3_near_dedup": OP3_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
