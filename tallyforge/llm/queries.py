@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import bpe, line_dedup, media, merkle, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
+from tallyforge.llm import bpe, conversations, line_dedup, media, merkle, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
 from tallyforge.llm.common import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The id behind each document in token files, and the tokens from which on a document is over the limit.
 END_ID, TOKEN_LIMIT = 2, 1024
+#: The hash of no lines.
+NOTHING = hashlib.sha256().hexdigest()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +94,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.withColumn("verified", F.col("folded_root") == F.col("root")).checkpoint()
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, also those of which the damage leaves nothing."""
+    turns = _table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(turns))
+    none = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": NOTHING}
+    every = turns.groupBy(F.col("conv_id").alias("conv_id_")).agg(F.lit(True).alias("there"))
+    out = every.join(found, F.col("conv_id_").eqNullSafe(F.col("conv")), "left").select(F.col("conv_id_").alias("conv_id"), *found.columns[1:])
+    return out.select("conv_id", *(F.coalesce(F.col(c), F.lit(x).cast(found.schema[c].dataType)).alias(c) for c, x in none.items()))
+
+
 def rules_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10_quality_rules that SQL can express."""
     return quality_rules.base_counts(_table(spark, sf_dir, "documents"))
@@ -156,10 +170,12 @@ FROM cleaned
 """
 
 #: The checksum of an id goes bit by bit: the polynomial is that of crc32. Levels go on until each group has one node.
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda s: CAST(ascii(s) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)))"""
+
 OP11_SQL = r"""
 WITH RECURSIVE crc AS (
-  SELECT doc_id, n_chars, lang, source, text, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
-    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 5 END AS fifth FROM documents
+  SELECT doc_id, n_chars, lang, source, text, CASE WHEN doc_id IS NULL THEN 1 ELSE {CRC} % 5 END AS fifth FROM documents
 ), mixed AS (
   SELECT *, CASE WHEN fifth = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown_text FROM crc
 ), heads AS (
@@ -196,6 +212,54 @@ WITH RECURSIVE crc AS (
     list_reduce(list_transform(path, lambda x: {'a': '', 'lt': x.lt, 'rt': x.rt}), lambda c, x: {'a': sha256(x.lt || c.a || x.rt), 'lt': '', 'rt': ''}, {'a': shown, 'lt': '', 'rt': ''}).a AS folded_root FROM whole
 )
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+""".replace("{CRC}", _CRC.format("CAST(doc_id AS VARCHAR)"))
+
+def _cheapest(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _way(state: str, cost: str, edit: str, line: str = "") -> str:
+    """A state with one more edit; a line is appended, with a newline unless it is the first."""
+    text = f"{state}.x || {'' if state == 'n' else 'chr(10) || '}{line}" if line else f"{state}.x"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 't': {state}.t || '{edit}', 'x': {text}}} END"
+
+
+def _taken(role: str, name: str, states: str) -> list[str]:
+    keep = [f"CASE WHEN ok AND left(role, 1) = '{role}' THEN {_way(s, 'more', 'K', 'line')} END" for s in states]
+    return keep + ([f"CASE WHEN ok THEN {_way(s, '3 + more', 'R', f"'{name}:' || text")} END" for s in states] if name else [])
+
+
+#: One row of each conversation in each step of the recursion, its four states as columns: n (nothing), s, u, a.
+OP13_SQL = rf"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM placed
+), turns AS (
+  SELECT conv_id, k, role, text, role || ':' || text AS line, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM judged
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 't': '', 'x': ''}} AS n, NULL::STRUCT(c BIGINT, t VARCHAR, x VARCHAR) AS s, {{'c': 3::BIGINT, 't': 'I', 'x': 'user:'}} AS u, {{'c': 6::BIGINT, 't': 'II', 'x': 'user:' || chr(10) || 'assistant:'}} AS a
+  FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, k, n, s, u, {_cheapest("a", _way("u", "3", "I", "'assistant:'"))} AS a FROM (
+    SELECT conv_id, k, n, s, a, {_cheapest("u", *(_way(x, "3", "I", "'user:'") for x in "nsa"))} AS u FROM (
+      SELECT w.conv_id, t.k, {_way("n", "4", "D")} AS n, {_cheapest(_way("s", "4", "D"), *_taken("s", "", "n"))} AS s, {_cheapest(_way("u", "4", "D"), *_taken("u", "user", "nsa"))} AS u, {_cheapest(_way("a", "4", "D"), *_taken("a", "assistant", "u"))} AS a
+      FROM walk w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.k = w.k + 1))
+), ends AS (
+  SELECT conv_id, unnest({_cheapest("n", "a")}) FROM walk QUALIFY k = max(k) OVER (PARTITION BY conv_id)
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, c AS cost, t AS audit, sha256(x) AS repaired_sha256
+FROM ends e LEFT JOIN counts n ON e.conv_id IS NOT DISTINCT FROM n.conv_id
 """
 
 QUERIES = {
@@ -210,7 +274,8 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
     "rules_base_counts": rules_base_counts,
 }
-SQL = {"op3_near_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_repair": OP13_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
