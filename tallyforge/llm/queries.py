@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import bpe, conversations, line_dedup, media, merkle, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
+from tallyforge.llm import bpe, conversations, line_dedup, main_text, media, merkle, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, token_files
 from tallyforge.llm.common import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -94,6 +94,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.withColumn("verified", F.col("folded_root") == F.col("root")).checkpoint()
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.train(pages))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation of the table, also those of which the damage leaves nothing."""
     turns = _table(spark, sf_dir, "conversations")
@@ -214,6 +219,17 @@ WITH RECURSIVE crc AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
 """.replace("{CRC}", _CRC.format("CAST(doc_id AS VARCHAR)"))
 
+#: What the pages of the tables mark as their article: the text that the field, which isn't told, should find.
+OP12_SQL = r"""
+WITH bare AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages
+), plain AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM bare
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM plain
+"""
+
+
 def _cheapest(*ways: str) -> str:
     return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
 
@@ -239,8 +255,10 @@ WITH RECURSIVE kinds AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged
 ), judged AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM placed
 ), turns AS (
   SELECT conv_id, k, role, text, role || ':' || text AS line, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM judged
@@ -274,8 +292,9 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
     "rules_base_counts": rules_base_counts,
 }
-SQL = {"op3_near_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_repair": OP13_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op12_html_extraction": OP12_SQL, "op13_conversation_repair": OP13_SQL, "op8_line_dedup": OP8_SQL, "rules_base_counts": RULES_SQL}
