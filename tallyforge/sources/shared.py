@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,3 +43,10 @@ def folder(spark: SparkSession) -> Iterator[str]:
         yield path
     finally:
         delete_path(spark, path)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df, written to a folder and read again: its lineage is cut, and a lost executor costs nothing that was done before."""
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
