@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def fit(df: DataFrame, key: str, vector: str, k: int, within: str | None = None,
     by_hash = F.xxhash64("id", F.lit("sample"))
     sample = rows.select("id", by_hash.alias("h")).orderBy("h", "id").limit(max(SAMPLE, 4 * lists))
     sample = rows.join(F.broadcast(sample), "id").orderBy("h", "id")
-    model = KMeans(featuresCol="v", k=lists, maxIter=10, seed=1).fit(sample.select("v"))
+    model = KMeans(featuresCol="v", k=lists, maxIter=10, seed=1).fit(sample.select(array_to_vector("v").alias("v")))
     centroids = np.array(model.clusterCenters(), np.float32)
     main = np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][:1]
     index = Index(centroids[np.argsort((centroids @ main.T)[:, 0], kind="stable")], 0)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import neighbours
+from tallyforge.operators import gram, neighbours
 from tallyforge.plans.registry import query, table
+from tallyforge.plans.season import SEASON_SQL, season
 
 #: Neighbours of a row, and the share of rows that are asked for in an exact search: ids divisible by ASKED.
 K, ASKED = 10, 20
@@ -76,3 +77,88 @@ def ml15_made(spark, d):
     out = neighbours.oversampled(e, "vec_id", "embedding", "label", index=index)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return out.select("label", "base", "other", F.col("turn").cast("long"), F.round("place", 6).alias("place"), F.round(F.col("embedding")[0], 5).alias("first"), F.round(total, 5).alias("total"))
+
+
+#: Covariances of three features and a target by group: what all models of them rest on.
+_COV = SEASON_SQL + """, x AS (SELECT pos, player % 5 AS fold, CAST(games AS DOUBLE) AS a, CAST(yr - 1995 AS DOUBLE) AS b, team / 10.0::DOUBLE AS c, pts / 1e5 AS y FROM season)"""
+_MEANS = "avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy"
+FEATURES = ["a", "b", "c"]
+
+
+def _three(spark, d):
+    double = lambda c: c.cast("double")
+    x = season(spark, d)
+    return x.select("pos", (F.col("player") % 5).cast("int").alias("fold"), double(F.col("games")).alias("a"), double(F.col("yr") - 1995).alias("b"), (F.col("team") / 10.0).alias("c"), (F.col("pts") / 1e5).alias("y"))
+
+
+def _shown(models):
+    return models.select("pos", F.col("tf_n").cast("long").alias("n"), *((F.round(F.col("tf_b")[k], 6) + F.lit(0.0)).alias(f"b_{x}") for k, x in enumerate(FEATURES)), F.round("tf_a", 6).alias("start"))
+
+
+ML1_RIDGE_SQL = f"""WITH {_COV}, m AS (SELECT pos, count(*) AS n, {_MEANS} FROM x GROUP BY pos), r AS (SELECT *, aa + 0.3 AS A, bb + 0.3 AS B, cc + 0.3 AS C FROM (SELECT pos, n, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy FROM m)),
+d AS (SELECT *, aa_ * (bb_ * cc_ - bc * bc) - ab * (ab * cc_ - bc * ac) + ac * (ab * bc - bb_ * ac) AS det FROM (SELECT pos, n, ma, mb, mc, my, aa + 0.3 AS aa_, ab, ac, bb + 0.3 AS bb_, bc, cc + 0.3 AS cc_, ay, by_, cy FROM m)),
+s AS (SELECT pos, n, ma, mb, mc, my, (ay * (bb_ * cc_ - bc * bc) - ab * (by_ * cc_ - bc * cy) + ac * (by_ * bc - bb_ * cy)) / det AS p, (aa_ * (by_ * cc_ - bc * cy) - ay * (ab * cc_ - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS q,
+  (aa_ * (bb_ * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb_ * ac)) / det AS r FROM d)
+SELECT pos, n, round(p, 6) + 0.0 AS b_a, round(q, 6) + 0.0 AS b_b, round(r, 6) + 0.0 AS b_c, round(my - p * ma - q * mb - r * mc, 6) AS start FROM s"""
+ML1_RIDGE_SQL = ML1_RIDGE_SQL.replace(", r AS (SELECT *, aa + 0.3 AS A, bb + 0.3 AS B, cc + 0.3 AS C FROM (SELECT pos, n, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy FROM m))", "")
+
+
+@query("ml1_gram_ridge", ML1_RIDGE_SQL)
+def ml1_ridge(spark, d):
+    """Ridge of three features for each position, from one pass."""
+    return _shown(gram.fitted(gram.sums(_three(spark, d), FEATURES, "y", ["pos"]), 0.3, 0.0))
+
+
+def _descent(source: str, keys: str, weight: str, l1: str, rounds: int = 60) -> str:
+    """Coordinate descent in SQL: a step of the recursion goes once through the three coefficients."""
+    soft = lambda rest, own: f"sign({rest}) * greatest(abs({rest}) - {weight} * {l1}, 0) / ({own} + {weight} * (1 - {l1}))"
+    cells = f"{keys}, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy"
+    return f"""walk AS (SELECT {cells}, 0 AS turn, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r FROM {source} UNION ALL
+  SELECT {cells}, turn, p, q, {soft("(cy - ac * p - bc * q)", "cc")} AS r FROM (SELECT {cells}, turn, p, {soft("(by_ - ab * p - bc * r)", "bb")} AS q, r FROM (
+    SELECT {cells}, turn + 1 AS turn, {soft("(ay - ab * q - ac * r)", "aa")} AS p, q, r FROM walk WHERE turn < {rounds})))"""
+
+
+ML1_NET_SQL = f"""WITH RECURSIVE {_COV}, m AS (SELECT pos, count(*) AS n, {_MEANS} FROM x GROUP BY pos), {_descent("m", "pos, n", "0.02", "0.8")}
+SELECT pos, n, round(p, 6) + 0.0 AS b_a, round(q, 6) + 0.0 AS b_b, round(r, 6) + 0.0 AS b_c, round(my - p * ma - q * mb - r * mc, 6) AS start FROM walk WHERE turn = 60"""
+
+
+@query("ml1_gram_net", ML1_NET_SQL)
+def ml1_net(spark, d):
+    """Elastic net of three features for each position, by coordinate descent on the Gram matrix."""
+    return _shown(gram.fitted(gram.sums(_three(spark, d), FEATURES, "y", ["pos"]), 0.02, 0.8))
+
+
+ML1_BAYES_SQL = f"""WITH RECURSIVE {_COV}, m AS (SELECT pos, count(*)::DOUBLE AS n, {_MEANS}, var_pop(y) AS yy FROM x GROUP BY pos),
+e AS (SELECT pos, n, ma, mb, my, n * yy AS yy, n * aa AS aa, n * ab AS ab, n * bb AS bb, n * ay AS ay, n * by_ AS by_, 1 / yy AS noise, 1.0::DOUBLE AS spread, 0 AS turn FROM m
+  UNION ALL SELECT pos, n, ma, mb, my, yy, aa, ab, bb, ay, by_, (n - known + 2e-6) / (yy - 2 * (ay * p + by_ * q) + aa * p * p + 2 * ab * p * q + bb * q * q + 2e-6) AS noise, (known + 2e-6) / (p * p + q * q + 2e-6) AS spread, turn + 1 AS turn FROM (
+    SELECT *, noise * (ay * B - by_ * O) / det AS p, noise * (by_ * A_ - ay * O) / det AS q, 2 - spread * (A_ + B) / det AS known FROM (SELECT *, A_ * B - O * O AS det FROM (
+      SELECT *, spread + noise * aa AS A_, spread + noise * bb AS B, noise * ab AS O FROM e WHERE turn < 200)))),
+f AS (SELECT *, (spread + noise * aa) * (spread + noise * bb) - noise * ab * noise * ab AS det FROM e WHERE turn = 200),
+g AS (SELECT *, noise * (ay * (spread + noise * bb) - by_ * noise * ab) / det AS p, noise * (by_ * (spread + noise * aa) - ay * noise * ab) / det AS q FROM f)
+SELECT pos, round(p, 6) AS b_a, round(q, 6) AS b_b, round(my - p * ma - q * mb, 6) AS start, round(noise, 5) AS noise, round(spread, 5) AS spread FROM g"""
+
+
+@query("ml1_bayesian_ridge", ML1_BAYES_SQL)
+def ml1_bayes(spark, d):
+    """Ridge whose penalty comes from the evidence."""
+    out = gram.fitted(gram.sums(_three(spark, d), ["a", "b"], "y", ["pos"]), bayesian=True)
+    return out.select("pos", F.round(F.col("tf_b")[0], 6).alias("b_a"), F.round(F.col("tf_b")[1], 6).alias("b_b"), F.round("tf_a", 6).alias("start"), F.round("tf_noise", 5).alias("noise"), F.round("tf_spread", 5).alias("spread"))
+
+
+GRID = [(w, x) for w in (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0) for x in (0.1, 0.5, 0.9)]
+ML11_SQL = f"""WITH RECURSIVE {_COV}, f AS (SELECT DISTINCT pos, fold FROM x), t AS (SELECT unnest([{", ".join(str(w) for w, _ in GRID)}])::DOUBLE AS weight, unnest([{", ".join(str(x) for _, x in GRID)}])::DOUBLE AS l1, unnest(range({len(GRID)})) AS trial),
+m AS (SELECT f.pos, f.fold, {_MEANS} FROM f JOIN x ON f.pos = x.pos AND f.fold <> x.fold GROUP BY ALL), g AS (SELECT * FROM m, t), {_descent("g", "pos, fold, trial, weight, l1", "weight", "l1")},
+v AS (SELECT pos, fold, count(*) AS n, {_MEANS}, var_pop(y) AS yy FROM x GROUP BY ALL),
+e AS (SELECT w.pos, w.trial, w.weight, w.l1, v.yy - 2 * (p * v.ay + q * v.by_ + r * v.cy) + p * p * v.aa + q * q * v.bb + r * r * v.cc + 2 * (p * q * v.ab + p * r * v.ac + q * r * v.bc) + pow(v.my - w.my - p * (v.ma - w.ma) - q * (v.mb - w.mb) - r * (v.mc - w.mc), 2) AS error
+  FROM walk w JOIN v ON w.pos = v.pos AND w.fold = v.fold WHERE turn = 60),
+r1 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e WHERE fold < 2 GROUP BY pos, trial),
+r2 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e SEMI JOIN (SELECT pos AS p1, trial AS t1 FROM r1 WHERE rn <= {len(GRID) // 2}) ON pos = p1 AND trial = t1 WHERE fold < 4 GROUP BY pos, trial),
+s AS (SELECT pos, trial, weight, l1, avg(error) AS error FROM e SEMI JOIN (SELECT pos AS p2, trial AS t2 FROM r2 WHERE rn <= {len(GRID) // 4}) ON pos = p2 AND trial = t2 GROUP BY ALL)
+SELECT pos, CAST(trial AS INT) AS trial, weight, l1, round(error, 7) AS error FROM s QUALIFY row_number() OVER (PARTITION BY pos ORDER BY error, trial) = 1"""
+
+
+@query("ml11_halving_search", ML11_SQL)
+def ml11_search(spark, d):
+    """The best penalty of a grid for each position, by halving: two folds for all trials, four for half, five for a quarter."""
+    out = gram.search(_three(spark, d), FEATURES, "y", ["pos"], "fold", 5, GRID)
+    return out.select("pos", "trial", "weight", "l1", F.round("error", 7).alias("error"))
