@@ -149,7 +149,7 @@ GRID = [(w, x) for w in (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0) for x
 ML11_SQL = f"""WITH RECURSIVE {_COV}, f AS (SELECT DISTINCT pos, fold FROM x), t AS (SELECT unnest([{", ".join(str(w) for w, _ in GRID)}])::DOUBLE AS weight, unnest([{", ".join(str(x) for _, x in GRID)}])::DOUBLE AS l1, unnest(range({len(GRID)})) AS trial),
 m AS (SELECT f.pos, f.fold, {_MEANS} FROM f JOIN x ON f.pos = x.pos AND f.fold <> x.fold GROUP BY ALL), g AS (SELECT * FROM m, t), {_descent("g", "pos, fold, trial, weight, l1", "weight", "l1")},
 v AS (SELECT pos, fold, count(*) AS n, {_MEANS}, var_pop(y) AS yy FROM x GROUP BY ALL),
-e AS (SELECT w.pos, w.trial, w.weight, w.l1, v.yy - 2 * (p * v.ay + q * v.by_ + r * v.cy) + p * p * v.aa + q * q * v.bb + r * r * v.cc + 2 * (p * q * v.ab + p * r * v.ac + q * r * v.bc) + pow(v.my - w.my - p * (v.ma - w.ma) - q * (v.mb - w.mb) - r * (v.mc - w.mc), 2) AS error
+e AS (SELECT w.pos, w.fold, w.trial, w.weight, w.l1, v.yy - 2 * (p * v.ay + q * v.by_ + r * v.cy) + p * p * v.aa + q * q * v.bb + r * r * v.cc + 2 * (p * q * v.ab + p * r * v.ac + q * r * v.bc) + pow(v.my - w.my - p * (v.ma - w.ma) - q * (v.mb - w.mb) - r * (v.mc - w.mc), 2) AS error
   FROM walk w JOIN v ON w.pos = v.pos AND w.fold = v.fold WHERE turn = 60),
 r1 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e WHERE fold < 2 GROUP BY pos, trial),
 r2 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e SEMI JOIN (SELECT pos AS p1, trial AS t1 FROM r1 WHERE rn <= {len(GRID) // 2}) ON pos = p1 AND trial = t1 WHERE fold < 4 GROUP BY pos, trial),
