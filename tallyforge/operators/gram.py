@@ -111,7 +111,8 @@ def bayesian_ridge(cov: np.ndarray, with_y: np.ndarray, var_y: float, n: float)
 
 def fitted(matrices: DataFrame, weight: float = 0.0, l1: float = 0.0, bayesian: bool = False) -> DataFrame:
     """matrices, as sums() gives them, with tf_b (the coefficients), tf_a (the intercept) and tf_n (the rows) of each group's model in
-    place of tf_m; of a Bayesian ridge also tf_noise and tf_spread, the precisions."""
+    place of tf_m; of a Bayesian ridge also tf_noise and tf_spread, the precisions. Where matrices has columns weight and l1, as
+    search() gives them, these count for their group."""
     ship(matrices.sparkSession)
     keys = [f for f in matrices.schema.fields if f.name != "tf_m"]
     extra = ", tf_noise double, tf_spread double" if bayesian else ""
@@ -119,10 +120,11 @@ def fitted(matrices: DataFrame, weight: float = 0.0, l1: float = 0.0, bayesian:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             out = []
-            for flat in t["tf_m"]:
+            own = zip(t["weight"], t["l1"], strict=True) if {"weight", "l1"} <= set(t.columns) else [(weight, l1)] * len(t)
+            for flat, penalty in zip(t["tf_m"], own, strict=True):
                 m = np.asarray(flat, float)
                 cov, with_y, var_y, mean, mean_y, n = centred(m.reshape(int(round(len(m) ** 0.5)), -1))
-                b, *more = bayesian_ridge(cov, with_y, var_y, n) if bayesian else (elastic_net(cov, with_y, weight, l1),)
+                b, *more = bayesian_ridge(cov, with_y, var_y, n) if bayesian else (elastic_net(cov, with_y, *penalty),)
                 out.append((b.tolist(), float(mean_y - mean @ b), n, *more))
             yield pd.concat([t.drop(columns="tf_m").reset_index(drop=True), pd.DataFrame(out, columns=["tf_b", "tf_a", "tf_n", "tf_noise", "tf_spread"][: 5 if bayesian else 3])], axis=1)
 
@@ -177,27 +179,27 @@ def search(df: DataFrame, features: list[str], target: str, by: list[str], fold:
         parts = kept(sums(df.where(F.col(fold).between(0, folds - 1)).withColumn("tf_fold", F.col(fold).cast("int")), features, target, [*by, "tf_fold"]), f"{path}/parts")
         cells = parts.select(*by, F.posexplode("tf_m").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
         whole = cells.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("whole"))
-        both = kept(_joined(parts, whole, by).withColumnsRenamed({"tf_m": "part", "tf_fold": "fold"}), f"{path}/both")
+        both = kept(joined(parts, whole, by).withColumnsRenamed({"tf_m": "part", "tf_fold": "fold"}), f"{path}/both")
         trials = spark.createDataFrame([(k, float(w), float(x)) for k, (w, x) in enumerate(grid)], "trial int, weight double, l1 double")
         alive = both.select(*by).distinct().join(F.broadcast(trials))  # the grid, for each group
         done, used, rung = None, 0, 0
         while used < folds:
             fresh = both.where(F.col("fold").between(used, used + first - 1))
-            rows = _joined(fresh, alive, by).select(*by, "trial", "weight", "l1", "fold", "whole", "part")
+            rows = joined(fresh, alive, by).select(*by, "trial", "weight", "l1", "fold", "whole", "part")
             found = kept(_errors(rows, by), f"{path}/rung{rung}")
             done = found if done is None else done.unionByName(found)
             used, rung = used + first, rung + 1
             score = done.groupBy(*by, "trial", "weight", "l1").agg(F.avg("error").alias("error"), F.count("*").alias("n"))
             furthest = score.groupBy(*by).agg(F.max("n").alias("m"))
-            score = kept(_joined(score, furthest, by).where("n = m").drop("n", "m"), f"{path}/score{rung}")
+            score = kept(joined(score, furthest, by).where("n = m").drop("n", "m"), f"{path}/score{rung}")
             best = score.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("error", "trial"))).alias("all"))
             ahead = best.select(*by, F.explode(F.slice("all", F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("all") * keep).cast("int")))).alias("x")).select(*by, F.col("x.trial").alias("trial"))
-            alive = _joined(score.drop("error"), ahead, [*by, "trial"])
+            alive = joined(score.drop("error"), ahead, [*by, "trial"])
         win = score.groupBy(*by).agg(F.min_by(F.struct("trial", "weight", "l1", "error"), F.struct("error", "trial")).alias("x"))
         return win.select(*by, "x.*").checkpoint()
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """a joined with b by keys that may be null."""
     side = b.withColumnsRenamed({c: f"j_{c}" for c in keys})
     on = [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in keys]

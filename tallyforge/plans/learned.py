@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import gram, neighbours
+from tallyforge.operators import gram, neighbours, splines
 from tallyforge.plans.registry import query, table
 from tallyforge.plans.season import SEASON_SQL, season
+from tallyforge.plans.single import PICKS_SQL, pick_values
 
 #: Neighbours of a row, and the share of rows that are asked for in an exact search: ids divisible by ASKED.
 K, ASKED = 10, 20
@@ -80,7 +82,7 @@ def ml15_made(spark, d):
 
 
 #: Covariances of three features and a target by group: what all models of them rest on.
-_COV = SEASON_SQL + """, x AS (SELECT pos, player % 5 AS fold, CAST(games AS DOUBLE) AS a, CAST(yr - 1995 AS DOUBLE) AS b, team / 10.0::DOUBLE AS c, pts / 1e5 AS y FROM season)"""
+_COV = SEASON_SQL + """, x AS (SELECT player, yr, pos, player % 5 AS fold, CAST(games AS DOUBLE) AS a, CAST(yr - 1995 AS DOUBLE) AS b, team / 10.0::DOUBLE AS c, pts / 1e5 AS y FROM season)"""
 _MEANS = "avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy"
 FEATURES = ["a", "b", "c"]
 
@@ -88,44 +90,50 @@ FEATURES = ["a", "b", "c"]
 def _three(spark, d):
     double = lambda c: c.cast("double")
     x = season(spark, d)
-    return x.select("pos", (F.col("player") % 5).cast("int").alias("fold"), double(F.col("games")).alias("a"), double(F.col("yr") - 1995).alias("b"), (F.col("team") / 10.0).alias("c"), (F.col("pts") / 1e5).alias("y"))
+    return x.select("player", "yr", "pos", (F.col("player") % 5).cast("int").alias("fold"), double(F.col("games")).alias("a"), double(F.col("yr") - 1995).alias("b"), (F.col("team") / 10.0).alias("c"), (F.col("pts") / 1e5).alias("y"))
 
 
-def _shown(models):
-    return models.select("pos", F.col("tf_n").cast("long").alias("n"), *((F.round(F.col("tf_b")[k], 6) + F.lit(0.0)).alias(f"b_{x}") for k, x in enumerate(FEATURES)), F.round("tf_a", 6).alias("start"))
+def _shown(rows, models):
+    out = gram.predicted(rows, models, FEATURES, ["pos"], "predicted")
+    return out.select("player", "yr", F.round("predicted", 5).alias("predicted"))
+
+
+_SHOWN = "SELECT x.player, x.yr, round(w.my + p * (x.a - w.ma) + q * (x.b - w.mb) + r * (x.c - w.mc), 5) AS predicted FROM x JOIN"
 
 
 ML1_RIDGE_SQL = f"""WITH {_COV}, m AS (SELECT pos, count(*) AS n, {_MEANS} FROM x GROUP BY pos), r AS (SELECT *, aa + 0.3 AS A, bb + 0.3 AS B, cc + 0.3 AS C FROM (SELECT pos, n, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy FROM m)),
 d AS (SELECT *, aa_ * (bb_ * cc_ - bc * bc) - ab * (ab * cc_ - bc * ac) + ac * (ab * bc - bb_ * ac) AS det FROM (SELECT pos, n, ma, mb, mc, my, aa + 0.3 AS aa_, ab, ac, bb + 0.3 AS bb_, bc, cc + 0.3 AS cc_, ay, by_, cy FROM m)),
 s AS (SELECT pos, n, ma, mb, mc, my, (ay * (bb_ * cc_ - bc * bc) - ab * (by_ * cc_ - bc * cy) + ac * (by_ * bc - bb_ * cy)) / det AS p, (aa_ * (by_ * cc_ - bc * cy) - ay * (ab * cc_ - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS q,
   (aa_ * (bb_ * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb_ * ac)) / det AS r FROM d)
-SELECT pos, n, round(p, 6) + 0.0 AS b_a, round(q, 6) + 0.0 AS b_b, round(r, 6) + 0.0 AS b_c, round(my - p * ma - q * mb - r * mc, 6) AS start FROM s"""
+{_SHOWN} s AS w ON x.pos = w.pos"""
 ML1_RIDGE_SQL = ML1_RIDGE_SQL.replace(", r AS (SELECT *, aa + 0.3 AS A, bb + 0.3 AS B, cc + 0.3 AS C FROM (SELECT pos, n, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy FROM m))", "")
 
 
 @query("ml1_gram_ridge", ML1_RIDGE_SQL)
 def ml1_ridge(spark, d):
     """Ridge of three features for each position, from one pass."""
-    return _shown(gram.fitted(gram.sums(_three(spark, d), FEATURES, "y", ["pos"]), 0.3, 0.0))
+    x = _three(spark, d)
+    return _shown(x, gram.fitted(gram.sums(x, FEATURES, "y", ["pos"]), 0.3, 0.0))
 
 
-def _descent(source: str, keys: str, weight: str, l1: str, rounds: int = 60) -> str:
+def _descent(source: str, keys: str, weight: str, l1: str, rounds: int = 60, name: str = "walk") -> str:
     """Coordinate descent in SQL: a step of the recursion goes once through the three coefficients."""
     soft = lambda rest, own: f"sign({rest}) * greatest(abs({rest}) - {weight} * {l1}, 0) / ({own} + {weight} * (1 - {l1}))"
     cells = f"{keys}, ma, mb, mc, my, aa, ab, ac, bb, bc, cc, ay, by_, cy"
-    return f"""walk AS (SELECT {cells}, 0 AS turn, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r FROM {source} UNION ALL
+    return f"""{name} AS (SELECT {cells}, 0 AS turn, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r FROM {source} UNION ALL
   SELECT {cells}, turn, p, q, {soft("(cy - ac * p - bc * q)", "cc")} AS r FROM (SELECT {cells}, turn, p, {soft("(by_ - ab * p - bc * r)", "bb")} AS q, r FROM (
-    SELECT {cells}, turn + 1 AS turn, {soft("(ay - ab * q - ac * r)", "aa")} AS p, q, r FROM walk WHERE turn < {rounds})))"""
+    SELECT {cells}, turn + 1 AS turn, {soft("(ay - ab * q - ac * r)", "aa")} AS p, q, r FROM {name} WHERE turn < {rounds})))"""
 
 
 ML1_NET_SQL = f"""WITH RECURSIVE {_COV}, m AS (SELECT pos, count(*) AS n, {_MEANS} FROM x GROUP BY pos), {_descent("m", "pos, n", "0.02", "0.8")}
-SELECT pos, n, round(p, 6) + 0.0 AS b_a, round(q, 6) + 0.0 AS b_b, round(r, 6) + 0.0 AS b_c, round(my - p * ma - q * mb - r * mc, 6) AS start FROM walk WHERE turn = 60"""
+{_SHOWN} walk AS w ON x.pos = w.pos WHERE turn = 60"""
 
 
 @query("ml1_gram_net", ML1_NET_SQL)
 def ml1_net(spark, d):
     """Elastic net of three features for each position, by coordinate descent on the Gram matrix."""
-    return _shown(gram.fitted(gram.sums(_three(spark, d), FEATURES, "y", ["pos"]), 0.02, 0.8))
+    x = _three(spark, d)
+    return _shown(x, gram.fitted(gram.sums(x, FEATURES, "y", ["pos"]), 0.02, 0.8))
 
 
 ML1_BAYES_SQL = f"""WITH RECURSIVE {_COV}, m AS (SELECT pos, count(*)::DOUBLE AS n, {_MEANS}, var_pop(y) AS yy FROM x GROUP BY pos),
@@ -135,14 +143,16 @@ e AS (SELECT pos, n, ma, mb, my, n * yy AS yy, n * aa AS aa, n * ab AS ab, n * b
       SELECT *, spread + noise * aa AS A_, spread + noise * bb AS B, noise * ab AS O FROM e WHERE turn < 200)))),
 f AS (SELECT *, (spread + noise * aa) * (spread + noise * bb) - noise * ab * noise * ab AS det FROM e WHERE turn = 200),
 g AS (SELECT *, noise * (ay * (spread + noise * bb) - by_ * noise * ab) / det AS p, noise * (by_ * (spread + noise * aa) - ay * noise * ab) / det AS q FROM f)
-SELECT pos, round(p, 6) AS b_a, round(q, 6) AS b_b, round(my - p * ma - q * mb, 6) AS start, round(noise, 5) AS noise, round(spread, 5) AS spread FROM g"""
+SELECT player, yr, round(my + p * (x.a - ma) + q * (x.b - mb), 5) AS predicted, round(1 / sqrt(noise), 5) AS deviation FROM x JOIN g ON x.pos = g.pos"""
 
 
 @query("ml1_bayesian_ridge", ML1_BAYES_SQL)
 def ml1_bayes(spark, d):
     """Ridge whose penalty comes from the evidence."""
-    out = gram.fitted(gram.sums(_three(spark, d), ["a", "b"], "y", ["pos"]), bayesian=True)
-    return out.select("pos", F.round(F.col("tf_b")[0], 6).alias("b_a"), F.round(F.col("tf_b")[1], 6).alias("b_b"), F.round("tf_a", 6).alias("start"), F.round("tf_noise", 5).alias("noise"), F.round("tf_spread", 5).alias("spread"))
+    x = _three(spark, d)
+    models = gram.fitted(gram.sums(x, ["a", "b"], "y", ["pos"]), bayesian=True)
+    out = gram.joined(gram.predicted(x, models, ["a", "b"], ["pos"], "predicted"), models.select("pos", (1 / F.sqrt("tf_noise")).alias("deviation")), ["pos"])
+    return out.select("player", "yr", F.round("predicted", 5).alias("predicted"), F.round("deviation", 5).alias("deviation"))
 
 
 GRID = [(w, x) for w in (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0) for x in (0.1, 0.5, 0.9)]
@@ -153,12 +163,49 @@ e AS (SELECT w.pos, w.fold, w.trial, w.weight, w.l1, v.yy - 2 * (p * v.ay + q *
   FROM walk w JOIN v ON w.pos = v.pos AND w.fold = v.fold WHERE turn = 60),
 r1 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e WHERE fold < 2 GROUP BY pos, trial),
 r2 AS (SELECT pos, trial, row_number() OVER (PARTITION BY pos ORDER BY avg(error), trial) AS rn FROM e SEMI JOIN (SELECT pos AS p1, trial AS t1 FROM r1 WHERE rn <= {len(GRID) // 2}) ON pos = p1 AND trial = t1 WHERE fold < 4 GROUP BY pos, trial),
-s AS (SELECT pos, trial, weight, l1, avg(error) AS error FROM e SEMI JOIN (SELECT pos AS p2, trial AS t2 FROM r2 WHERE rn <= {len(GRID) // 4}) ON pos = p2 AND trial = t2 GROUP BY ALL)
-SELECT pos, CAST(trial AS INT) AS trial, weight, l1, round(error, 7) AS error FROM s QUALIFY row_number() OVER (PARTITION BY pos ORDER BY error, trial) = 1"""
+s AS (SELECT pos, trial, weight, l1, avg(error) AS error FROM e SEMI JOIN (SELECT pos AS p2, trial AS t2 FROM r2 WHERE rn <= {len(GRID) // 4}) ON pos = p2 AND trial = t2 GROUP BY ALL),
+t1 AS (SELECT pos, trial, weight, l1, error FROM s QUALIFY row_number() OVER (PARTITION BY pos ORDER BY error, trial) = 1), m1 AS (SELECT x.pos, {_MEANS} FROM x GROUP BY x.pos),
+g1 AS (SELECT m1.*, trial, weight, l1, error FROM m1 JOIN t1 ON m1.pos = t1.pos), {_descent("g1", "pos, trial, weight, l1, error", "weight", "l1", name="walk1")}
+SELECT x.player, x.yr, CAST(trial AS INT) AS trial, round(error, 7) AS error, round(w.my + p * (x.a - w.ma) + q * (x.b - w.mb) + r * (x.c - w.mc), 5) AS predicted FROM x JOIN walk1 AS w ON x.pos = w.pos WHERE turn = 60"""
 
 
 @query("ml11_halving_search", ML11_SQL)
 def ml11_search(spark, d):
-    """The best penalty of a grid for each position, by halving: two folds for all trials, four for half, five for a quarter."""
-    out = gram.search(_three(spark, d), FEATURES, "y", ["pos"], "fold", 5, GRID)
-    return out.select("pos", "trial", "weight", "l1", F.round("error", 7).alias("error"))
+    """What the model with the best penalty of a grid says, a model for each position. The penalties are found by halving: two folds for all trials, four for half, five for a quarter."""
+    x = _three(spark, d)
+    won = gram.search(x, FEATURES, "y", ["pos"], "fold", 5, GRID)
+    models = gram.fitted(gram.joined(gram.sums(x, FEATURES, "y", ["pos"]), won, ["pos"]))
+    out = gram.joined(gram.predicted(x, models, FEATURES, ["pos"], "predicted"), won.select("pos", "trial", "error"), ["pos"])
+    return out.select("player", "yr", "trial", F.round("error", 7).alias("error"), F.round("predicted", 5).alias("predicted"))
+
+
+#: A curve's penalty for places one apart, and the recursions that solve its system: down and up again.
+STIFF = 500.0
+BZ18_SPLINE_SQL = f"""WITH RECURSIVE {PICKS_SQL},
+k AS (SELECT slot AS i, med, med - 2 * lead(med) OVER o + lead(med, 2) OVER o AS bent, count(*) OVER () - 2 AS n FROM m WINDOW o AS (ORDER BY slot)),
+down AS (SELECT i, n, {2 / 3 + 6 * STIFF}::DOUBLE AS d, ({1 / 6 - 4 * STIFF}::DOUBLE) / {2 / 3 + 6 * STIFF} AS l1, {STIFF}::DOUBLE / {2 / 3 + 6 * STIFF} AS l2, bent::DOUBLE AS z, 0.0::DOUBLE AS d0, 0.0::DOUBLE AS l20, 0.0::DOUBLE AS z0 FROM k WHERE i = 1
+  UNION ALL SELECT i, n, d, ({1 / 6 - 4 * STIFF} - l10 * l2_ * d0) / d AS l1, {STIFF} / d AS l2, z, d0, l2_ AS l20, z0 FROM (
+    SELECT k.i, k.n, {2 / 3 + 6 * STIFF} - w.l1 * w.l1 * w.d - w.l20 * w.l20 * w.d0 AS d, w.l1 AS l10, w.l2 AS l2_, w.d AS d0, k.bent - w.l1 * w.z - w.l20 * w.z0 AS z, w.z AS z0 FROM down w JOIN k ON k.i = w.i + 1 WHERE k.i <= k.n)),
+up AS (SELECT i, z / d AS c, 0.0::DOUBLE AS c1 FROM down WHERE i = n
+  UNION ALL SELECT d.i, d.z / d.d - d.l1 * u.c - d.l2 * u.c1 AS c, u.c AS c1 FROM up u JOIN down d ON d.i = u.i - 1),
+s1 AS (SELECT k.i, med - {STIFF} * (coalesce(a.c, 0) - 2 * coalesce(b.c, 0) + coalesce(e.c, 0)) AS smooth FROM k LEFT JOIN up a ON a.i = k.i LEFT JOIN up b ON b.i = k.i - 1 LEFT JOIN up e ON e.i = k.i - 2)
+SELECT CAST(i AS INT) AS slot, round(smooth, 3) AS smooth, round(min(smooth) OVER (ORDER BY i), 3) AS value FROM s1"""
+
+
+@query("bz18_spline_curve", BZ18_SPLINE_SQL)
+def bz18_spline(spark, d):
+    """Value over replacement by pick: the median of each slot, a smoothing spline of given stiffness, its running minimum.
+    The slots are a draft's places, of which there are 300."""
+    curve = splines.curves(pick_values(spark, d), [], "slot", "med", penalty=STIFF)
+    value = F.min("fitted").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return curve.select(F.col("x").cast("int").alias("slot"), F.round("fitted", 3).alias("smooth"), F.round(value, 3).alias("value"))
+
+
+@query("ml14_price_curves")
+def ml14_curves(spark, d):
+    """What each order's price differs from its segment's curve over the days, a spline whose penalty is chosen by leaving out."""
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"), (F.col("o_totalprice") / 1e5).alias("price")).join(people, "o_custkey")
+    curve = splines.curves(rows, ["c_mktsegment"], "day", "price")
+    out = splines.at(rows, curve, ["c_mktsegment"], "day", "curve")
+    return out.select("o_orderkey", F.round("curve", 6).alias("curve"), F.round(F.col("price") - F.col("curve"), 6).alias("rest"))

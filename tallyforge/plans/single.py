@@ -181,20 +181,26 @@ def ml1_penalised(spark, d):
     return out.select("pos", *(F.round(c, 6).alias(c) for n in ("ridge", "lasso", "net") for c in (n, f"{n}_start")))
 
 
-BZ18_SQL = S + """, n AS (SELECT *, row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS rn, count(*) OVER (PARTITION BY yr, pos) AS n, CASE pos WHEN 'AUTOMOBILE' THEN 12 WHEN 'BUILDING' THEN 28 WHEN 'FURNITURE' THEN 44 ELSE 12 END AS k FROM season),
+PICKS_SQL = S.removeprefix("WITH ") + """, n AS (SELECT *, row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS rn, count(*) OVER (PARTITION BY yr, pos) AS n, CASE pos WHEN 'AUTOMOBILE' THEN 12 WHEN 'BUILDING' THEN 28 WHEN 'FURNITURE' THEN 44 ELSE 12 END AS k FROM season),
 v AS (SELECT yr, player, pts - max(CASE WHEN rn = least(k, n) THEN pts END) OVER (PARTITION BY yr, pos) AS vor, pts FROM n),
-s AS (SELECT vor, row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) AS slot FROM v), m AS (SELECT slot, median(vor) AS med FROM s WHERE slot <= 300 GROUP BY slot),
+s AS (SELECT vor, row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) AS slot FROM v), m AS (SELECT slot, median(vor) AS med FROM s WHERE slot <= 300 GROUP BY slot)"""
+BZ18_SQL = f"WITH {PICKS_SQL}" + """,
 w AS (SELECT a.slot, sum((1 - pow(abs(a.slot - b.slot) / 13.0, 3)) * b.med) / sum(1 - pow(abs(a.slot - b.slot) / 13.0, 3)) AS smooth FROM m a JOIN m b ON abs(a.slot - b.slot) <= 12 GROUP BY a.slot)
 SELECT CAST(slot AS INT) AS slot, round(smooth, 3) AS smooth, round(min(smooth) OVER (ORDER BY slot), 3) AS value FROM w"""
 
 
+def pick_values(spark, d):
+    """The median of the value over replacement of each slot of a draft over the years: slot, med."""
+    ranks = {"AUTOMOBILE": 12, "BUILDING": 28, "FURNITURE": 44, "MACHINERY": 12, "HOUSEHOLD": 12}
+    v = win.over_replacement(season(spark, d), ["yr", "pos"], "pos", "pts", ranks, best(), "vor")
+    return win.number(v, ["yr"], best(), "slot").where("slot <= 300").groupBy("slot").agg(F.median("vor").alias("med"))
+
+
 @query("bz18_value_curve", BZ18_SQL)
 def bz18_curve(spark, d):
     """Value over replacement by pick: the median of each slot over the years, smoothed, then its running minimum. A slot is
     a place in the draft, of which there are 300, so the curve is a small table."""
-    ranks = {"AUTOMOBILE": 12, "BUILDING": 28, "FURNITURE": 44, "MACHINERY": 12, "HOUSEHOLD": 12}
-    v = win.over_replacement(season(spark, d), ["yr", "pos"], "pos", "pts", ranks, best(), "vor")
-    slots = win.number(v, ["yr"], best(), "slot").where("slot <= 300").groupBy("slot").agg(F.median("vor").alias("med"))
+    slots = pick_values(spark, d)
     curve = models.smoothed(slots, "slot", "med", 12, "smooth")
     value = F.min("smooth").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     return curve.select("slot", F.round("smooth", 3).alias("smooth"), F.round(value, 3).alias("value"))
