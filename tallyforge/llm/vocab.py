@@ -15,8 +15,8 @@ import regex
 
 #: Fixed value: the pattern of byte-level BPE pre-tokens, of which the files' libraries and their users share one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's table of words.
-TABLE = 600_000
+#: Entries of a worker's table of words, its bytes, and the signs of the longest word that is kept: longer ones hardly come again.
+TABLE, BYTES, KEEP = 600_000, 160_000_000, 256
 #: Signs from which on a text is looked up in segments of about that many.
 SEGMENT = 1 << 19
 
@@ -68,7 +68,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Table:
-    """What `find` gives for strings, kept for up to TABLE words, for texts cut at blanks.
+    """What `find` gives for strings, kept for up to TABLE words and about BYTES bytes, for texts cut at blanks.
 
     A blank before another sign than white space always begins a pre-token, and what stands before it isn't looked at
     again. So a text can be cut there and its words, each with the blank before it, be found by themselves. Texts where
@@ -76,18 +76,28 @@ class Table:
     """
 
     def __init__(self, vocab: Vocabulary, find: Callable[[list[str]], list], join: Callable[[list], object]):
-        self.special, self.find, self.join, self.known, self.first = list(vocab.special), find, join, {}, {}
+        self.special, self.find, self.join, self.known, self.first, self.bytes = list(vocab.special), find, join, {}, {}, 0
 
-    def _learn(self, table: dict, words: set[str], before: str) -> None:
+    @staticmethod
+    def weight(word: str) -> int:
+        """Bytes of an entry, about: its share of the table, the word, and what is found for it, which its length bounds."""
+        return 200 + 8 * len(word)
+
+    def _learn(self, table: dict, words: set[str], before: str) -> dict:
+        """What is found for the words; the table keeps those that aren't long."""
         plain = [w for w in words if w and not w[0].isspace()]
-        table.update(zip(plain, self.find([before + w for w in plain]), strict=True))
+        found = dict(zip(plain, self.find([before + w for w in plain]), strict=True))
+        kept = {w: x for w, x in found.items() if len(w) <= KEEP}
+        table.update(kept)
+        self.bytes += sum(map(self.weight, kept))
+        return found
 
     def _make_room(self, cut: list[list[str]]) -> None:
         """Tables over their size keep what the texts at hand use."""
-        if len(self.known) > TABLE:
+        if len(self.known) > TABLE or len(self.first) > TABLE // 8 or self.bytes > BYTES:
             self.known = {w: self.known[w] for w in set(chain.from_iterable(cut)) if w in self.known}
-        if len(self.first) > TABLE // 8:
             self.first = {}
+            self.bytes = sum(map(self.weight, self.known))
 
     def _some(self, texts: list[str], after_blank: bool = False) -> Iterator:
         """Entries of texts; with after_blank, of texts that each go on behind a blank, which belongs to them."""
@@ -104,11 +114,11 @@ class Table:
             new.update(c[i] for i in m if i or after_blank)
             entries.append(e)
             missing.append(m)
-        self._learn(self.known, new, " ")
-        self._learn(self.first, new_first, "")
+        found = self._learn(self.known, new, " ")
+        found_first = self._learn(self.first, new_first, "")
         for t, c, e, m in zip(texts, cut, entries, missing, strict=True):
             for i in m:
-                e[i] = (self.known if i or after_blank else self.first).get(c[i])
+                e[i] = (found if i or after_blank else found_first).get(c[i])
             whole = any(e[i] is None for i in m) or any(s in t for s in self.special)
             yield self.find([" " * after_blank + t])[0] if whole else self.join(e)
 

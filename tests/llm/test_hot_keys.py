@@ -83,3 +83,27 @@ def test_hashes_of_a_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(bytesops, "CHUNK", 64)
     parts = bytesops.hashed_pieces(data, offsets, bytesops.IS_WORD)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == len(text.split())
+
+
+def test_word_table_is_bounded_by_bytes(monkeypatch):
+    """Words of 20,000 signs, texts without blanks and many short words: what is kept stays under the bound, and is right."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyforge.llm import token_files, vocab
+
+    monkeypatch.setattr(vocab, "BYTES", 300_000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r, tokenizer, table = random.Random(2), Tokenizer.from_file(path), token_files._table.__wrapped__(path)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    most = 0
+    for _ in range(12):
+        texts = [f"{word(20_000)} {word(5)} {word(20_000)}" for _ in range(10)] + [" ".join(word(6) for _ in range(300)) for _ in range(4)] + ["中文没有空格" * 3_000, ""]
+        for t, found in zip(texts, table.look_up(texts), strict=True):
+            assert found == b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(t, add_special_tokens=False).ids)
+        kept = {**table.known, **{f" {w}": x for w, x in table.first.items()}}
+        assert all(len(w) <= vocab.KEEP + 1 for w in kept)
+        most = max(most, sum(len(w.encode()) + len(x) for w, x in kept.items()))
+    assert most < 2 * vocab.BYTES
