@@ -16,7 +16,7 @@ import regex
 #: Fixed value: the pattern of byte-level BPE pre-tokens, of which the files' libraries and their users share one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's table of words, its bytes, and the signs of the longest word that is kept: longer ones hardly come again.
-TABLE, BYTES, KEEP = 600_000, 160_000_000, 256
+TABLE, BYTES, KEEP = 600_000, 256_000_000, 256
 #: Signs from which on a text is looked up in segments of about that many.
 SEGMENT = 1 << 19
 
@@ -79,25 +79,26 @@ class Table:
         self.special, self.find, self.join, self.known, self.first, self.bytes = list(vocab.special), find, join, {}, {}, 0
 
     @staticmethod
-    def weight(word: str) -> int:
-        """Bytes of an entry, about: its share of the table, the word, and what is found for it, which its length bounds."""
-        return 200 + 8 * len(word)
+    def weight(words: dict) -> int:
+        """Bytes of entries, about: their share of the table, the words, and what is found for them, which their length bounds."""
+        return 200 * len(words) + 8 * sum(map(len, words))
 
     def _learn(self, table: dict, words: set[str], before: str) -> dict:
         """What is found for the words; the table keeps those that aren't long."""
         plain = [w for w in words if w and not w[0].isspace()]
         found = dict(zip(plain, self.find([before + w for w in plain]), strict=True))
-        kept = {w: x for w, x in found.items() if len(w) <= KEEP}
+        kept = found if max(map(len, plain), default=0) <= KEEP else {w: x for w, x in found.items() if len(w) <= KEEP}
         table.update(kept)
-        self.bytes += sum(map(self.weight, kept))
+        self.bytes += self.weight(kept)
         return found
 
     def _make_room(self, cut: list[list[str]]) -> None:
         """Tables over their size keep what the texts at hand use."""
-        if len(self.known) > TABLE or len(self.first) > TABLE // 8 or self.bytes > BYTES:
+        if len(self.known) > TABLE or self.bytes > BYTES:
             self.known = {w: self.known[w] for w in set(chain.from_iterable(cut)) if w in self.known}
-            self.first = {}
-            self.bytes = sum(map(self.weight, self.known))
+            self.bytes = self.weight(self.known) + self.weight(self.first)
+        if len(self.first) > TABLE // 8 or self.bytes > BYTES:
+            self.first, self.bytes = {}, self.weight(self.known)
 
     def _some(self, texts: list[str], after_blank: bool = False) -> Iterator:
         """Entries of texts; with after_blank, of texts that each go on behind a blank, which belongs to them."""
