@@ -5,45 +5,38 @@ Draws and trials are rows; each trial is solved on its own by a dynamic program,
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.normal import shares, truncated
 from tallyforge.functions.ship import ship
 
-_N = NormalDist()
 
+def uniform(seed: int, *cols):
+    """A number in (0, 1) that depends on the seed and the columns only, so a repeated task draws the same: the first 52 bits
+    of their MD5, which every engine has."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 13), 16, 10).cast("long")
+    return (bits + 0.5) / float(2**52)
 
-def _trunc_normal(u: pd.Series, mean: pd.Series, sd: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    def one(u, m, s, a, b):
-        if not s > 0:
-            return min(max(m, a), b)
-        pa, pb = _N.cdf((a - m) / s), _N.cdf((b - m) / s)
-        return min(max(m + s * _N.inv_cdf(min(max(pa + u * (pb - pa), 1e-12), 1 - 1e-12)), a), b)
 
-    return pd.Series([one(*x) for x in zip(u, mean, sd, low, high, strict=True)], dtype=float)
+_LIMITS = ("mean", "sd", "low", "high")
 
 
-def trunc_normal(u, mean, sd, low, high):
-    """A draw by the inverse distribution function at u."""
-    ship()
-    return F.pandas_udf(_trunc_normal, "double")(u, mean, sd, low, high)
+def _with_shares(df: DataFrame) -> DataFrame:
+    """df with the shares of its distributions below their limits, once for all draws of a row."""
+    return df.withColumns(dict(zip(("tf_below_low", "tf_below_high"), shares(*map(F.col, _LIMITS)), strict=True)))
 
 
-def uniform(seed: int, *cols):
-    """A number in (0, 1) that depends on the seed and the columns only, so a repeated task draws the same: the first 52 bits
-    of their MD5, which every engine has."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 13), 16, 10).cast("long")
-    return (bits + 0.5) / float(2**52)
+def _drawn(u):
+    return truncated(u, (F.col("tf_below_low"), F.col("tf_below_high")), *map(F.col, _LIMITS))
 
 
 def draws(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n truncated-normal draws per row of key, mean, sd, low, high: key, draw, points."""
-    long = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return long.select(key, "draw", trunc_normal(uniform(seed, F.col(key), F.col("draw")), "mean", "sd", "low", "high").alias("points"))
+    long = _with_shares(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return long.select(key, "draw", _drawn(uniform(seed, F.col(key), F.col("draw"))).alias("points"))
 
 
 def best_lineup(points: np.ndarray, price: np.ndarray, kind: np.ndarray, need: dict[str, int], budget: int) -> list[int]:
@@ -72,8 +65,8 @@ def best_lineup(points: np.ndarray, price: np.ndarray, kind: np.ndarray, need: d
 def trials(players: DataFrame, n: int, need: dict[str, int], budget: int, seed: int = 1) -> DataFrame:
     """n lineups, each on its own draws: trial, player, price. players: player, kind, price (whole), mean, sd, low, high;
     they are a draft's candidates, a list that is bounded by the draft and not by the data."""
-    numbered = players.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = numbered.withColumn("points", trunc_normal(uniform(seed, F.col("player"), F.col("trial")), "mean", "sd", "low", "high"))
+    numbered = _with_shares(players).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = numbered.withColumn("points", _drawn(uniform(seed, F.col("player"), F.col("trial"))))
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("player", kind="stable").reset_index(drop=True)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import normal
 from tallyforge.operators import gram, neighbours, splines
-from tallyforge.plans.registry import query, table
+from tallyforge.operators.simulate import uniform
+from tallyforge.plans.registry import SQL, query, table
 from tallyforge.plans.season import SEASON_SQL, season
 from tallyforge.plans.single import PICKS_SQL, pick_values
 
@@ -209,3 +211,40 @@ def ml14_curves(spark, d):
     curve = splines.curves(rows, ["c_mktsegment"], "day", "price")
     out = splines.at(rows, curve, ["c_mktsegment"], "day", "curve")
     return out.select("o_orderkey", F.round("curve", 6).alias("curve"), F.round(F.col("price") - F.col("curve"), 6).alias("rest"))
+
+
+def _fraction_sql(x: str, parts: tuple) -> str:
+    def polynomial(coefficients):
+        out = repr(coefficients[-1])
+        for c in reversed(coefficients[:-1]):
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    return f"({polynomial(parts[0])} / {polynomial(parts[1])})"
+
+
+#: The standard normal quantile of a column p, as functions/normal.py has it.
+_INVERSE_SQL = f"""CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_fraction_sql("(0.180625 - (p - 0.5) * (p - 0.5))", normal.MIDDLE)}
+  ELSE sign(p - 0.5) * CASE WHEN sqrt(-ln(least(p, 1 - p))) <= 5 THEN {_fraction_sql("(sqrt(-ln(least(p, 1 - p))) - 1.6)", normal.TAIL)} ELSE {_fraction_sql("(sqrt(-ln(least(p, 1 - p))) - 5)", normal.FAR)} END END"""
+SM3_SQL = f"""WITH b AS (SELECT c_custkey AS base, greatest(c_acctbal, 0)::DOUBLE AS pay, unnest(range(1, 4)) AS turn FROM customer),
+u AS (SELECT base, turn, pay, unnest([0, 1]) AS k, unnest([{_UNIFORM.format(11)}, {_UNIFORM.format(12)}]) AS p FROM b), z AS (SELECT base, turn, pay, k, {_INVERSE_SQL} AS z FROM u),
+w AS (SELECT base, turn, pay, max(CASE WHEN k = 0 THEN abs(z) END) AS a, max(CASE WHEN k = 1 THEN z END) AS b FROM z GROUP BY ALL)
+SELECT base AS c_custkey, turn AS draw, round(pay * (1 + 0.1 * (4 / sqrt(17.0::DOUBLE) * a + sqrt(1 - 16 / 17.0::DOUBLE) * b)), 4) AS pay FROM w"""
+
+
+@query("sm3_skewed_noise", SM3_SQL)
+def sm3(spark, d):
+    """Three draws of every price with skew-normal noise, most of it upwards."""
+    rows = table(spark, d, "customer").select("c_custkey", F.greatest("c_acctbal", F.lit(0)).cast("double").alias("pay"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("draw"))
+    u = lambda seed: uniform(seed, F.col("c_custkey"), F.col("draw"))
+    noise = normal.skewed(u(11), u(12), 4.0)
+    return rows.select("c_custkey", F.col("draw").cast("long").alias("draw"), F.round(F.col("pay") * (1 + 0.1 * noise), 4).alias("pay"))
+
+
+#: Of 120 terms of a series that sums up the distribution function; sm1's limits are 2.5 deviations away on both sides.
+_SERIES_SQL = "list_reduce([{'t': z, 's': z, 'k': 0.0::DOUBLE}] || list_transform(range(1, 121), lambda k: {'t': z, 's': 0.0::DOUBLE, 'k': k::DOUBLE}), lambda a, b: {'t': a.t * b.t * b.t / (2 * b.k + 1), 's': a.s + a.t * b.t * b.t / (2 * b.k + 1), 'k': b.k}).s"
+SM1_SQL = SEASON_SQL.join(["WITH ", f""", c AS (SELECT 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * {_SERIES_SQL} AS below FROM (SELECT -2.5::DOUBLE AS z)),
+b AS (SELECT player || ':' || yr AS base, pts / 10000 AS mean, unnest(range(0, 10)) AS turn FROM season),
+u AS (SELECT base, turn, mean, below + {_UNIFORM.format(1)} * (1 - 2 * below) AS p FROM b, c)
+SELECT base AS player, CAST(turn AS INT) AS draw, round(least(greatest(mean + mean / 5 * {_INVERSE_SQL}, mean / 2), mean * 1.5), 6) AS points FROM u"""])
+SQL["sm1_truncated_normal_draws"] = SM1_SQL

@@ -239,3 +239,24 @@ def test_curves_by_group(spark):
     by_x = {a.x: a.curve for a in got if a.g == 8}
     assert by_x[50.0] == pytest.approx(2.0 + 49.0 * 1.5) and {a.curve for a in got if a.g == 7} == {2.0}
     assert splines.curves(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_normal_expressions(spark):
+    from statistics import NormalDist
+
+    from tallyforge.functions import normal
+
+    n = NormalDist()
+    ps = [1e-300, 1e-40, 1e-12, 1e-5, 0.01, 0.074, 0.076, 0.3, 0.5, 0.7, 0.93, 0.99, 1 - 1e-9, 0.0, 1.0, None]
+    for r in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal.inverse(F.col("p")).alias("z")).collect():
+        assert r.z is None if r.p in (0.0, 1.0, None) else r.z == pytest.approx(n.inv_cdf(r.p), abs=1e-12)
+    zs = [-9.0, -7.4, -3.0, -0.5, 0.0, 1.0, 2.5, 6.0, 8.0]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal.distribution(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(n.cdf(r.z), abs=1e-14)
+    rows = [(u, m, s, a, b) for u in (0.001, 0.4, 0.999) for m, s, a, b in ((5.0, 1.0, 4.0, 8.0), (0.0, 2.0, 1.0, 1.5), (3.0, 0.0, 4.0, 8.0))]
+    df = spark.createDataFrame(rows, "u double, mean double, sd double, low double, high double")
+    c = [F.col(x) for x in ("mean", "sd", "low", "high")]
+    for r in df.withColumn("x", normal.truncated(F.col("u"), normal.shares(*c), *c)).collect():
+        pa, pb = (n.cdf((r.low - r.mean) / r.sd), n.cdf((r.high - r.mean) / r.sd)) if r.sd else (0, 0)
+        want = r.mean + r.sd * n.inv_cdf(pa + r.u * (pb - pa)) if r.sd else r.mean
+        assert r.x == pytest.approx(min(max(want, r.low), r.high), abs=1e-9)
