@@ -9,7 +9,8 @@
    next round does the same among the classes outside their bucket's largest component.
 4. What is still open is searched completely: in each bucket every class outside the largest component meets every other
    class. Those classes are put into blocks by their most central hub; the other side is sent to a block once, however many buckets they
-   share, and streams past it. So rows grow with the classes and comparisons with (classes left over) * (bucket).
+   share, and streams past it. So, up to a block's size, rows grow with the
+   classes; a bucket of n unlinked classes beyond it makes n * (n / BLOCK) rows. Comparisons are (classes left over) * (bucket).
 
 Wherever two classes meet, signature batches are compared in turn and the pair is pruned as soon as the posterior chance
 that its similarity reaches the threshold falls below MISS. Survivors of different components are verified on full sets
