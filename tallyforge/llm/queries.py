@@ -219,12 +219,13 @@ WITH RECURSIVE crc AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
 """.replace("{CRC}", _CRC.format("CAST(doc_id AS VARCHAR)"))
 
-#: What the pages of the tables mark as their article: the text that the field, which isn't told, should find.
+#: What the pages of the tables mark as their article: the text that the field, which isn't told, should find. These references
+#: also count without their semicolon, as HTML has it.
 OP12_SQL = r"""
 WITH bare AS (
   SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages
 ), plain AS (
-  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM bare
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM bare
 )
 SELECT page_id, url, text, length(text) AS n_chars FROM plain
 """
