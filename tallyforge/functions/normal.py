@@ -67,8 +67,8 @@ def distribution(z: Column) -> Column:
 
 
 def shares(mean: Column, sd: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """How much of a normal distribution lies below low and below high."""
-    return distribution((low - mean) / sd), distribution((high - mean) / sd)
+    """How much of a normal distribution lies below low and below high; null without a deviation."""
+    return distribution(F.try_divide(low - mean, sd)), distribution(F.try_divide(high - mean, sd))
 
 
 def truncated(u: Column, below: tuple[Column, Column], mean: Column, sd: Column, low: Column, high: Column) -> Column:
