@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import row_mean
 from tallyforge.functions.ship import ship
+from tallyforge.operators.stats import quantiles_by
 from tallyforge.operators.windows import ranked
 from tallyforge.sources.shared import shared_root
 
@@ -88,7 +89,8 @@ def spread_curves(df: DataFrame, predicted: str, actual: str, bins: list[int]) -
     total = rows.groupBy("tf_one").agg(F.count("*").alias("tf_all"))
     rows = ranked(rows, ["tf_one"], "p", False, [F.col("a")], "tf_rank").join(F.broadcast(total), "tf_one")
     rows = rows.withColumn("bins", F.explode(F.array(*map(F.lit, bins)))).withColumn("bin", F.floor((F.col("tf_rank") - 1) / F.ceil(F.col("tf_all") / F.col("bins"))).cast("int"))
-    cells = rows.groupBy("bins", "bin").agg(F.avg("p").alias("x"), F.stddev_samp("a").alias("sd"), F.percentile("a", F.lit(0.99)).alias("p99"), F.percentile("a", F.lit(0.01)).alias("p1")).dropna()
+    ends = quantiles_by(rows, ["bins", "bin"], "a", {"p99": 0.99, "p1": 0.01})
+    cells = rows.groupBy("bins", "bin").agg(F.avg("p").alias("x"), F.stddev_samp("a").alias("sd")).join(ends, ["bins", "bin"]).dropna()
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("bin", kind="stable")
@@ -130,14 +132,13 @@ def stack(df: DataFrame, features: list[str], label: str, fold: str, models: dic
 
 def scaled(df: DataFrame, col: str) -> DataFrame:
     """df with standard, unit and robust: less mean over deviation, place between least and greatest, less median over the
-    range of the middle half. The quantiles come from the counts of distinct values; a constant column gives null."""
+    range of the middle half. A constant column gives null; so does a table without values."""
     c = F.col(col)
     one = df.agg(F.avg(c).alias("tf_m"), F.stddev_pop(c).alias("tf_sd"), F.min(c).alias("tf_lo"), F.max(c).alias("tf_hi"))
-    counts = df.groupBy(c.alias("tf_v")).agg(F.count("*").alias("tf_n"))
-    middle = counts.agg(*(F.percentile("tf_v", F.lit(q), F.col("tf_n")).alias(f"tf_q{k}") for k, q in enumerate((0.25, 0.5, 0.75))))
-    out = df.join(F.broadcast(one)).join(F.broadcast(middle))  # one row each
+    middle = quantiles_by(df.select(F.lit(1).alias("tf_one"), c.alias("tf_v")), ["tf_one"], "tf_v", {f"tf_q{k}": q for k, q in enumerate((0.25, 0.5, 0.75))})
+    out = df.join(F.broadcast(one)).join(F.broadcast(middle), how="left")  # one row each
     out = out.withColumns({"standard": F.try_divide(c - F.col("tf_m"), F.col("tf_sd")), "unit": F.try_divide(c - F.col("tf_lo"), F.col("tf_hi") - F.col("tf_lo")), "robust": F.try_divide(c - F.col("tf_q1"), F.col("tf_q2") - F.col("tf_q0"))})
-    return out.drop("tf_m", "tf_sd", "tf_lo", "tf_hi", "tf_q0", "tf_q1", "tf_q2")
+    return out.drop("tf_m", "tf_sd", "tf_lo", "tf_hi", "tf_q0", "tf_q1", "tf_q2", "tf_one")
 
 
 def moments(x: str, y: str) -> list:

@@ -131,5 +131,5 @@ def quantiles_by(df: DataFrame, keys: list[str], col: str, quantiles: dict[str,
     want = {name: q * (F.col("tf_all") - 1) for name, q in quantiles.items()}
     at = lambda place: F.max(F.when(F.col("tf_rank") - 1 == place, F.col("tf_x")))
     ends = [c for name, w in want.items() for c in (at(F.floor(w)).alias(f"tf_a_{name}"), at(F.ceil(w)).alias(f"tf_b_{name}"), F.max(w - F.floor(w)).alias(f"tf_f_{name}"))]
-    value = lambda name: F.col(f"tf_a_{name}") + (F.col(f"tf_b_{name}") - F.col(f"tf_a_{name}")) * F.col(f"tf_f_{name}")
+    value = lambda name: F.when(F.col(f"tf_a_{name}") == F.col(f"tf_b_{name}"), F.col(f"tf_a_{name}")).otherwise(F.col(f"tf_a_{name}") * (1 - F.col(f"tf_f_{name}")) + F.col(f"tf_b_{name}") * F.col(f"tf_f_{name}"))
     return places.groupBy(*keys).agg(*ends).select(*keys, *(value(name).alias(name) for name in quantiles))

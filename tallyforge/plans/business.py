@@ -268,7 +268,9 @@ def bz40(spark, d):
 
 @query("bz42_score_weighted", S + ", m AS (SELECT pos AS model, yr, avg(pts) AS pred, median(pts) AS score FROM season GROUP BY ALL), w AS (SELECT *, score - min(score) OVER (PARTITION BY yr) + 1 AS s FROM m), k AS (SELECT *, max(s) OVER (PARTITION BY yr) AS best FROM w) SELECT yr, round(sum(pred * s) / sum(s), 3) AS pred, CAST(count(*) AS BIGINT) AS models FROM k WHERE s >= 0.3 * best GROUP BY yr")
 def bz42(spark, d):
-    m = season(spark, d).groupBy("pos", "yr").agg(F.avg("pts").alias("pred"), F.median("pts").alias("score"))
+    df = season(spark, d)
+    score = stats.quantiles_by(df, ["pos", "yr"], "pts", {"score": 0.5})
+    m = df.groupBy("pos", "yr").agg(F.avg("pts").alias("pred")).join(score, ["pos", "yr"])
     w = Window.partitionBy("yr")
     k = m.withColumn("s", F.col("score") - F.min("score").over(w) + 1).withColumn("best", F.max("s").over(w)).where("s >= 0.3 * best")
     return k.groupBy("yr").agg(F.round(F.sum(F.col("pred") * F.col("s")) / F.sum("s"), 3).alias("pred"), F.count("*").alias("models"))
@@ -277,7 +279,7 @@ def bz42(spark, d):
 @query("bz43_interval_miss_rate", S + ", q AS (SELECT team, quantile_cont(pts, 0.2) AS lo, quantile_cont(pts, 0.8) AS hi FROM season WHERE yr < 2000 GROUP BY team) SELECT s.team, round(avg((pts < lo)::INT), 6) AS below, round(avg((pts > hi)::INT), 6) AS above FROM season s JOIN q ON s.team = q.team WHERE yr >= 2000 GROUP BY s.team")
 def bz43(spark, d):
     df = season(spark, d)
-    q = df.where("yr < 2000").groupBy("team").agg(F.percentile("pts", F.lit(0.2)).alias("lo"), F.percentile("pts", F.lit(0.8)).alias("hi"))
+    q = stats.quantiles_by(df.where("yr < 2000"), ["team"], "pts", {"lo": 0.2, "hi": 0.8})
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
     return df.where("yr >= 2000").join(q, "team").groupBy("team").agg(rate(F.col("pts") < F.col("lo")).alias("below"), rate(F.col("pts") > F.col("hi")).alias("above"))
 
@@ -292,7 +294,7 @@ def bz44(spark, d):
 @query("bz46_curve_slice", S + ", m AS (SELECT pos, median(pts) AS v FROM season WHERE yr = 2001 GROUP BY pos) SELECT team, pos, coalesce(max(CASE WHEN yr = 2001 THEN pts END), (SELECT min(v) FROM m)) AS value FROM season GROUP BY team, pos")
 def bz46(spark, d):
     df = season(spark, d)
-    least = df.where("yr = 2001").groupBy("pos").agg(F.median("pts").alias("v")).agg(F.min("v").alias("least"))  # one row
+    least = stats.quantiles_by(df.where("yr = 2001"), ["pos"], "pts", {"v": 0.5}).agg(F.min("v").alias("least"))  # one row
     best = df.groupBy("team", "pos").agg(F.max(F.when(F.col("yr") == 2001, F.col("pts"))).alias("best"))
     return best.join(F.broadcast(least)).select("team", "pos", F.coalesce("best", "least").alias("value"))
 

@@ -280,8 +280,9 @@ def ag11(spark, d):
 @query("ag12_bin_summary", S + ", b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY yr ORDER BY pts, player) - 1) / ceil(count(*) OVER (PARTITION BY yr) / 10)) AS INT) AS bin FROM season) SELECT yr, bin, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(CAST(round(pts * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)), 3) AS mean, round(stddev_samp(pts), 3) AS sd, round(quantile_cont(pts, 0.99), 3) AS p99, round(quantile_cont(pts, 0.01), 3) AS p1 FROM b GROUP BY yr, bin")
 def ag12(spark, d):
     b = win.equal_buckets(season(spark, d), ["yr"], "pts", False, [F.col("player")], 10, "bin")
-    p = lambda q: F.round(F.percentile("pts", F.lit(q)), 3)
-    return b.groupBy("yr", "bin").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("pts") * 100).cast("long")).cast("double") / (100 * F.count("*")), 3).alias("mean"), F.round(F.stddev_samp("pts"), 3).alias("sd"), p(0.99).alias("p99"), p(0.01).alias("p1"))
+    cells = b.groupBy("yr", "bin").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("pts") * 100).cast("long")).cast("double") / (100 * F.count("*")), 3).alias("mean"), F.round(F.stddev_samp("pts"), 3).alias("sd"))
+    ends = stats.quantiles_by(b, ["yr", "bin"], "pts", {"p99": 0.99, "p1": 0.01})
+    return cells.join(ends, ["yr", "bin"]).withColumns({c: F.round(c, 3) for c in ("p99", "p1")})
 
 
 @query("ag13_mean_cv", Q + ", x AS (SELECT (s1 + s2 + s3) / 3 AS m, sqrt((pow(s1 - (s1 + s2 + s3) / 3, 2) + pow(s2 - (s1 + s2 + s3) / 3, 2) + pow(s3 - (s1 + s2 + s3) / 3, 2)) / 2) AS sd FROM sources) SELECT round(avg(CASE WHEN sd <> 0 THEN sd / m END), 6) AS cv FROM x")

@@ -117,7 +117,7 @@ SELECT l_orderkey, l_linenumber, round((q - m) / sd, 6) AS standard, round((q -
 
 @query("ml6_scalers", ML6_SQL)
 def ml6(spark, d):
-    """All three scalers from one row of statistics; the robust one's quantiles come from counts of distinct values."""
+    """All three scalers from one row of statistics."""
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
     return models.scaled(x, "q").select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(c) for c in ("standard", "unit", "robust")))
 
