@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normal
-from tallyforge.operators import gram, neighbours, splines
+from tallyforge.operators import agglomerate, attributions, gram, neighbours, splines
 from tallyforge.operators.simulate import uniform
 from tallyforge.plans.registry import SQL, query, table
 from tallyforge.plans.season import SEASON_SQL, season
@@ -248,3 +250,62 @@ b AS (SELECT player || ':' || yr AS base, pts / 10000 AS mean, unnest(range(0, 1
 u AS (SELECT base, turn, mean, below + {_UNIFORM.format(1)} * (1 - 2 * below) AS p FROM b, c)
 SELECT base AS player, CAST(turn AS INT) AS draw, round(least(greatest(mean + mean / 5 * {_INVERSE_SQL}, mean / 2), mean * 1.5), 6) AS points FROM u"""])
 SQL["sm1_truncated_normal_draws"] = SM1_SQL
+
+
+#: What the measures of a line say alike is pooled: price, price less discount, price with tax, quantity, price of one, discount, tax.
+LINE = {"price": "l_extendedprice", "paid": "l_extendedprice * (1 - l_discount)", "taxed": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "quantity": "l_quantity", "each": "l_extendedprice / l_quantity", "discount": "l_discount", "tax": "l_tax"}
+_PAIRS = [(a, b) for a in range(1, len(LINE) + 1) for b in range(1, len(LINE) + 1)]
+_N = len(LINE)
+ML7_GROUPS_SQL = f"""WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, l_returnflag, {", ".join(f"{e} AS {c}" for c, e in LINE.items())} FROM lineitem),
+d AS (SELECT l_returnflag, [{", ".join(f"1 - corr({list(LINE)[a - 1]}, {list(LINE)[b - 1]})" for a, b in _PAIRS)}] AS d, [{", ".join(f"avg({c})" for c in LINE)}] AS m, [{", ".join(f"stddev_pop({c})" for c in LINE)}] AS sd FROM x GROUP BY l_returnflag),
+w AS (SELECT l_returnflag, d, [{", ".join(f"[{k}]" for k in range(1, _N + 1))}] AS c, {_N} AS n FROM d UNION ALL
+  SELECT l_returnflag, d, list_sort(list_filter(list_transform(range(1, n + 1), lambda k: CASE WHEN k = best.i THEN list_sort(list_concat(c[best.i], c[best.j])) WHEN k = best.j THEN CAST(NULL AS INTEGER[]) ELSE c[k] END), lambda z: z IS NOT NULL)) AS c, n - 1 AS n FROM (
+    SELECT *, list_min(list_transform(list_filter(flatten(list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: {{'i': i, 'j': j}}))), lambda p: p.i < p.j), lambda p:
+      {{'h': list_avg(flatten(list_transform(c[p.i], lambda a: list_transform(c[p.j], lambda b: d[(a - 1) * {_N} + b])))), 'i': p.i, 'j': p.j}})) AS best FROM w WHERE n > 3))
+SELECT l_orderkey, l_linenumber, round(v[1], 5) AS first, round(v[2], 5) AS second, round(v[3], 5) AS third FROM (
+  SELECT l_orderkey, l_linenumber, list_transform(w.c, lambda z: list_avg(list_transform(z, lambda k: ([{", ".join(f"x.{c}" for c in LINE)}][k] - d.m[k]) / d.sd[k]))) AS v FROM x JOIN w ON x.l_returnflag = w.l_returnflag AND w.n = 3 JOIN d ON x.l_returnflag = d.l_returnflag)"""
+
+
+@query("ml7_feature_groups", ML7_GROUPS_SQL)
+def ml7_groups(spark, d):
+    """Seven measures of a line pooled to three by agglomeration over their correlations, for each return flag."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *(F.expr(e).alias(c) for c, e in LINE.items()))
+    found = agglomerate.clustered(x, list(LINE), ["l_returnflag"], clusters=3)
+    out = agglomerate.pooled(x, found, list(LINE), ["l_returnflag"], "parts")
+    return out.select("l_orderkey", "l_linenumber", *(F.round(F.get("parts", F.lit(k)), 5).alias(n) for k, n in enumerate(("first", "second", "third"))))
+
+
+ML20_SQL = ML1_RIDGE_SQL[: ML1_RIDGE_SQL.index(_SHOWN)] + """SELECT x.player, x.yr, round(w.my, 5) AS base, round(p * (x.a - w.ma), 5) AS games, round(q * (x.b - w.mb), 5) AS years, round(r * (x.c - w.mc), 5) AS team FROM x JOIN s AS w ON x.pos = w.pos"""
+
+
+@query("ml20_linear_parts", ML20_SQL)
+def ml20_linear(spark, d):
+    """What each feature adds to what a ridge model of the position says, from the position's mean on."""
+    x = _three(spark, d)
+    m = gram.sums(x, FEATURES, "y", ["pos"])
+    out = attributions.linear(x, gram.fitted(m, 0.3, 0.0), attributions.group_means(m, 3), FEATURES, ["pos"], "part")
+    return out.select("player", "yr", F.round("part_base", 5).alias("base"), *(F.round(F.col("part")[k], 5).alias(n) for k, n in enumerate(("games", "years", "team"))))
+
+
+ML20_SIGN_SQL = ML1_RIDGE_SQL[: ML1_RIDGE_SQL.index(_SHOWN)] + """, u AS (SELECT player, yr, pos, unnest([1, 2, 3]) AS k, unnest([a, b, c]) AS v FROM x),
+b AS (SELECT * FROM (SELECT pos, unnest([1, 2, 3]) AS k, unnest([p, q, r]) AS b FROM s) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY abs(b) DESC, k) <= 2),
+t AS (SELECT player, yr, u.pos, u.k, b, CASE WHEN b < 0 THEN ln(max(v) OVER (PARTITION BY u.pos, u.k) - v + 1) ELSE v END AS v FROM u JOIN b ON u.pos = b.pos AND u.k = b.k)
+SELECT player, yr, round(avg(z), 5) AS score FROM (SELECT player, yr, abs(b) * (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM t WINDOW w AS (PARTITION BY pos, k)) GROUP BY player, yr"""
+
+
+@query("ml20_signed_score", ML20_SIGN_SQL)
+def ml20_signed(spark, d):
+    """The two features that count most, turned to rise with the prediction, standardised and weighted."""
+    x = _three(spark, d)
+    models = gram.fitted(gram.sums(x, FEATURES, "y", ["pos"]), 0.3, 0.0)
+    out = attributions.signed_score(x, models, FEATURES, ["pos"], 2, "score")
+    return out.select("player", "yr", F.round("score", 5).alias("score"))
+
+
+@query("ml20_tree_parts")
+def ml20_trees(spark, d):
+    """Shapley values of three features in a forest, with what the forest says."""
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="tf_f").transform(_three(spark, d))
+    model = RandomForestRegressor(featuresCol="tf_f", labelCol="y", predictionCol="said", numTrees=8, maxDepth=5, seed=1).fit(rows)
+    out = attributions.trees(model.transform(rows).drop("tf_f"), model, FEATURES, "part")
+    return out.select("player", "yr", F.round("said", 5).alias("said"), F.round("part_base", 5).alias("base"), *(F.round(F.col("part")[k], 5).alias(n) for k, n in enumerate(("games", "years", "team"))))
