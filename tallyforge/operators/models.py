@@ -37,36 +37,6 @@ def fill_chain(df: DataFrame, order: list[str], first: list[str]) -> DataFrame:
     return df
 
 
-def quantile_lines(df: DataFrame, group: str, x: str, y: str, q: float, steps: int = 400, bins: int = 64, points: int = 100) -> DataFrame:
-    """Slope and intercept of the q-quantile line of each group. Each group is first summed up into bins of x, and a bin into
-    `points` evenly spaced quantiles of y that share its weight, so that what one task fits is bounded and stands for the
-    rows to within 1 / points of a bin; then the pinball loss is made least by subgradient steps."""
-    edges = df.groupBy(group).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    cell = F.floor((F.col(x) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)) * bins)
-    spread = F.percentile(y, F.array(*(F.lit((k + 0.5) / points) for k in range(points))))
-    cells = df.join(edges, group).groupBy(group, cell.alias("cell")).agg(F.avg(x).alias("x"), spread.alias("y"), F.count("*").alias("w"))
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("cell", kind="stable")
-        ys = np.concatenate([np.asarray(v, float) for v in t["y"]])
-        xs, w = np.repeat(t["x"].to_numpy(float), points), np.repeat(t["w"].to_numpy(float) / t["w"].sum() / points, points)
-        mx, sx, sy = (w * xs).sum(), max(xs.std(), 1e-9), max(ys.std(), 1e-9)
-        z, ys = (xs - mx) / sx, ys / sy
-        a, b, best = float(np.quantile(ys, q)), 0.0, (np.inf, 0.0, 0.0)
-        for k in range(1, steps + 1):
-            gap = ys - a - b * z
-            loss = (w * np.maximum(q * gap, (q - 1) * gap)).sum()
-            best = min(best, (loss, a, b))
-            g = np.where(gap > 0, -q, 1 - q) * w
-            a, b = a - g.sum() / k**0.5, b - (g * z).sum() / k**0.5
-        _, a, b = best
-        slope = b * sy / sx
-        return pd.DataFrame({group: [t[group].iloc[0]], "slope": [slope], "intercept": [a * sy - slope * mx]})
-
-    ship(df.sparkSession)
-    return cells.groupBy(group).applyInPandas(fit, f"{group} {df.schema[group].dataType.simpleString()}, slope double, intercept double")
-
-
 def monotone(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The rising sequence of least weighted squared distance to y, by pooling neighbours."""
     blocks: list[list[float]] = []  # mean, weight, length

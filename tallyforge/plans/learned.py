@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normal
+from tallyforge.functions.gamma import TRIES, gamma
 from tallyforge.operators import agglomerate, attributions, gram, neighbours, splines
 from tallyforge.operators.simulate import uniform
 from tallyforge.plans.registry import SQL, query, table
@@ -309,3 +310,29 @@ def ml20_trees(spark, d):
     model = RandomForestRegressor(featuresCol="tf_f", labelCol="y", predictionCol="said", numTrees=8, maxDepth=5, seed=1).fit(rows)
     out = attributions.trees(model.transform(rows).drop("tf_f"), model, FEATURES, "part")
     return out.select("player", "yr", F.round("said", 5).alias("said"), F.round("part_base", 5).alias("base"), *(F.round(F.col("part")[k], 5).alias(n) for k, n in enumerate(("games", "years", "team"))))
+
+
+ML17_SQL = SEASON_SQL.join(["WITH ", f""", s AS (SELECT player, count(*) AS n, avg(pts / 1e5) AS mean, var_pop(pts / 1e5) AS v FROM season GROUP BY player),
+m AS (SELECT player, 2 + n AS k_n, (10 + n * mean) / (2 + n) AS m_n, 2 + n / 2.0::DOUBLE AS a_n, 2 + 0.5 * n * v + n * pow(mean - 5, 2) / (2 + n) AS b_n FROM s),
+t AS (SELECT player, draw, unnest(range(1, {TRIES + 1})) AS turn, a_n - 1 / 3.0::DOUBLE AS d, player || ':' || draw AS base FROM (SELECT *, unnest(range(1, 6)) AS draw FROM m)),
+u AS (SELECT player, draw, turn, d, {_UNIFORM.format(22)} AS v, {_UNIFORM.format(21)} AS p FROM t),
+z AS (SELECT player, draw, turn, d, v, {_INVERSE_SQL} AS z FROM u), c AS (SELECT *, pow(1 + z / sqrt(9 * d), 3) AS c FROM z),
+g AS (SELECT player, draw, d * c AS g FROM c WHERE c > 0 AND ln(v) < z * z / 2 + d - d * c + d * ln(greatest(c, 1e-300)) QUALIFY row_number() OVER (PARTITION BY player, draw ORDER BY turn) = 1),
+w AS (SELECT m.*, draw, sqrt(b_n / g) AS sigma, CAST(m.player AS VARCHAR) AS base, draw AS turn FROM m JOIN g ON m.player = g.player),
+a AS (SELECT *, {_UNIFORM.format(23)} AS p FROM w), b AS (SELECT * EXCLUDE (p), {_INVERSE_SQL} AS first FROM a), e AS (SELECT *, {_UNIFORM.format(24)} AS p FROM b), f AS (SELECT *, {_INVERSE_SQL} AS second FROM e)
+SELECT player, CAST(draw AS INT) AS draw, round(sigma, 5) AS sigma, round(m_n + sigma / sqrt(k_n) * first, 5) AS mean, round(m_n + sigma / sqrt(k_n) * first + sigma * second, 5) AS points FROM f"""])
+
+
+@query("ml17_posterior_draws", ML17_SQL)
+def ml17_draws(spark, d):
+    """Five draws of each player's deviation, mean and next season from the normal-gamma posterior of their seasons; the prior has
+    two seasons of mean 5, and shape and rate 2."""
+    s = season(spark, d).groupBy("player").agg(F.count("*").alias("n"), F.avg(F.col("pts") / 1e5).alias("mean"), F.var_pop(F.col("pts") / 1e5).alias("v"))
+    n = F.col("n")
+    m = s.select("player", (2 + n).alias("k_n"), ((10 + n * F.col("mean")) / (2 + n)).alias("m_n"), (2 + n / 2.0).alias("a_n"), (2 + 0.5 * n * F.col("v") + n * F.pow(F.col("mean") - 5, F.lit(2.0)) / (2 + n)).alias("b_n"))
+    rows = m.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    key = (F.col("player"), F.col("draw"))
+    precision = gamma(F.col("a_n"), lambda k: (uniform(21, *key, k), uniform(22, *key, k)))
+    rows = rows.withColumn("sigma", F.sqrt(F.col("b_n") / precision))
+    mean = F.col("m_n") + F.col("sigma") / F.sqrt("k_n") * normal.inverse(uniform(23, *key))
+    return rows.select("player", "draw", F.round("sigma", 5).alias("sigma"), F.round(mean, 5).alias("mean"), F.round(mean + F.col("sigma") * normal.inverse(uniform(24, *key)), 5).alias("points"))

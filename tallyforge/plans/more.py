@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import row_mean, weighted_sum
-from tallyforge.operators import models, simulate
+from tallyforge.operators import models, quantile_regression, simulate
 from tallyforge.operators import relational as rel
 from tallyforge.operators import windows as win
 from tallyforge.plans.registry import query, table
@@ -310,7 +310,9 @@ def ml1_huber(spark, d):
 
 @query("ml5_quantile_lines")
 def ml5(spark, d):
-    return models.quantile_lines(season(spark, d).withColumn("games", F.col("games").cast("double")), "pos", "games", "pts", 0.8)
+    """The line of each position that leaves 0.8 of its seasons below, fitted to all rows."""
+    lines = quantile_regression.fit(season(spark, d), ["games"], "pts", ["pos"], 0.8)
+    return lines.select("pos", F.round(F.col("tf_b")[0], 2).alias("slope"), F.round("tf_a", 2).alias("intercept"))
 
 
 @query("ml7_scaled_components")
