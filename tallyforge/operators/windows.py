@@ -37,7 +37,13 @@ def number(df: DataFrame, keys: list[str], order: list, name: str, start: int =
 
 def share(df: DataFrame, keys: list[str], col: str, epsilon: float, name: str) -> DataFrame:
     """The row's part of its group's sum."""
-    return df.withColumn(name, F.col(col) / (F.sum(col).over(Window.partitionBy(*keys)) + epsilon))
+    return with_totals(df, keys, {"tf_sum": F.sum(col)}).withColumn(name, F.col(col) / (F.col("tf_sum") + epsilon)).drop("tf_sum")
+
+
+def with_totals(df: DataFrame, keys: list[str], totals: dict) -> DataFrame:
+    """df with aggregates of each row's group by name. Groups are summed up before they are shuffled and joined back, so that no task holds
+    one, as a window without an order would; null keys are a group."""
+    return _by_keys(df, df.groupBy(*keys).agg(*(t.alias(name) for name, t in totals.items())), keys)
 
 
 def over_replacement(df: DataFrame, keys: list[str], kind: str, points: str, ranks: dict[str, int], order: list, name: str) -> DataFrame:

@@ -202,8 +202,8 @@ def bz22(spark, d):
 
 @query("bz23_dominator", S + ", x AS (SELECT player, yr, pts / sum(pts) OVER w AS a, games / sum(games) OVER w AS b FROM season WINDOW w AS (PARTITION BY team, yr)) SELECT player, round(avg((a + b) / 2), 8) AS dominator, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY player")
 def bz23(spark, d):
-    w = Window.partitionBy("team", "yr")
-    x = season(spark, d).select("player", (F.col("pts") / F.sum("pts").over(w)).alias("a"), (F.col("games") / F.sum("games").over(w)).alias("b"))
+    df = win.with_totals(season(spark, d), ["team", "yr"], {"all_pts": F.sum("pts"), "all_games": F.sum("games")})
+    x = df.select("player", (F.col("pts") / F.col("all_pts")).alias("a"), (F.col("games") / F.col("all_games")).alias("b"))
     return x.groupBy("player").agg(F.round(F.avg((F.col("a") + F.col("b")) / 2), 8).alias("dominator"), F.count("*").alias("n"))
 
 
@@ -286,9 +286,10 @@ def bz43(spark, d):
 
 @query("bz44_z_composite", S + "SELECT player, yr, round(((pts - avg(pts) OVER w) / stddev_pop(pts) OVER w * 2 + (games - avg(games) OVER w) / stddev_pop(games) OVER w) / 2, 6) AS z FROM season WINDOW w AS (PARTITION BY team, yr)")
 def bz44(spark, d):
-    w = Window.partitionBy("team", "yr")
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w))
-    return season(spark, d).select("player", "yr", F.round((z("pts") * 2 + z("games")) / 2, 6).alias("z"))
+    cols = ("pts", "games")
+    df = win.with_totals(season(spark, d), ["team", "yr"], {f"m_{c}": F.avg(c) for c in cols} | {f"sd_{c}": F.stddev_pop(c) for c in cols})
+    z = lambda c: F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"sd_{c}"))
+    return df.select("player", "yr", F.round((z("pts") * 2 + z("games")) / 2, 6).alias("z"))
 
 
 @query("bz46_curve_slice", S + ", m AS (SELECT pos, median(pts) AS v FROM season WHERE yr = 2001 GROUP BY pos) SELECT team, pos, coalesce(max(CASE WHEN yr = 2001 THEN pts END), (SELECT min(v) FROM m)) AS value FROM season GROUP BY team, pos")

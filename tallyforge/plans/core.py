@@ -174,8 +174,8 @@ def jn3(spark, d):
 
 @query("jn5_self_aggregate", S + "SELECT player, yr, pts, round(sum(pts) OVER (PARTITION BY team, yr), 2) AS team_pts, max(games) OVER (PARTITION BY team, yr) AS team_games FROM season")
 def jn5(spark, d):
-    w = Window.partitionBy("team", "yr")
-    return season(spark, d).select("player", "yr", "pts", F.round(F.sum("pts").over(w), 2).alias("team_pts"), F.max("games").over(w).alias("team_games"))
+    df = win.with_totals(season(spark, d), ["team", "yr"], {"team_pts": F.sum("pts"), "team_games": F.max("games")})
+    return df.select("player", "yr", "pts", F.round("team_pts", 2).alias("team_pts"), "team_games")
 
 
 JN6 = """SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, round(avg(s_acctbal), 4) AS bal FROM supplier
@@ -305,8 +305,8 @@ def ag15(spark, d):
 
 @query("ag16_nth_row", S + ", x AS (SELECT *, row_number() OVER (PARTITION BY team, yr ORDER BY pts DESC, player) AS rn, count(*) OVER (PARTITION BY team, yr) AS n FROM season) SELECT team, yr, max(CASE WHEN rn = least(5, n) THEN pts END) AS fifth FROM x GROUP BY team, yr")
 def ag16(spark, d):
-    df = win.number(season(spark, d), ["team", "yr"], best(), "rn").withColumn("n", F.count("*").over(Window.partitionBy("team", "yr")))
-    return df.groupBy("team", "yr").agg(F.max(F.when(F.col("rn") == F.least(F.lit(5), F.col("n")), F.col("pts"))).alias("fifth"))
+    df = win.number(season(spark, d), ["team", "yr"], best(), "rn").where("rn <= 5")  # cut before the shuffle
+    return df.groupBy("team", "yr").agg(F.max_by("pts", "rn").alias("fifth"))
 
 
 @query("ag17_distinct_counts", "SELECT CAST(count(DISTINCT l_suppkey) AS BIGINT) AS l_suppkey, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS l_returnflag, CAST(count(DISTINCT l_quantity) AS BIGINT) AS l_quantity FROM lineitem")
@@ -440,8 +440,9 @@ def wn13(spark, d):
 
 @query("wn14_team_difference", S + "SELECT player, yr, round(pts - avg(pts) OVER w, 7) AS to_mean, round(pts - min(pts) OVER w, 2) AS to_min, round(pts / sum(pts) OVER w, 8) AS part FROM season WINDOW w AS (PARTITION BY team, yr)")
 def wn14(spark, d):
-    w, c = Window.partitionBy("team", "yr"), F.col("pts")
-    return season(spark, d).select("player", "yr", F.round(c - F.avg("pts").over(w), 7).alias("to_mean"), F.round(c - F.min("pts").over(w), 2).alias("to_min"), F.round(c / F.sum("pts").over(w), 8).alias("part"))
+    c = F.col("pts")
+    df = win.with_totals(season(spark, d), ["team", "yr"], {"m": F.avg("pts"), "least": F.min("pts"), "s": F.sum("pts")})
+    return df.select("player", "yr", F.round(c - F.col("m"), 7).alias("to_mean"), F.round(c - F.col("least"), 2).alias("to_min"), F.round(c / F.col("s"), 8).alias("part"))
 
 
 @query("wn15_equal_buckets", S + "SELECT player, yr, CAST(floor((row_number() OVER (PARTITION BY yr ORDER BY pts DESC, player) - 1) / ceil(count(*) OVER (PARTITION BY yr) / 6)) AS INT) AS b FROM season")

@@ -216,7 +216,8 @@ def bz24(spark, d):
 @query("bz28_position_weights", S + ", d AS (SELECT *, row_number() OVER (PARTITION BY yr, pos ORDER BY pts DESC, player) AS rn FROM season), a AS (SELECT pos, avg(pts) AS m FROM d WHERE rn <= CASE pos WHEN 'BUILDING' THEN 24 WHEN 'FURNITURE' THEN 36 ELSE 12 END GROUP BY pos) SELECT pos, round(m / sum(m) OVER (), 8) AS weight FROM a")
 def bz28(spark, d):
     need = F.when(F.col("pos") == "BUILDING", 24).when(F.col("pos") == "FURNITURE", 36).otherwise(12)
-    a = win.number(season(spark, d), ["yr", "pos"], best(), "rn").where(F.col("rn") <= need).groupBy("pos").agg(F.avg("pts").alias("m"))
+    top = win.number(season(spark, d), ["yr", "pos"], best(), "rn").where("rn <= 36")  # the greatest need, cut before the shuffle
+    a = top.where(F.col("rn") <= need).groupBy("pos").agg(F.avg("pts").alias("m"))
     return a.select("pos", F.round(F.col("m") / F.sum("m").over(Window.partitionBy()), 8).alias("weight"))  # a row per position
 
 

@@ -70,7 +70,8 @@ def ag25(spark, d):
 
 @query("wn9_count_in_group", S + "SELECT team, yr, player, CAST(row_number() OVER (PARTITION BY team, yr ORDER BY pts DESC, player) - 1 AS INT) AS place FROM season")
 def wn9(spark, d):
-    return win.number(season(spark, d), ["team", "yr"], best(), "place", start=0).select("team", "yr", "player", "place")
+    out = win.ranked(season(spark, d), ["team", "yr"], "pts", True, [F.col("player")], "place")
+    return out.select("team", "yr", "player", (F.col("place") - 1).cast("int").alias("place"))
 
 
 @query("str5_token_parts", "SELECT p_partkey, string_split(p_name, ' ')[1] AS first, array_to_string(string_split(p_name, ' ')[:-2], ' ') AS without_last, substring(p_brand, 1, 2) AS start, CAST(substring(p_brand, 7) AS INT) AS number FROM part")
