@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tallyforge.operators.simulate import uniform
 from tallyforge.plans.registry import SQL, query, table
 from tallyforge.plans.season import SEASON_SQL, season
 from tallyforge.plans.single import PICKS_SQL, pick_values
+from tallyforge.sources import model_store
+from tallyforge.sources.shared import folder
 
 #: Neighbours of a row, and the share of rows that are asked for in an exact search: ids divisible by ASKED.
 K, ASKED = 10, 20
@@ -336,3 +339,22 @@ def ml17_draws(spark, d):
     rows = rows.withColumn("sigma", F.sqrt(F.col("b_n") / precision))
     mean = F.col("m_n") + F.col("sigma") / F.sqrt("k_n") * normal.inverse(uniform(23, *key))
     return rows.select("player", "draw", F.round("sigma", 5).alias("sigma"), F.round(mean, 5).alias("mean"), F.round(mean + F.col("sigma") * normal.inverse(uniform(24, *key)), 5).alias("points"))
+
+
+_LINE_SQL = "covar_pop(y, a) / var_pop(a) AS p, avg(a) AS ma, avg(y) AS my"
+SNK6_SQL = f"""WITH {_COV}, w AS (SELECT {_LINE_SQL} FROM x), f AS (SELECT f.fold, {_LINE_SQL} FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY f.fold)
+SELECT player, yr, round(w.my + w.p * (a - w.ma), 5) AS predicted, round(f.my + f.p * (a - f.ma), 5) AS out_of_fold FROM x JOIN f ON x.fold = f.fold JOIN w ON true"""
+
+
+@query("snk6_stored_model", SNK6_SQL)
+def snk6(spark, d):
+    """A pipeline of least squares and its out-of-fold rows are saved under a key, loaded again and applied to all rows."""
+    x = _three(spark, d).select("player", "yr", "fold", "a", "y")
+    line = LinearRegression(featuresCol="tf_f", labelCol="y", predictionCol="predicted", solver="normal")
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="tf_f"), line])
+    with folder(spark) as path:
+        oof = model_store.out_of_fold(x, pipeline, "fold", 5, "predicted", "out_of_fold")
+        model_store.save(path, "games", pipeline.fit(x), oof.select("player", "yr", "out_of_fold"))
+        model, held = model_store.load(spark, path, "games")
+        out = model.transform(x).join(held, ["player", "yr"])
+        return out.select("player", "yr", F.round("predicted", 5).alias("predicted"), F.round("out_of_fold", 5).alias("out_of_fold")).checkpoint()

@@ -5,13 +5,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tallyforge.functions.gamma import gamma
 from tallyforge.operators import agglomerate, attributions, gram, quantile_regression
 from tallyforge.operators.simulate import uniform
+from tallyforge.sources import model_store
 
 
 def nearest_pairs(d, clusters=None, height=None):
@@ -186,3 +188,28 @@ def test_gamma_draws(spark, shape):
     m, v, low = spark.range(40_000).select(draw.alias("x")).agg(F.avg("x"), F.var_pop("x"), F.min("x")).first()
     assert m == pytest.approx(shape, abs=4 * math.sqrt(shape / 40_000)) and v == pytest.approx(shape, rel=0.08) and low > 0
     assert spark.range(1).select(gamma(F.lit(0.5), lambda k: (uniform(1, k), uniform(2, k)))).first()[0] is None
+
+
+def test_model_store(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    df = spark.createDataFrame([(k, k % 3 if k < 30 else None, float(k), 2.0 * k + 1 + k % 2) for k in range(32)], "id long, fold int, x double, y double")
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="v"), LinearRegression(featuresCol="v", labelCol="y", predictionCol="said")])
+    with pytest.raises(KeyError):
+        model_store.load(spark, root, "a")
+    assert model_store.keys(spark, root).count() == 0
+    oof = model_store.out_of_fold(df, pipeline, "fold", 3, "said", "oof").select("id", "fold", "oof")
+    model_store.save(root, "a", pipeline.fit(df.where("id < 5")), oof.limit(1))
+    model_store.save(root, "b", pipeline.fit(df.where("id > 9")), oof.limit(2))
+    fitted = pipeline.fit(df)
+    model_store.save(root, "a", fitted, oof)
+    (tmp_path / "store/runs/halfway/model").mkdir(parents=True)  # what a lost driver leaves is not read
+    model, held = model_store.load(spark, root, "a")
+    assert sorted(r.key for r in model_store.keys(spark, root).collect()) == ["a", "b"]
+    assert model.transform(df).select("id", "said").collect() == fitted.transform(df).select("id", "said").collect()
+    rows = {r.id: r for r in held.collect()}
+    assert set(rows) == set(range(30))
+    for k, r in rows.items():
+        x, y = zip(*((j, 2.0 * j + 1 + j % 2) for j in range(30) if j % 3 != k % 3), strict=True)
+        slope, start = np.polyfit(x, y, 1)
+        assert r.oof == pytest.approx(start + slope * k, abs=1e-6)
+    assert model_store.load(spark, root, "b")[1].count() == 2
