@@ -279,6 +279,17 @@ def ml7_groups(spark, d):
     return out.select("l_orderkey", "l_linenumber", *(F.round(F.get("parts", F.lit(k)), 5).alias(n) for k, n in enumerate(("first", "second", "third"))))
 
 
+@query("ml7_vector_groups")
+def ml7_vectors(spark, d):
+    """The places of all vectors pooled to eight by agglomeration over their correlations."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    places = [f"e{k}" for k in range(n)]
+    x = e.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(places)))
+    out = agglomerate.pooled(x, agglomerate.clustered(x, places, [], clusters=8), places, [], "parts")
+    return out.select("vec_id", *(F.round(F.get("parts", F.lit(k)), 5).alias(f"p{k + 1}") for k in range(8)))
+
+
 ML20_SQL = ML1_RIDGE_SQL[: ML1_RIDGE_SQL.index(_SHOWN)] + """SELECT x.player, x.yr, round(w.my, 5) AS base, round(p * (x.a - w.ma), 5) AS games, round(q * (x.b - w.mb), 5) AS years, round(r * (x.c - w.mc), 5) AS team FROM x JOIN s AS w ON x.pos = w.pos"""
 
 
