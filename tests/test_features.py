@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.gamma import gamma
 from tallyforge.operators import agglomerate, attributions, gram, quantile_regression
 from tallyforge.operators.simulate import uniform
+from tallyforge.plans import QUERIES
 from tallyforge.sources import model_store
 
 
@@ -72,6 +73,17 @@ def test_pooled_columns(spark):
         agglomerate.clustered(df, cols, ["g"])
 
 
+def test_vector_groups(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    x = np.array(list(rows.values()), float)
+    z = (x - x.mean(0)) / x.std(0)
+    group = np.array(nearest_pairs(1 - np.corrcoef(x.T), clusters=8))
+    want = {k: [v[group == g].mean() for g in range(8)] for k, v in zip(rows, z, strict=True)}
+    got = {r.vec_id: list(r)[1:] for r in QUERIES["ml7_vector_groups"](spark, sf).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1.1e-5) for k in want)
+
+
 def expectation(node, x, known):
     """A tree's value with the features outside `known` going both ways."""
     if node.numDescendants() == 0:
