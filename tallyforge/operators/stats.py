@@ -22,8 +22,9 @@ def consensus(df: DataFrame, sources: list[str], name: str, digits: int = 2) ->
 
 
 def slope_through_origin(df: DataFrame, x: str, y: str, name: str = "slope") -> DataFrame:
-    """One row with the slope."""
-    return df.agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias(name))
+    """One row with the slope. Whole numbers are squared and summed up as doubles, so that large ones don't overflow."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.agg(F.try_divide(F.sum(a * b), F.sum(a * a)).alias(name))
 
 
 def fill_by_slope(df: DataFrame, x: str, y: str, use, factor: float = 2.0) -> DataFrame:

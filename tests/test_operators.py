@@ -110,6 +110,11 @@ def test_clamp_order_and_slope_fill(spark):
     assert col(stats.fill_by_slope(picks, "r", "pick", F.col("pick") < 250).orderBy("r"), "pick") == [2.0, 4.0, 6.0]
 
 
+def test_slope_of_ranks_whose_squares_pass_an_int(spark):
+    picks = spark.createDataFrame([(100_000, 50_000.0), (200_000, 100_000.0), (300_000, None)], "r int, pick double")
+    assert col(stats.fill_by_slope(picks, "r", "pick", F.col("pick") < 250_000).orderBy("r"), "pick") == [50_000.0, 100_000.0, 150_000.0]
+
+
 def test_data_dependent_columns_and_predicates(spark):
     df = spark.createDataFrame([(1, 7, None, "a"), (2, 7, 3, "a")], "i int, same int, x int, pos string")
     assert rel.drop_constant(df, ["pos"]).columns == ["i", "pos"]
