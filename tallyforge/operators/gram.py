@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.ship import ship
-from tallyforge.sources.shared import folder, kept
+from tallyforge.sources.shared import folder, kept, shared_root
 
 #: Groups whose matrices a task holds before it sends them on.
 HELD = 512
+#: Most rows of a table of groups that are sent to every task.
+FEW = 1_000
 #: Coordinate descent ends when no coefficient moves by more than this share of the largest, or after ROUNDS.
 TOLERANCE, ROUNDS = 1e-13, 20_000
 #: Rounds of the evidence updates, and the rates and shapes of their Gamma priors.
@@ -200,7 +202,10 @@ def search(df: DataFrame, features: list[str], target: str, by: list[str], fold:
 
 
 def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a joined with b by keys that may be null."""
-    side = b.withColumnsRenamed({c: f"j_{c}" for c in keys})
+    """a joined with b, a table of groups, by keys that may be null. Up to FEW rows of b are sent to every task, as a shuffle by group would
+    bring the rows of a large one to one task. To count them, b is computed before the join, once."""
+    shared_root(a.sparkSession)  # for the checkpoint
+    side = b.withColumnsRenamed({c: f"j_{c}" for c in keys}).checkpoint()
+    few = side.limit(FEW + 1).count() <= FEW
     on = [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in keys]
-    return (a.join(side, on) if keys else a.join(F.broadcast(side))).drop(*(f"j_{c}" for c in keys))
+    return (a.join(F.broadcast(side) if few else side, on) if keys else a.join(F.broadcast(side))).drop(*(f"j_{c}" for c in keys))

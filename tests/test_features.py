@@ -225,3 +225,17 @@ def test_model_store(spark, tmp_path):
         slope, start = np.polyfit(x, y, 1)
         assert r.oof == pytest.approx(start + slope * k, abs=1e-6)
     assert model_store.load(spark, root, "b")[1].count() == 2
+
+
+def test_rows_of_few_groups_are_not_shuffled_by_group(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "ab"[k % 10 > 0] if k else None, float(k)) for k in range(50)], "id int, g string, x double")
+    means = rows.groupBy("g").agg(F.avg("x").alias("m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = gram.joined(rows, means, ["g"])
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.m for r in out.collect()}
+        monkeypatch.setattr(gram, "FEW", 2)  # more groups than that are joined by a shuffle
+        assert got == {r.id: r.m for r in gram.joined(rows, means, ["g"]).collect()} and len(got) == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
