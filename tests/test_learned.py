@@ -1,10 +1,12 @@
 """Neighbours, Gram-matrix models and splines against plain NumPy, and their edge cases."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import gram, neighbours, splines
+from tallyforge.plans import QUERIES, SQL
 
 
 def vectors(spark, rows):
@@ -260,3 +262,14 @@ def test_normal_expressions(spark):
         pa, pb = (n.cdf((r.low - r.mean) / r.sd), n.cdf((r.high - r.mean) / r.sd)) if r.sd else (0, 0)
         want = r.mean + r.sd * n.inv_cdf(pa + r.u * (pb - pa)) if r.sd else r.mean
         assert r.x == pytest.approx(min(max(want, r.low), r.high), abs=1e-9)
+
+
+def test_made_rows_of_a_larger_table_as_in_sql(spark, tmp_path):
+    r = np.random.default_rng(4)
+    made = [(i, [float(x) for x in v], 0 if i % 3 else 1 if i % 2 else 2) for i, v in enumerate(r.normal(size=(2_400, 8)))]
+    path = str(tmp_path)
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    got = sorted(tuple(x) for x in QUERIES["ml15_made_rows"](spark, path).select("label", "base", "turn", "other").collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duck.sql(f"SELECT label, base, turn, other FROM ({SQL['ml15_made_rows']})").fetchall())
