@@ -1,5 +1,7 @@
 """Neighbours, Gram-matrix models and splines against plain NumPy, and their edge cases."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -273,3 +275,27 @@ def test_made_rows_of_a_larger_table_as_in_sql(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
     assert got == sorted(duck.sql(f"SELECT label, base, turn, other FROM ({SQL['ml15_made_rows']})").fetchall())
+
+
+def most_memory(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_search_holds_tiles_and_near_ties_are_told_apart():
+    r = np.random.default_rng(5)
+    base = r.normal(size=(20_000, 8)).astype(np.float32)
+    asked = r.normal(size=(1_000, 8)).astype(np.float32)
+    find = lambda a, b, k: neighbours.best_of(a, [[0]] * len(a), [""] * len(a), b, [0] * len(b), [""] * len(b), k)
+    assert most_memory(lambda: find(asked, base, 19)) < 40  # all distances are 80 MB
+    who, whom = find(asked[:50], base, 7)
+    true = ((asked[:50, None].astype(float) - base) ** 2).sum(2)
+    assert whom.reshape(50, 7).tolist() == np.argsort(true, axis=1)[:, :7].tolist() and who.tolist() == np.repeat(range(50), 7).tolist()
+    close = (100 + 1e-4 * base[:500]).astype(np.float32)
+    true = ((close[:20, None].astype(float) - close) ** 2).sum(2)
+    got = find(close[:20], close, 7)[1].reshape(20, 7)
+    assert np.allclose(np.sort(np.take_along_axis(true, got, 1)), np.sort(true)[:, :7], rtol=1e-2, atol=1e-10)
