@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The coefficients of the inverse normal distribution of algorithm AS 241 (Wichura 1988), numerators and
 # denominators from the constant term up, for the middle, the tails and the far tails.
@@ -53,17 +56,21 @@ def inverse(p: Column) -> Column:
 
 
 def distribution(z: Column) -> Column:
-    """The standard normal distribution function: one half and the density times the sum of z, z ** 3 / 3, z ** 5 / 15, ..."""
+    """The standard normal distribution function: one half and the density times the sum of z, z ** 3 / 3, z ** 5 / 15, ... The
+    series is summed up in batches; the session's workers must have this package (ship())."""
+    return F.when(F.isnan(z), 1.0).otherwise(_below(z.cast("double")))
 
-    def of(x: Column) -> Column:
-        def add(at: Column, k: Column) -> Column:
-            return _let(at["term"] * x * x / (2 * k + 1), lambda term: F.struct(term.alias("term"), (at["sum"] + term).alias("sum")))
-
-        series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.struct(x.alias("term"), x.alias("sum")), add, lambda at: at["sum"])
-        inside = 0.5 + F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi)) * series
-        return F.when(x <= -REACH, 0.0).when(x >= REACH, 1.0).otherwise(inside)
 
-    return _let(z, of)
+@F.pandas_udf(T.DoubleType())
+def _below(z: pd.Series) -> pd.Series:
+    x = z.to_numpy(float)
+    far = np.abs(x) >= REACH
+    term = np.where(far, 0.0, x)
+    at, total = term, term.copy()
+    for k in range(1, TERMS + 1):
+        term = term * at * at / (2 * k + 1)
+        total += term
+    return pd.Series(np.where(far, np.where(x > 0, 1.0, 0.0), 0.5 + np.exp(-at * at / 2) / math.sqrt(2 * math.pi) * total))
 
 
 def shares(mean: Column, sd: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -78,6 +85,19 @@ def truncated(u: Column, below: tuple[Column, Column], mean: Column, sd: Column,
     return F.least(F.greatest(F.when(sd > 0, mean + sd * inverse(p)).otherwise(mean), low), high)
 
 
+def with_truncated(df: DataFrame, u: Column, below: tuple[Column, Column], mean: Column, sd: Column, low: Column, high: Column, name: str) -> DataFrame:
+    """df with truncated() as a column, by columns one after the other, which Spark compiles, as it does not compile functions of
+    array elements: for many draws."""
+    x, r = F.col("tf_x"), F.col("tf_r")
+    df = df.withColumn("tf_x", F.least(F.greatest(below[0] + u * (below[1] - below[0]), F.lit(1e-12)), F.lit(1 - 1e-12)))
+    near = F.abs(x - 0.5) <= 0.425
+    df = df.withColumn("tf_r", F.when(near, F.lit(0.180625) - (x - 0.5) * (x - 0.5)).otherwise(F.sqrt(-F.ln(F.least(x, 1 - x)))))
+    outer = F.when(r <= 5, _fraction(r - 1.6, TAIL)).otherwise(_fraction(r - 5, FAR))
+    df = df.withColumn("tf_z", F.when(near, _fraction(r, MIDDLE) * (x - 0.5)).otherwise(F.signum(x - 0.5) * outer))
+    value = F.least(F.greatest(F.when(sd > 0, mean + sd * F.col("tf_z")).otherwise(mean), low), high)
+    return df.withColumn(name, value).drop("tf_x", "tf_r", "tf_z")
+
+
 def skewed(u: Column, v: Column, skew: float) -> Column:
     """A standard skew-normal draw of a given skew parameter from two independent uniform numbers."""
     d = skew / math.sqrt(1 + skew * skew)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normal import shares, truncated
+from tallyforge.functions.normal import shares, with_truncated
 from tallyforge.functions.ship import ship
 
 
@@ -26,17 +26,18 @@ _LIMITS = ("mean", "sd", "low", "high")
 
 def _with_shares(df: DataFrame) -> DataFrame:
     """df with the shares of its distributions below their limits, once for all draws of a row."""
+    ship(df.sparkSession)
     return df.withColumns(dict(zip(("tf_below_low", "tf_below_high"), shares(*map(F.col, _LIMITS)), strict=True)))
 
 
-def _drawn(u):
-    return truncated(u, (F.col("tf_below_low"), F.col("tf_below_high")), *map(F.col, _LIMITS))
+def _drawn(df: DataFrame, u) -> DataFrame:
+    return with_truncated(df, u, (F.col("tf_below_low"), F.col("tf_below_high")), *map(F.col, _LIMITS), "points")
 
 
 def draws(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n truncated-normal draws per row of key, mean, sd, low, high: key, draw, points."""
     long = _with_shares(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return long.select(key, "draw", _drawn(uniform(seed, F.col(key), F.col("draw"))).alias("points"))
+    return _drawn(long, uniform(seed, F.col(key), F.col("draw"))).select(key, "draw", "points")
 
 
 def best_lineup(points: np.ndarray, price: np.ndarray, kind: np.ndarray, need: dict[str, int], budget: int) -> list[int]:
@@ -66,7 +67,7 @@ def trials(players: DataFrame, n: int, need: dict[str, int], budget: int, seed:
     """n lineups, each on its own draws: trial, player, price. players: player, kind, price (whole), mean, sd, low, high;
     they are a draft's candidates, a list that is bounded by the draft and not by the data."""
     numbered = _with_shares(players).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = numbered.withColumn("points", _drawn(uniform(seed, F.col("player"), F.col("trial"))))
+    drawn = _drawn(numbered, uniform(seed, F.col("player"), F.col("trial")))
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("player", kind="stable").reset_index(drop=True)

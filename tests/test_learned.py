@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import gram, neighbours, splines
+from tallyforge.functions import normal
+from tallyforge.operators import gram, neighbours, simulate, splines
 from tallyforge.plans import QUERIES, SQL
 
 
@@ -299,3 +300,23 @@ def test_a_search_holds_tiles_and_near_ties_are_told_apart():
     true = ((close[:20, None].astype(float) - close) ** 2).sum(2)
     got = find(close[:20], close, 7)[1].reshape(20, 7)
     assert np.allclose(np.sort(np.take_along_axis(true, got, 1)), np.sort(true)[:, :7], rtol=1e-2, atol=1e-10)
+
+
+def test_probing_memory_is_bounded():
+    index = neighbours.Index(np.random.default_rng(6).normal(size=(4_096, 8)).astype(np.float32), 1_000)
+    vectors_ = np.random.default_rng(7).normal(size=(4_000, 8)).astype(np.float32)
+    got = []
+    assert most_memory(lambda: got.append(index.order(vectors_, 3))) < 40  # all places are 131 MB
+    whole = (index.centroids**2).sum(1) - 2 * vectors_ @ index.centroids.T
+    assert got[0].tolist() == np.argsort(whole, axis=1, kind="stable")[:, :3].tolist()
+
+
+def test_draws_are_compiled_and_as_truncated_says(spark):
+    rows = [("a", 5.0, 1.0, 2.5, 7.5), ("b", 5.0, 2.0, 20.0, 30.0), ("c", 5.0, 0.0, 6.0, 9.0), ("d", 5.0, None, 1.0, 9.0), ("e", None, 1.0, 1.0, 9.0), ("f", 5.0, 1.0, -40.0, 40.0)]
+    df = spark.createDataFrame(rows, "player string, mean double, sd double, low double, high double")
+    out = simulate.draws(df, "player", 40)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    c = [F.col(x) for x in ("mean", "sd", "low", "high")]
+    long = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    want = long.select("player", "draw", normal.truncated(simulate.uniform(1, F.col("player"), F.col("draw")), normal.shares(*c), *c).alias("points"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
