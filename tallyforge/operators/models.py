@@ -15,7 +15,7 @@ from tallyforge.functions.columns import row_mean
 from tallyforge.functions.ship import ship
 from tallyforge.operators.stats import quantiles_by
 from tallyforge.operators.windows import ranked
-from tallyforge.sources.shared import shared_root
+from tallyforge.sources.shared import folder, kept, shared_root
 
 
 def fill_by_regression(df: DataFrame, target: str, features: list[str], intercept: bool = True) -> DataFrame:
@@ -79,17 +79,18 @@ def spread_curves(df: DataFrame, predicted: str, actual: str, bins: list[int]) -
 def stack(df: DataFrame, features: list[str], label: str, fold: str, models: dict, folds: int, best: int) -> DataFrame:
     """df with each model's out-of-fold prediction (p_<name>), the mean of the best models' (best_mean) and a meta model's on
     all of them (stacked). Of 1 to `best` models in the order of their out-of-fold error that many are averaged for which the
-    mean's error is least. Each model is a regressor that is fitted on the other folds; one row of errors reaches the driver.
+    mean's error is least. Each model is a regressor that is fitted on the other folds; one row of errors reaches the driver. Fits
+    read the rows many times, so df is computed once and kept.
     """
-    shared_root(df.sparkSession)  # for the checkpoint
-    rows = VectorAssembler(inputCols=features, outputCol="tf_x").transform(df)
-    parts = []
-    for k in range(folds):
-        train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
-        for name, model in models.items():
-            test = model.copy().setFeaturesCol("tf_x").setLabelCol(label).setPredictionCol(f"p_{name}").fit(train).transform(test)
-        parts.append(test)
-    oof = reduce(lambda a, b: a.unionByName(b), parts).drop("tf_x").checkpoint()
+    with folder(df.sparkSession) as path:
+        rows = VectorAssembler(inputCols=features, outputCol="tf_x").transform(kept(df, f"{path}/rows"))
+        parts = []
+        for k in range(folds):
+            train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+            for name, model in models.items():
+                test = model.copy().setFeaturesCol("tf_x").setLabelCol(label).setPredictionCol(f"p_{name}").fit(train).transform(test)
+            parts.append(test)
+        oof = reduce(lambda a, b: a.unionByName(b), parts).drop("tf_x").checkpoint()
     names = [f"p_{n}" for n in models]
     error = lambda p: F.avg((F.col(label) - p) * (F.col(label) - p))
     errors = oof.agg(*(error(F.col(p)).alias(p) for p in names)).first().asDict()

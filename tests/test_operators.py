@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import clean_name, clean_number, half_even, look_up, no_nan, ratio, row_mean, row_std, row_sum, scrub, title
@@ -305,3 +306,16 @@ def test_stacked_models_are_out_of_fold(spark):
         assert test.p_line.to_numpy() == pytest.approx(start + slope * test.x.to_numpy(), abs=1e-6)
     error = lambda c: ((out[c] - out.y) ** 2).mean()
     assert error("best_mean") <= min(error("p_line"), error("p_tree")) + 1e-9 and error("stacked") <= 1.05 * error("p_line")
+
+
+def test_stacked_models_compute_their_rows_once(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            times.add(b.num_rows)
+            yield b
+
+    rows = spark.range(90).selectExpr("id", "CAST(id % 3 AS INT) AS fold", "CAST(id AS DOUBLE) AS x", "CAST(id * 2 + id % 5 AS DOUBLE) AS y")
+    out = models.stack(rows.mapInArrow(seen, rows.schema), ["x"], "y", "fold", {"line": LinearRegression(), "ridge": LinearRegression(regParam=0.3)}, 3, 2)
+    assert out.count() == 90 and times.value == 90
