@@ -278,6 +278,24 @@ def test_made_rows_of_a_larger_table_as_in_sql(spark, tmp_path):
     assert got == sorted(duck.sql(f"SELECT label, base, turn, other FROM ({SQL['ml15_made_rows']})").fetchall())
 
 
+def test_every_row_gets_a_vote(spark, tmp_path):
+    r = np.random.default_rng(9)
+    made = [(i, [float(x) for x in v], i * 7 % 4) for i, v in enumerate(r.normal(size=(90, 4)).astype(np.float32))]
+    made += [(100 + i, [1.0, 2.0, 3.0, 4.0], i % 3) for i in range(25)]  # copies
+    path = str(tmp_path)
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    got = sorted(tuple(x) for x in QUERIES["ml4_neighbour_vote"](spark, path).select("vec_id", "label", "predicted", "votes", "mean").collect())
+    labels, want = {i: x for i, _, x in made}, []
+    for i, near in sorted(brute([(i, v, "") for i, v, _ in made], 10).items()):
+        own = [labels[j] for _, j in near]
+        most = min(own, key=lambda x: (-own.count(x), x))
+        want.append((i, labels[i], most, own.count(most), round(sum(own) / 10, 6)))
+    assert len(want) == 115 and got == want
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duck.sql(f"SELECT vec_id, label, predicted, votes, mean FROM ({SQL['ml4_neighbour_vote']})").fetchall())
+
+
 def most_memory(run):
     tracemalloc.start()
     try:
